@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_path, table
 from tessera.llm.language import fit_languages, held_out, identify_languages
+from tessera.llm.ngram_join import Join, ngram_jaccard_join
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality_rules_model import fit_quality, score_quality
 from tessera.llm.token_files import read_token_files, write_token_files
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), Join(width=4, percent=85))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -39,6 +44,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_join": op2_ngram_join,
         "op3_packing": op3_packing,
         "op6_language_id": op6_language_id,
         "op9_token_files": op9_token_files,
