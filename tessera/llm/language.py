@@ -184,16 +184,18 @@ def identify_languages(docs: DataFrame, models: NgramModels, *, id_col: str = "d
 
     ``keep`` names further columns that are carried along unchanged.
     """
-    carried = docs.select(F.col(text_col).alias("__text"), *([id_col] if keep is None else keep))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[1:])
+    keep = [id_col] if keep is None else keep
+    carried = docs.select(*(f"`{c}`" for c in keep), *([] if text_col in keep else [f"`{text_col}`"]))
+    at, width = carried.columns.index(text_col), len(keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:width])
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Identifier(models)
         for batch in batches:
-            found = [scorer.score(x.as_py()) for x in batch.column(0)]
+            found = [scorer.score(x.as_py()) for x in batch.column(at)]
             names = ["lang_pred", "score", "languages", "shares"]
             kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
             new = [pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)] if found else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], names=[*batch.schema.names[1:], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[*batch.schema.names[:width], *names])
 
     return carried.mapInArrow(identify, f"{fields}, lang_pred string, score double, languages array<string>, shares array<double>")

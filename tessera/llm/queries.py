@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_path, table
 from tessera.llm.language import fit_languages, held_out, identify_languages
+from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_join import Join, ngram_jaccard_join
+from tessera.llm.oracles import MIXING
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality_rules_model import fit_quality, score_quality
 from tessera.llm.token_files import read_token_files, write_token_files
@@ -30,6 +32,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", F.concat_ws(",", "languages").alias("language_set"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
     manifest = write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -47,10 +53,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_join": op2_ngram_join,
         "op3_packing": op3_packing,
         "op6_language_id": op6_language_id,
+        "op7_mixing": op7_mixing,
         "op9_token_files": op9_token_files,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": MIXING}
