@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_path, table
+from tessera.llm.cross_polytope import nearest
 from tessera.llm.language import fit_languages, held_out, identify_languages
 from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_join import Join, ngram_jaccard_join
@@ -36,6 +37,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
     manifest = write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op6_language_id": op6_language_id,
         "op7_mixing": op7_mixing,
+        "op8_cross_polytope": op8_cross_polytope,
         "op9_token_files": op9_token_files,
         "op10_quality": op10_quality,
     }
