@@ -17,6 +17,7 @@ from tessera.llm.oracles import MIXING
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality_rules_model import fit_quality, score_quality
 from tessera.llm.token_files import read_token_files, write_token_files
+from tessera.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    nearest_id, cosine = F.get("neighbours", 0).alias("nearest_id"), F.get("cosines", 0).alias("nearest_cosine")
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("neighbours").alias("n_neighbours"), nearest_id, cosine)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify_languages(docs, fit_languages(docs))
@@ -57,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_join": op2_ngram_join,
         "op3_packing": op3_packing,
+        "op4_toxicity": op4_toxicity,
         "op6_language_id": op6_language_id,
         "op7_mixing": op7_mixing,
         "op8_cross_polytope": op8_cross_polytope,
