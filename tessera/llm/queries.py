@@ -18,6 +18,7 @@ from tessera.llm.packing import pack_documents
 from tessera.llm.quality_rules_model import fit_quality, score_quality
 from tessera.llm.token_files import read_token_files, write_token_files
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
+from tessera.llm.wrappers import extract_pages
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("neighbours").alias("n_neighbours"), nearest_id, cosine)
 
 
+def op5_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages")).drop("host")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify_languages(docs, fit_languages(docs))
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_join": op2_ngram_join,
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
+        "op5_wrappers": op5_wrappers,
         "op6_language_id": op6_language_id,
         "op7_mixing": op7_mixing,
         "op8_cross_polytope": op8_cross_polytope,
