@@ -15,12 +15,17 @@ from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_join import Join, ngram_jaccard_join
 from tessera.llm.oracles import MIXING
 from tessera.llm.packing import pack_documents
+from tessera.llm.quality_rules import divergence_rules
 from tessera.llm.quality_rules_model import fit_quality, score_quality
 from tessera.llm.token_files import read_token_files, write_token_files
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
 from tessera.llm.wrappers import extract_pages
 
 
+def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_rules(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), Join(width=4, percent=85))
 
@@ -68,6 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_divergence_rules": op1_divergence_rules,
         "op2_ngram_join": op2_ngram_join,
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
