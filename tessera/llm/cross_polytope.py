@@ -41,6 +41,8 @@ RECALL = 0.965
 TABLES = 6
 PART = 4096
 QUERY_PART = 512
+#: Probes of each table that are looked up first.
+FIRST = 3
 SEED = 11
 
 
@@ -174,11 +176,11 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
                 least[full] = np.minimum.reduceat(s, np.searchsorted(r, np.arange(len(q))))[full] if len(s) else -np.inf
                 axes = hashing.axes(q, False)
                 for t in range(tables):
-                    b = np.argpartition(-axes[t], probes - 1, axis=1)[:, :probes] if probes < axes.shape[2] else np.tile(np.arange(axes.shape[2]), (len(q), 1))
-                    i = np.repeat(np.arange(len(q)), b.shape[1])
-                    yield _rows(own[i], None, least[i], np.full(len(i), t, np.int32), b.ravel().astype(np.int32), batch.column(1).take(pa.array(i)))
+                    b = np.argsort(-axes[t], axis=1, kind="stable")[:, :probes]
+                    i, order = np.repeat(np.arange(len(q)), b.shape[1]), np.tile(np.arange(b.shape[1]), len(q))
+                    yield _rows(own[i], None, least[i], np.full(len(i), t, np.int32), b.ravel().astype(np.int32), order.astype(np.int32), batch.column(1).take(pa.array(i)))
 
-    schema = "query_id long, vec_id long, score double, table int, bucket int, v array<double>"
+    schema = "query_id long, vec_id long, score double, table int, bucket int, place int, v array<double>"
     queries = written(rows.where(F.col("vec_id") % every == 0).mapInArrow(probe, schema), "probes")
     indexed = rows.mapInArrow(index, "table int, bucket int, vec_id long, v array<double>")
     counts = {(r[0], r[1]): r[2] for r in indexed.groupBy("table", "bucket").count().collect()}  # at most tables * 2 * width
@@ -187,7 +189,6 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     spread = lambda c, by: F.pmod(F.xxhash64(F.lit("part"), c), F.col(by)).cast("int")
     series = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
     key: list[str | Column] = ["table", "bucket", "p", "q"]
-    left = queries.where("vec_id is null").join(F.broadcast(parts), ["table", "bucket"]).withColumn("q", spread("query_id", "asks")).withColumn("p", series("parts")).select(F.struct(*key).alias("part"), "query_id", F.col("score").alias("least"), "v")
     right = indexed.join(F.broadcast(parts), ["table", "bucket"]).withColumn("p", spread("vec_id", "parts")).withColumn("q", series("asks")).select(F.struct(*key).alias("part"), "vec_id", F.col("v").alias("w"))
 
     def match(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -199,15 +200,25 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
         r, i, s = best(scores, near, k)
         return pd.DataFrame({"query_id": own[r], "vec_id": i, "score": s})
 
-    pairs = left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(match, "query_id long, vec_id long, score double")
-    everything = pairs.union(queries.where("vec_id is not null").select("query_id", "vec_id", "score"))
-    # blocks of different shapes may round a product differently: the pair's score is computed anew
-    once = everything.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def matches(asking: DataFrame) -> DataFrame:
+        left = asking.join(F.broadcast(parts), ["table", "bucket"]).withColumn("q", spread("query_id", "asks")).withColumn("p", series("parts")).select(F.struct(*key).alias("part"), "query_id", F.col("score").alias("least"), "v")
+        return left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(match, "query_id long, vec_id long, score double")
 
+    def ranked(found: DataFrame) -> DataFrame:
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # blocks of other shapes may round otherwise
+        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-def _rows(query: np.ndarray, near: np.ndarray | None, score: np.ndarray, table: np.ndarray | None = None, bucket: np.ndarray | None = None, v: pa.Array | None = None) -> pa.RecordBatch:
+    # The nearest axes first: they give each query a bound that lets little through from all others.
+    asking = queries.where("vec_id is null")
+    first = written(ranked(matches(asking.where(F.col("place") < FIRST)).union(queries.where("vec_id is not null").select("query_id", "vec_id", "score"))), "first-found")
+    bounds = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).alias("bound"))
+    rest = asking.where(F.col("place") >= FIRST).join(bounds, "query_id", "left").withColumn("score", F.greatest("score", F.coalesce("bound", F.lit(float("-inf")))))
+    found = first.select("query_id", "vec_id", "score").union(matches(rest.drop("bound")))
+    return ranked(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _rows(query: np.ndarray, near: np.ndarray | None, score: np.ndarray, table: np.ndarray | None = None, bucket: np.ndarray | None = None, place: np.ndarray | None = None, v: pa.Array | None = None) -> pa.RecordBatch:
     n = len(query)
     none = lambda kind: pa.nulls(n, kind)
-    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), none(pa.int64()) if near is None else pa.array(near, pa.int64()), pa.array(score, pa.float64()), none(pa.int32()) if table is None else pa.array(table), none(pa.int32()) if bucket is None else pa.array(bucket), none(pa.list_(pa.float64())) if v is None else v], names=["query_id", "vec_id", "score", "table", "bucket", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), none(pa.int64()) if near is None else pa.array(near, pa.int64()), pa.array(score, pa.float64()), none(pa.int32()) if table is None else pa.array(table), none(pa.int32()) if bucket is None else pa.array(bucket), none(pa.int32()) if place is None else pa.array(place), none(pa.list_(pa.float64())) if v is None else v], names=["query_id", "vec_id", "score", "table", "bucket", "place", "v"])
