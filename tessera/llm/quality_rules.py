@@ -1,7 +1,7 @@
 """Quality rules on distribution divergence, in native expressions.
 
 Each language has two reference histograms, taken over all its documents: of
-character classes, and of its most common words (all others in one bin). A
+character classes, and of its most common words as written (all others in one bin). A
 document is compared with its language's references by Jensen-Shannon distance (the
 root of the divergence in bits) and kept if neither distance exceeds its bound. A
 histogram of too few characters or words says nothing and is not compared.
@@ -29,22 +29,17 @@ from tessera.llm.common import SPACE, SPACES, written
 WINDOW = 5
 LEAST_WORDS = 10
 #: Common words of a language that make its word histogram, and candidates for them.
-COMMON, CANDIDATES = 24, 40
+COMMON, CANDIDATES = 24, 36
 #: Items that a language's sketch tracks.
 TRACKED = 20_000
 LEAST_DOCS = 20
 #: Guards: histograms of fewer characters or words are not compared.
 LEAST_CHARS, LEAST_HISTOGRAM_WORDS = 300, 40
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.28, 0.42
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGITS, MARKS, SYMBOLS = "0123456789", ".,;:!?'\"()-", "#*$%&|<>"
 
 
-def _lost(text: Column, characters: str) -> Column:
-    """How many characters of ``text`` are among these."""
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
-
-
 def repeat_words(windows: Column) -> Column:
     """Words covered by windows whose hash occurs twice or more; windows: hashes in order."""
     m = F.size(windows)
@@ -67,7 +62,7 @@ def candidates(docs: DataFrame, text_col: str, lang_col: str) -> dict[str, list[
     enough = {r[0] for r in docs.groupBy(lang).count().where(F.col("count") >= LEAST_DOCS).collect()}
     if not enough:
         return {}
-    words = docs.select(lang, F.explode(F.split(F.lower(F.col(text_col)), SPACE)).alias("word")).where("word != ''")
+    words = docs.select(lang, F.explode(F.split(F.col(text_col), SPACE)).alias("word")).where("word != ''")
     found = words.groupBy("lang").agg(F.expr(f"approx_top_k(word, {CANDIDATES}, {TRACKED})").alias("top")).collect()
     return {r["lang"]: sorted(x["item"] for x in r["top"]) for r in found if r["lang"] in enough}
 
@@ -81,18 +76,26 @@ def measured(docs: DataFrame, common: dict[str, list[str]], id_col: str, text_co
         F.filter(F.split(text, SPACE), lambda w: w != "").alias("words"),
         F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("lines"),
         F.length(text).cast("long").alias("chars"),
-        *(_lost(text, c).alias(n) for n, c in (("upper", UPPER), ("lower", LOWER), ("digits", DIGITS), ("spaces", SPACES), ("marks", MARKS), ("symbols", SYMBOLS))),
+        F.regexp_replace(text, "[a-z]+", "").alias("rest"),
     )
+    # what is left grows short: each class is taken from what those before it left
+    left = "chars"
+    for name, characters in (("lower", None), ("spaces", SPACES), ("upper", UPPER), ("marks", MARKS), ("symbols", SYMBOLS), ("digits", DIGITS)):
+        if characters is not None:
+            rows = rows.withColumn("rest", F.translate("rest", characters, ""))
+        rows = rows.withColumn(f"not_{name}", F.length("rest").cast("long")).withColumn(name, F.col(left) - F.col(f"not_{name}"))
+        left = f"not_{name}"
     n = F.size("words")
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(F.col("words"), i + j) for j in range(WINDOW))))).otherwise(F.array().cast("array<long>"))
     longest = max((len(w.encode()) for own in common.values() for w in own), default=0)
-    none = F.array().cast("array<string>")
-    listed = none
-    for lang, own in sorted(common.items()):
-        listed = F.when(F.col("lang") == lang, F.array(*map(F.lit, own))).otherwise(listed)
-    rows = rows.withColumns({"windows": windows, "listed": listed, "short": F.transform(F.filter("words", lambda w: F.octet_length(w) <= longest), F.lower)})
     # places among the candidates, with one more of each: sorted, the gaps between first places are the counts
-    places = F.sort_array(F.concat(F.transform("short", lambda w: F.array_position("listed", w)), F.sequence(F.lit(1).cast("long"), F.lit(CANDIDATES + 1).cast("long"))))
+    padding = F.sequence(F.lit(1).cast("long"), F.lit(CANDIDATES + 1).cast("long"))
+    rows = rows.withColumns({"windows": windows, "short": F.filter("words", lambda w: F.octet_length(w) <= longest)})
+    places_of = lambda listed: F.transform("short", lambda w: F.array_position(listed, w))
+    places = padding
+    for lang, own in sorted(common.items()):
+        listed = F.array(*map(F.lit, own))
+        places = F.when(F.col("lang") == lang, F.sort_array(F.concat(places_of(listed), padding))).otherwise(places)
     rows = rows.withColumn("places", places)
     counts = F.array(*(F.array_position("places", F.lit(k + 1).cast("long")) - F.array_position("places", F.lit(k).cast("long")) - 1 for k in range(1, CANDIDATES + 1)))
     return rows.select(
@@ -103,7 +106,7 @@ def measured(docs: DataFrame, common: dict[str, list[str]], id_col: str, text_co
         F.col("symbols").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("windows")).alias("n_repeat_words"),
-        F.array("upper", "lower", "digits", "spaces", "marks", "symbols", F.col("chars") - F.col("upper") - F.col("lower") - F.col("digits") - F.col("spaces") - F.col("marks") - F.col("symbols")).alias("classes"),
+        F.array("lower", "spaces", "upper", "marks", "symbols", "digits", F.col("not_digits")).alias("classes"),
         counts.cast("array<long>").alias("commons"),
     )
 
