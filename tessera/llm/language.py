@@ -33,7 +33,7 @@ TRAIN_DOCS = 500
 PENALTY = 2.0
 ROUNDS = 25
 WEIGHTS = (0.7, 0.2, 0.09, 0.01)
-CACHE = 400_000
+CACHE = 150_000
 UNDETERMINED = "und"
 WORDS = re.compile(r"[^\W\d_]+").findall
 

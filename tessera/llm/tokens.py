@@ -13,8 +13,8 @@ import os
 import re
 from array import array
 
-#: Pieces to keep before the cache starts anew; about 200 bytes each.
-CACHE = 900_000
+#: Pieces to keep, about 200 bytes each; the frequent ones come early, later ones are encoded each time.
+CACHE = 450_000
 #: Letters of the range in which the finer cuts below are certain.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: A character outside ASCII and those letters, or one that Python alone takes as white space.
@@ -67,11 +67,13 @@ class Encoder:
         try:
             return b"".join(map(known.__getitem__, pieces))
         except KeyError:
-            if len(known) > CACHE:
-                known.clear()
             new = list({p for p in pieces if p not in known})
-            known.update(zip(new, self._encode(new), strict=True))
-            return b"".join(map(known.__getitem__, pieces))
+            made = zip(new, self._encode(new), strict=True)
+            if len(known) + len(new) <= CACHE:
+                known.update(made)
+                return b"".join(map(known.__getitem__, pieces))
+            own = dict(made)
+            return b"".join([own[p] if p in own else known[p] for p in pieces])
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
