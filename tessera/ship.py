@@ -1,4 +1,4 @@
-"""Sends this package to the executors, for clusters on which it is not installed."""
+"""Prepares a session: sends this package to the executors, and keeps Arrow batches of texts small."""
 
 from __future__ import annotations
 
@@ -9,10 +9,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch where the session has Spark's default: texts may have 100 KB and more.
+BATCH_ROWS, DEFAULT_ROWS = "2500", "10000"
 
 
 def ship(spark: SparkSession) -> None:
     """Add the package once to the Python files of this application."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
