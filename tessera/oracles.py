@@ -171,7 +171,7 @@ select term, count(*) as df, sum(tf)::bigint as cf, round(ln((any_value(n) - cou
     "hybrid_weighted_30_70": hybrid(60, 0.3, 0.7),
     "retrieve_final_k": f"""with {bm25(BOTH, ASK, 20)}, {DENSE}, {fused('select 60 as k, 1.0::double as wd, 1.0::double as ws')},
 fin as (select *, row_number() over (partition by query_id order by round(rrf_score, 6) desc, pool)::int as rank from rr)
-select query_id, chunk_id, md5(c.text) as text_md5, coalesce(c.source, '') as source, 1 as page, round(dense_score, 6) as dense_score, 0.0 as rerank_score, round(bm25_score, 6) as bm25_score, round(rrf_score, 6) as rrf_score, rank from fin join c using (chunk_id) where rank <= 3""",
+select query_id, chunk_id, md5(c.text) as text_md5, coalesce(c.source, '') as source, 1 as page, round(dense_score, 6) as dense_score, 0.0::double as rerank_score, round(bm25_score, 6) as bm25_score, round(rrf_score, 6) as rrf_score, rank from fin join c using (chunk_id) where rank <= 3""",
     "gold_rank_by_config": f"with {RANKS} select configuration, query_id, gold_rank from ranks",
     "retrieval_metrics_by_config": f"with {RANKS} select configuration, count(*) as queries, {METRICS.format(1)}, {METRICS.format(3)}, {METRICS.format(10)}, {RR}, round(avg(case when gold_rank <= 10 then 1 / log2(gold_rank + 1) else 0 end), 6) as ndcg_at_10 from ranks group by configuration",
     "gold_containment": f"with {GOLDS} select query_id, chunk_id from golds",
@@ -234,7 +234,7 @@ select label, tp, fp, fn, support, round(pr, 6) as precision, round(re, 6) as re
     "answer_stub": f"""with {ANSWERS} select query_id, answer, (contains(lower(answer), 'do not contain enough information') or contains(lower(answer), 'does not contain enough information') or contains(lower(answer), 'not enough information') or contains(lower(answer), 'insufficient information') or contains(lower(answer), 'not mentioned in the provided')) as refused,
 (contains(answer, '{REFUSAL}') or contains(lower(answer), 'not contain enough information')) as refused_fully from answers""",
     "answer_em_f1": f"""with {ANSWERS}, {EM} select query_id, (nq <> '' and na = nq)::int::double as em_strict, (nq <> '' and contains(na, nq))::int::double as em_contains, round({f1('wa', 'wq')}, 6) as f1, round(greatest({f1('wa', 'wq')}, {f1('wa', 'wc')}), 6) as f1_two_golds from words""",
-    "citation_validity": rf"with {ANSWERS}, c as (select query_id, len(chunks) as n, list_transform(regexp_extract_all(answer || ' [7] [1, 2]', '\[(\d+)\]', 1), lambda x: x::int) as cs from answers) select query_id, len(cs) > 0 as has_citation, round(len(list_filter(cs, lambda x: x >= 1 and x <= n))::double / len(cs), 6) as validity from c",
+    "citation_validity": rf"with {ANSWERS}, ci as (select query_id, len(chunks) as n, list_transform(regexp_extract_all(answer || ' [7] [1, 2]', '\[(\d+)\]', 1), lambda x: x::int) as cs from answers) select query_id, len(cs) > 0 as has_citation, round(len(list_filter(cs, lambda x: x >= 1 and x <= n))::double / len(cs), 6) as validity from ci",
     "grounding_ratio": f"""with {ANSWERS}, v as (select *, query || ' [1] [9]' as cited, case when len(chunks) >= 1 then [chunks[1]] else chunks end as base from answers),
 g as (select *, {factual('cited', STOP)} as mine, list_filter({factual('cited', STOP)}, lambda w: not list_contains({factual("array_to_string(base, chr(10))", '[]')}, w)) as lost from v)
 select query_id, round({ground('query', 'chunks')}, 6) as grounding, case when len(mine) = 0 then 1.0 else round(1 - len(lost)::double / len(mine), 4) end as cited_grounding, array_to_string(list_sort(lost), ' ') as ungrounded from g""",
@@ -243,10 +243,10 @@ select count(*) as answers, round(avg((len(cs) > 0)::int), 6) as citation_presen
 round(avg(g), 6) as grounding, round(avg((contains(lower(answer), 'not contain enough information'))::int), 6) as refusal_rate, round(avg((g < 1)::int), 6) as hallucination_rate, round(avg((nq <> '' and contains(na, nq))::int) * 100, 6) as em_percent, round(avg({f1('wa', 'wq')}) * 100, 6) as f1_percent from m""",
     "conversation_limits": "select conv_id, count(*) as n_messages, count(*) > 4 as too_many, min(case when length(text) > 400 then turn end) as first_too_long from conversations group by conv_id",
     "conversation_redact": f"with {pii('conversations', 'conv_id, turn, role')} select conv_id, turn, role, md5(case when role in ('user', 'system', 'assistant') then text else original end) as text_md5, (case when role in ('user', 'system', 'assistant') then redactions else 0 end)::int as redactions from rd",
-    "conversation_trim": f"""with l as (select *, {count_tokens('text')} as tokens, sys and i = 1 as leading from ({LIMITED})),
-n as (select *, coalesce(sum(case when leading then tokens end) over (partition by conv_id), 0) + sum(case when leading then 0 else tokens end) over (partition by conv_id order by turn desc rows unbounded preceding) as need from l),
+    "conversation_trim": f"""with l as (select *, {count_tokens('text')} as tokens, sys and i = 1 as heads from ({LIMITED})),
+n as (select *, coalesce(sum(case when heads then tokens end) over (partition by conv_id), 0) + sum(case when heads then 0 else tokens end) over (partition by conv_id order by turn desc rows unbounded preceding) as need from l),
 f as (select *, max(case when j = 1 then need end) over (partition by conv_id) <= 300 as fits from n)
-select conv_id, turn, role, tokens, fits from f where leading or j = 1 or need <= 300""",
+select conv_id, turn, role, tokens, fits from f where heads or j = 1 or need <= 300""",
     "last_user_turn": "select conv_id, max(turn) as turn, arg_max(text, turn) as text from conversations where role = 'user' group by conv_id",
     "request_metrics": "select event_type as intent, count(*) as requests, round(sum(value), 3) as duration_sum from events group by 1",
     "request_windows": "select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S') as start, event_type as intent, count(*) as requests from events group by all",
