@@ -2,9 +2,11 @@
 
 Both tokenizer families in use split a text before they merge pairs, and never
 merge across the end of a word. A text is therefore cut where such a split is
-certain, each distinct piece is encoded once by the tokenizers library, and a
-document is the concatenation of its pieces' ids. Texts with characters on which
-the two regular-expression engines may differ are encoded whole.
+certain, each distinct piece is encoded by the tokenizers library, and a document is
+the concatenation of its pieces' ids. A piece that is sure to be one unit of the
+split goes straight to the library's merge model, others through all its steps.
+Texts with characters on which the two regular-expression engines may differ are cut
+more coarsely or encoded whole.
 """
 
 from __future__ import annotations
@@ -27,16 +29,23 @@ _FINE_WORDS = re.compile(rf"[{LETTERS}]+|[^ \t\n\x0b\x0c\r{LETTERS}]+").findall
 _WORDS = re.compile(r"[^ \t\n\x0b\x0c\r]+").findall
 
 
-def byte_level_pieces(text: str) -> list[str] | None:
-    """Cuts for byte-level BPE: a word keeps one space before it; None where a cut is unsure."""
+def byte_level_pieces(text: str) -> tuple[list[str] | None, bool]:
+    """Cuts for byte-level BPE, where a word keeps one space before it, and whether each is one unit; None where a cut is unsure."""
     if not UNSURE(text):
-        return _FINE(text)
-    return None if ODD_SPACE(text) else _COARSE(text)
+        return _FINE(text), True
+    return (None, False) if ODD_SPACE(text) else (_COARSE(text), False)
 
 
-def word_pieces(text: str) -> list[str] | None:
+def word_pieces(text: str) -> tuple[list[str] | None, bool]:
     """Cuts for a tokenizer that drops white space and lower-cases; with an apostrophe, whole words."""
-    return _WORDS(text) if "'" in text or UNSURE(text) else _FINE_WORDS(text)
+    return (_WORDS(text), False) if "'" in text or UNSURE(text) else (_FINE_WORDS(text), True)
+
+
+def visible_bytes() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or (161 <= b <= 255 and b != 173)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 STYLES = {"byte_level": byte_level_pieces, "word": word_pieces}
@@ -51,28 +60,48 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pieces = STYLES[style]
+        self.model, self.visible = self.tokenizer.model, visible_bytes()
+        self.pieces, self.lower = STYLES[style], style == "word"
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of single units by the merge model."""
+        merge, visible, space, out = self.model.tokenize, self.visible, self.visible[32], []
+        for unit in units:
+            if unit.isascii() and unit.isprintable():
+                unit = unit.replace(" ", space)
+            else:
+                unit = unit.encode().decode("latin-1").translate(visible)
+            out.append(array("I", [t.id for t in merge(unit)]).tobytes())
+        return out
+
+    def _learn(self, pieces: list[str], units: bool) -> dict[str, bytes]:
+        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        if not units:
+            return dict(zip(new, self._encode(new), strict=True))
+        if not self.lower:
+            return dict(zip(new, self._units(new), strict=True))
+        words = [p for p in new if p.isalpha() and "\u0130" not in p]  # that letter's small form is two characters
+        rest = [p for p in new if not p.isalpha() or "\u0130" in p]
+        return dict(zip(words, self._units([w.lower() for w in words]), strict=True)) | dict(zip(rest, self._encode(rest), strict=True))
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        pieces = self.pieces(text)
+        pieces, units = self.pieces(text)
         if pieces is None:
             return self._encode([text])[0]
         known = self.known
         try:
             return b"".join(map(known.__getitem__, pieces))
         except KeyError:
-            new = list({p for p in pieces if p not in known})
-            made = zip(new, self._encode(new), strict=True)
-            if len(known) + len(new) <= CACHE:
-                known.update(made)
+            own = self._learn(pieces, units)
+            if len(known) + len(own) <= CACHE:
+                known.update(own)
                 return b"".join(map(known.__getitem__, pieces))
-            own = dict(made)
             return b"".join([own[p] if p in own else known[p] for p in pieces])
 
 
