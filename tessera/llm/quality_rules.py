@@ -126,7 +126,7 @@ def distance(p: Column, q: Column) -> Column:
 
     shares = lambda x: F.transform(F.array(F.struct(x.alias("x"), total(x).alias("n"))), lambda s: F.transform(s["x"], lambda v: F.try_divide(v.cast("double"), s["n"])))[0]
     terms = F.transform(F.arrays_zip(shares(p).alias("p"), shares(q).alias("q")), of)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
+    return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))))
 
 
 def divergence_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

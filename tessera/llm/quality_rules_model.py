@@ -182,6 +182,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], *, trees: int = TR
                 at[rows] += rate * (y - p)[rows].sum() / max(1e-6, (p * (1 - p))[rows].sum()) if len(rows) else 0
         at = np.clip(at, -12, 12)
     kept = list(rules)
+    if not kept:
+        return RuleEnsemble(names, float(np.log(y.mean() / (1 - y.mean()))))
     bias, w = _lasso(np.column_stack([r.of(x) for r in kept]).astype(np.float64), y.astype(np.float64), l1)
     return RuleEnsemble(names, bias, [(r, float(v)) for r, v in zip(kept, w, strict=True) if v])
 
