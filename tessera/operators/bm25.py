@@ -8,7 +8,7 @@ as a whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULTS, Settings
@@ -23,6 +23,11 @@ def tokenized(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return chunks.select(F.col(id_col).alias("chunk_id"), tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
+def exploded(rows: DataFrame, tokens: Column, *keep: str) -> DataFrame:
+    """One row a term. The outer form keeps the optimiser from tokenising once more to find empty rows."""
+    return rows.select(*keep, F.explode_outer(tokens).alias("term")).where(F.col("term").isNotNull())
+
+
 def corpus_stats(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row: n_chunks, total_tokens and avgdl (1 for an empty collection's length)."""
     return tokenized(chunks, id_col, text_col).agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_tokens"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
@@ -30,7 +35,7 @@ def corpus_stats(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def postings(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, chunk_id, tf, dl) of every term."""
-    return tokenized(chunks, id_col, text_col).select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return exploded(tokenized(chunks, id_col, text_col), F.col("tokens"), "chunk_id", "dl").groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def idf(df, n):
@@ -58,11 +63,16 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, *, id_col: str = "doc_id"
     terms = asked.select("term").distinct()
     hint = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda x: x)
     rows = tokenized(chunks, id_col, text_col)
-    stats = rows.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
-    held = rows.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(hint(terms), "term", "left_semi")
-    held = held.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    weights = asked.join(hint(df), "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "avgdl", (F.col("qtf") * idf(F.col("df"), F.col("n_chunks"))).alias("weight"))
+    # one pass for all statistics: the empty term stands for the chunk itself
+    marked = exploded(rows, F.array_append(F.array_distinct("tokens"), ""), "dl")
+    wanted = terms.union(terms.sparkSession.createDataFrame([("",)], "term string"))
+    counts = marked.join(hint(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+    whole = Window.partitionBy()  # one row a query term
+    of_all = lambda c: F.max(F.when(F.col("term") == "", F.col(c))).over(whole)
+    counts = counts.withColumns({"n_chunks": of_all("df"), "total": of_all("total")})
+    df = counts.select("term", idf(F.col("df"), F.col("n_chunks")).alias("idf"), (F.col("total") / F.col("n_chunks")).alias("avgdl"))
+    weights = asked.join(hint(df), "term").select("query_id", "term", "avgdl", (F.col("qtf") * F.col("idf")).alias("weight"))
+    held = exploded(rows, F.col("tokens"), "chunk_id", "dl").join(hint(terms), "term", "left_semi").groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     scored = held if allowed is None else held.join(allowed, "chunk_id", "left_semi")
     length = 1 - settings.b + settings.b * F.col("dl") / F.col("avgdl")
     gain = F.col("weight") * F.col("tf") * (settings.k1 + 1) / (F.col("tf") + settings.k1 * length)
