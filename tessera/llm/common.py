@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,18 +21,21 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     It is read from ``spark.checkpoint.dir``; only where that is unset (one
-    machine, as in tests) a folder of our own is made and remembered.
+    machine, as in tests) a folder of our own is made, remembered, and removed at
+    the end.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        own = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below one folder an application, which may be deleted as a whole after it."""
+    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from tessera.llm.cross_polytope import nearest
 from tessera.llm.language import fit_languages, held_out, identify_languages
 from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_join import Join, ngram_jaccard_join
-from tessera.llm.oracles import MIXING
+from tessera.llm.oracles import DIVERGENCE, MIXING, NGRAM_JOIN
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality_rules import divergence_rules
 from tessera.llm.quality_rules_model import fit_quality, score_quality
@@ -87,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": MIXING}
+    return {"op1_divergence_rules": DIVERGENCE, "op2_ngram_join": NGRAM_JOIN, "op7_mixing": MIXING}

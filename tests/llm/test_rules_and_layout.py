@@ -19,7 +19,6 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tessera.llm import packing, queries as Q, token_files, tokens, wrappers
 from tessera.llm.mixing import Mix, leaf_quotas, mix_sources
-from tessera.llm.oracles import MIXING
 from tessera.llm.quality_rules import LEAST_CHARS, divergence_rules, distance
 from tests.conftest import SF
 from tests.test_oracles import rows
@@ -80,10 +79,11 @@ def test_jensen_shannon_distance(spark):
 # --- mixing ------------------------------------------------------------------------------
 
 
-def test_mixing_agrees_with_sql(spark):
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_agrees_with_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
-    ours, theirs = Q.op7_mixing(spark, SF), con.execute(MIXING)
+    ours, theirs = Q.queries()[name](spark, SF), con.execute(Q.oracle_sql()[name])
     assert rows(ours.columns, [tuple(r) for r in ours.collect()]) == rows([d[0] for d in theirs.description], theirs.fetchall())
 
 
