@@ -51,7 +51,7 @@ def budgeted(items: DataFrame, *, budget: int, scaffold: Column, settings: Setti
         return placed.where(fits).drop("room")
     cut = (F.col("rank") == 1) & ~fits & (F.col("room") >= settings.trim_floor)
     head = F.format_string("[%d] Source: %s (Page %d)\n", F.col("rank"), F.col("source"), F.col("page"))
-    trim_udf = F.udf(trimmed_to, "string")  # only for first items that overflow
+    trim_udf = F.udf(trimmed_to, "string", useArrow=True)  # only for first items that overflow
     kept = placed.where(fits | cut)
     shorter = F.when(cut, trim_udf(head, F.when(cut, F.col("text")).otherwise(""), F.col("room"))).otherwise(F.col("text"))
     return kept.withColumn("text", shorter).withColumn("block", context_block(F.col("rank"), F.col("source"), F.col("page"), strip_ws(F.col("text")))).withColumn("cost", count_tokens(F.col("block"))).drop("room")

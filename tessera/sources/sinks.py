@@ -32,6 +32,7 @@ def exposition(counts: DataFrame, totals: DataFrame) -> DataFrame:
     one = totals.agg(*(c.alias(n) for n, c in of.items()))
     whole = lambda c: F.col(c).cast("long").cast("string")
     about = lambda at, name, what, kind: [(at, F.lit(f"# HELP {name} {what}")), (at + 1, F.lit(f"# TYPE {name} {kind}"))]
+    # Names and help texts that scrapers know.
     lines = [
         *about(0, "gateway_active_requests", "Current in-flight inference requests.", "gauge"),
         (2, F.concat(F.lit("gateway_active_requests "), F.greatest(F.lit(0), F.col("active_requests").cast("long")).cast("string"))),
