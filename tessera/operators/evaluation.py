@@ -97,3 +97,16 @@ def containment_pairs(documents: DataFrame, items: DataFrame) -> DataFrame:
     near = tokens.join(F.broadcast(keyed.where("key is not null")), "key")  # the item table is a set of questions
     short = documents.select("chunk_id", "text").join(F.broadcast(keyed.where("key is null")), F.contains("text", "expected")).select("query_id", "chunk_id")
     return near.where(F.contains("text", "expected")).select("query_id", "chunk_id").union(short).distinct()
+
+
+def demotion_causes(pairs: DataFrame) -> DataFrame:
+    """Why gold chunks lost the first place: (gold_title, gold_text, preferred_title, preferred_text) a demotion.
+
+    Counts of demotions, of those to the same article (one title within the other) with
+    their percentage, and of those to a longer and to a text that is not longer.
+    """
+    gold, other = F.lower("gold_title"), F.lower("preferred_title")
+    same = F.contains(gold, other) | F.contains(other, gold)
+    longer = F.length("preferred_text") > F.length("gold_text")
+    many = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return pairs.agg(F.count("*").alias("demotions"), many(same).alias("same_article"), F.round(safe_ratio(many(same) * 100, F.count("*")), 1).alias("same_article_percent"), many(longer).alias("longer_preferred"), many(~longer).alias("shorter_preferred"))

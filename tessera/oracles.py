@@ -189,6 +189,10 @@ ranks as (select alpha, query_id, min(case when chunk_id = query_id then new_ran
 select alpha, {METRICS.format(1)}, {METRICS.format(3)}, {RR} from ranks group by alpha""",
     "demotion_analysis": f"""with {POOL}, r as (select query_id, min(case when chunk_id = query_id then rank end) as pre, min(case when chunk_id = query_id then final_rank end) as post from pool group by query_id)
 select count(*) as queries, sum((pre is not null)::int)::bigint as in_pool, sum(coalesce((pre = 1 and coalesce(post, 99) > 1)::int, 0))::bigint as demoted, sum(coalesce((coalesce(pre, 99) > 1 and post = 1)::int, 0))::bigint as promoted from r""",
+    "demotion_causes": f"""with {POOL}, x as (select lower(gc.source) as g, lower(pc.source) as p, length(gc.text) as gl, length(pc.text) as pl
+  from pool a join pool b using (query_id) join c gc on gc.chunk_id = a.chunk_id join c pc on pc.chunk_id = b.chunk_id where a.chunk_id = a.query_id and a.rank = 1 and a.final_rank > 1 and b.final_rank = 1)
+select count(*) as demotions, coalesce(sum((contains(g, p) or contains(p, g))::int), 0)::bigint as same_article, coalesce(round(sum((contains(g, p) or contains(p, g))::int) * 100.0::double / count(*), 1), 0) as same_article_percent,
+  coalesce(sum((pl > gl)::int), 0)::bigint as longer_preferred, coalesce(sum((pl <= gl)::int), 0)::bigint as shorter_preferred from x""",
     "token_length_stats": f"select round(avg(n), 6) as avg_tokens, max(n) as max_tokens, sum((n > 512)::int)::bigint as over_512, round(quantile_cont(n::double, 0.95), 6) as p95_tokens from (select {count_tokens('text')} as n from documents)",
     "tokenize_counts": f"select doc_id, len(t)::int as n_tokens, len(list_distinct(t))::int as n_distinct, md5(array_to_string(t, ' ')) as tokens_md5 from (select doc_id, {tokens('text')} as t from documents)",
     "sentence_split": f"select doc_id, unnest(range(len(s)))::int as idx, unnest(s) as sentence from (select doc_id, {sentences('text')} as s from documents)",

@@ -14,8 +14,11 @@ from tessera.operators.store import ChunkStore
 from tessera.sources.readers import read_files
 
 
-def embedded(rows: DataFrame, text_col: str = "text", embed: Embedder = hashed_embedder) -> DataFrame:
-    """The rows with their unit vector ``v``, made in batches of at most 64 texts."""
+def embedded(rows: DataFrame, text_col: str = "text", embed: Embedder = hashed_embedder, prefix: str = "") -> DataFrame:
+    """The rows with their unit vector ``v``, made in batches of at most 64 texts.
+
+    Models that were trained so want ``config.QUERY_PREFIX`` before queries.
+    """
     names = rows.columns
     at = names.index(text_col)
 
@@ -23,7 +26,7 @@ def embedded(rows: DataFrame, text_col: str = "text", embed: Embedder = hashed_e
         for whole in batches:
             for low in range(0, whole.num_rows, 64):
                 batch = whole.slice(low, 64)
-                vectors = embed([t or "" for t in batch.column(at).to_pylist()])
+                vectors = embed([prefix + (t or "") for t in batch.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([v.tolist() for v in vectors], pa.list_(pa.float64()))], names=[*names, "v"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

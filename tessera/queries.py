@@ -232,6 +232,14 @@ def demotion_analysis(spark, sf_dir):
     return evaluation.demotions(ranks)
 
 
+@query
+def demotion_causes(spark, sf_dir):
+    pool = _pool(spark, sf_dir)
+    gold = pool.where("chunk_id = query_id and rank = 1 and final_rank > 1").select("query_id", F.col("source").alias("gold_title"), F.col("text").alias("gold_text"))
+    preferred = pool.where("final_rank = 1").select("query_id", F.col("source").alias("preferred_title"), F.col("text").alias("preferred_text"))
+    return evaluation.demotion_causes(gold.join(preferred, "query_id"))
+
+
 @query
 def token_length_stats(spark, sf_dir):
     n = text.count_tokens(F.col("text"))

@@ -126,6 +126,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, *, tolerant: bool =
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
 
 
+def read_numbered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(line_num, the schema's columns) of small JSON line files: blank lines are skipped, malformed ones dropped, numbers count from 1."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line")).where(F.trim("line") != "")
+    parsed = lines.select((F.col("pos") + 1).alias("line_num"), F.from_json("line", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    return parsed.where("r._corrupt is null").select("line_num", "r.*").drop("_corrupt")
+
+
 def read_exemplars(spark: SparkSession, intents: dict[str, list[str]]) -> DataFrame:
     """(exemplar_id, intent, ord, text) of a map from intent to sentences, in its order."""
     rows = [(i, intent, o, text) for i, (intent, o, text) in enumerate((intent, o, t) for intent, texts in intents.items() for o, t in enumerate(texts))]

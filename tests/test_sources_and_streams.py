@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators.chunking import chunk_pages
+from tessera.operators.layout import layout_text
 from tessera.operators.store import ChunkStore
 from tessera.plans.chat import chat
 from tessera.plans.ingest import embedded, ingest
@@ -67,6 +68,7 @@ def test_structured_sources(spark, tmp_path):
     assert [r.query for r in readers.read_jsonl(spark, f"file://{tmp_path}/l.jsonl", "query string", tolerant=True).orderBy("query").collect()] == ["a", "b"]
     with pytest.raises(Exception):
         readers.read_jsonl(spark, f"file://{tmp_path}/l.jsonl", "query string").collect()
+    assert sorted(map(tuple, readers.read_numbered_jsonl(spark, f"file://{tmp_path}/l.jsonl", "query string").collect())) == [(1, "a"), (4, "b")]
     intents = readers.parse_intents("# bank\ngeneral:\n  - hi\n  - 'you there'\nrag:\n- find it\n")
     assert intents == {"general": ["hi", "you there"], "rag": ["find it"]}
     assert [tuple(r) for r in readers.read_exemplars(spark, intents).orderBy("exemplar_id").collect()][2] == (2, "rag", 0, "find it")
@@ -77,6 +79,14 @@ def test_structured_sources(spark, tmp_path):
     assert passages.count() == 1 and [(r.query, r.answers) for r in questions.collect()] == [("q?", ["x"])]
 
 
+def test_layout_replaces_blocks_by_tables(spark):
+    box = "doc_id long, page int, x0 double, y0 double, x1 double, y1 double, text string"
+    blocks = spark.createDataFrame([(1, 1, 0.0, 50.0, 10.0, 60.0, "after"), (1, 1, 0.0, 0.0, 10.0, 10.0, " before "), (1, 1, 0.0, 20.0, 10.0, 30.0, "cell"), (1, 1, 0.0, 38.0, 10.0, 48.0, "edge"), (1, 2, 0.0, 0.0, 1.0, 1.0, " ")], box)
+    tables = spark.createDataFrame([(1, 1, 0.0, 18.0, 10.0, 40.0, "A: 1\nA: 2"), (2, 1, 0.0, 0.0, 1.0, 1.0, "B: 1")], box)
+    found = {(r.doc_id, r.page): r.text for r in layout_text(blocks, tables).collect()}
+    assert found == {(1, 1): "before\nA: 1\nA: 2\nedge\nafter", (2, 1): "B: 1"}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a|b", 1)], "x string, n int")
     sinks.write_csv(df, f"file://{tmp_path}/csv")
