@@ -17,26 +17,39 @@ from tessera.operators.rerank import Scorer, rerank
 MODES = {"sparse": "sparse", "bm25": "sparse", "hybrid": "hybrid"}
 
 
+def askable(queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Queries that are neither blank nor too long."""
+    return queries.where((F.trim(F.coalesce("query", F.lit(""))) != "") & (F.length("query") <= settings.max_query_chars))
+
+
+def ranked_list(kind: str, chunks: DataFrame, asked: DataFrame, allowed: DataFrame | None, settings: Settings) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the ``retrieve_k`` best of one kind, sparse or dense."""
+    if kind == "sparse":
+        return top_k(bm25_scores(chunks, asked, id_col="chunk_id", text_col="text", allowed=allowed, settings=settings), settings.retrieve_k)
+    return dense_top_k(chunks, asked, settings.retrieve_k, id_col="chunk_id", vector_col="v", query_id="query_id", query_vector="v", allowed=allowed)
+
+
+def candidates(mode: str, lists: dict[str, DataFrame], settings: Settings) -> tuple[DataFrame, str, int]:
+    """Candidates of a mode from the ranked lists, the score that orders them, and its digits."""
+    if mode == "hybrid":
+        return reciprocal_rank_fusion(lists["dense"], lists["sparse"], top=settings.retrieve_k, settings=settings), "rrf_score", 6
+    name = "bm25_score" if mode == "sparse" else "dense_score"
+    return lists[mode].withColumnRenamed("score", name), name, 4
+
+
+def kinds_of(mode: str) -> list[str]:
+    return ["dense", "sparse"] if mode == "hybrid" else [mode]
+
+
 def retrieve(chunks: DataFrame, queries: DataFrame, *, mode: str = "hybrid", scorer: Scorer | None = None, allowed: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """Result items (query_id, chunk_id, text, source, page, scores, rank).
 
     Chunks have chunk_id, text, source, page and, for dense parts, v; queries have
     query_id, query and v. An unknown mode is dense; blank queries give nothing.
     """
-    asked = queries.where((F.trim(F.coalesce("query", F.lit(""))) != "") & (F.length("query") <= settings.max_query_chars))
-    kind, k = MODES.get(mode, "dense"), settings.retrieve_k
-    sparse = dense = None
-    if kind != "dense":
-        scores = bm25_scores(chunks, asked, id_col="chunk_id", text_col="text", allowed=allowed, settings=settings)
-        sparse = top_k(scores, k)
-    if kind != "sparse":
-        dense = dense_top_k(chunks, asked, k, id_col="chunk_id", vector_col="v", query_id="query_id", query_vector="v", allowed=allowed)
-    if kind == "hybrid":
-        found, by, digits = reciprocal_rank_fusion(dense, sparse, top=k, settings=settings), "rrf_score", 6
-    elif kind == "sparse":
-        found, by, digits = sparse.withColumnRenamed("score", "bm25_score"), "bm25_score", 4
-    else:
-        found, by, digits = dense.withColumnRenamed("score", "dense_score"), "dense_score", 4
+    asked, mode = askable(queries, settings), MODES.get(mode, "dense")
+    lists = {kind: ranked_list(kind, chunks, asked, allowed, settings) for kind in kinds_of(mode)}
+    found, by, digits = candidates(mode, lists, settings)
     if scorer is None:
         return result_items(final_cut(found, by, settings.final_k, digits), chunks)
     texts = found.join(chunks.select("chunk_id", "text"), "chunk_id").join(asked.select("query_id", "query"), "query_id")
@@ -61,11 +74,22 @@ def answer(chunks: DataFrame, queries: DataFrame, *, mode: str = "hybrid", score
 
 
 def sweep(chunks: DataFrame, queries: DataFrame, configurations: dict[str, tuple[str, dict]]) -> DataFrame:
-    """Results of every configuration (mode, changed settings) in one table."""
+    """(configuration, query_id, chunk_id, rank) of every configuration (mode, changed settings).
+
+    Ranked lists that configurations share are one plan each, whose exchanges Spark
+    reuses; texts are not carried along.
+    """
+    lists: dict[tuple, DataFrame] = {}
     out = None
     for name, (mode, changes) in configurations.items():
-        own = retrieve(chunks, queries, mode=mode, settings=replace(DEFAULTS, **changes)).withColumn("configuration", F.lit(name))
-        out = own if out is None else out.unionByName(own)
+        settings, mode = replace(DEFAULTS, **changes), MODES.get(mode, "dense")
+        for kind in kinds_of(mode):
+            key = (kind, settings.retrieve_k, settings.k1, settings.b)
+            if key not in lists:
+                lists[key] = ranked_list(kind, chunks, askable(queries, settings), None, settings)
+        found, by, digits = candidates(mode, {k: lists[k, settings.retrieve_k, settings.k1, settings.b] for k in kinds_of(mode)}, settings)
+        own = final_cut(found, by, settings.final_k, digits).select(F.lit(name).alias("configuration"), "query_id", "chunk_id", F.col("final_rank").alias("rank"))
+        out = own if out is None else out.union(own)
     return out
 
 
