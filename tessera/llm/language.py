@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.tokens import release
+
 #: Training texts of each language at most twice this number, about this number.
 TRAIN_DOCS = 500
 PENALTY = 2.0
@@ -190,6 +192,7 @@ def identify_languages(docs: DataFrame, models: NgramModels, *, id_col: str = "d
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:width])
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = Identifier(models)
         for batch in batches:
             found = [scorer.score(x.as_py()) for x in batch.column(at)]

@@ -113,3 +113,17 @@ def encoder(path: str, style: str) -> Encoder:
     if (path, style) not in _ENCODERS:
         _ENCODERS[path, style] = Encoder(path, style)
     return _ENCODERS[path, style]
+
+
+def release() -> None:
+    """Give back what encoders hold in this Python worker, for operators that need the room."""
+    if not _ENCODERS:
+        return
+    import ctypes
+    import gc
+
+    _ENCODERS.clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # only this C library keeps freed memory until told
+        trim(0)
