@@ -132,8 +132,13 @@ class ToxicityModel:
         self.prior = totals[1] / sum(totals) if sum(totals) else 0.5
         if not len(labels) or labels.min() == labels.max():
             return
-        grams = [(lambda w: Counter(w) + Counter(stems_of(w)))(words_of(t)) for t in texts]
-        counts = [Counter(t for g, y in zip(grams, labels, strict=True) if y == c for t in g) for c in (0, 1)]
+        counts = [Counter(), Counter()]
+        for label in (1, 0):  # of label 0, only terms that label 1 has are of interest
+            for text, y in zip(texts, labels, strict=True):
+                if y == label:
+                    words = words_of(text)
+                    own = {*words, *stems_of(words)}
+                    counts[label].update(own if label else own & counts[1].keys())
         sizes = [int((labels == c).sum()) for c in (0, 1)]
         self.terms: dict[str, int] = {}
         for term in sorted(counts[1]):
