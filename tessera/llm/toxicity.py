@@ -1,17 +1,19 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Labelled examples (a bounded sample of both classes, by a hash of the id) are
-vectors over the terms that occur in label-1 examples significantly more often than
-in label-0 examples; terms are words and their beginnings. The examples are held in
-an inverted index in blocks, with each term's largest weight in each block. A text's
-neighbours are found exactly: blocks are scored in order of the bound that those
-largest weights give, until no block can hold a nearer example.
+Labelled examples (a bounded sample of both classes, by a hash of the id) are vectors
+over all terms that at least two of them have; terms are words and their beginnings.
+The weight of a term is its IDF, times more the surer it is that label 1 has it more
+often (log-odds less two standard errors); every term has its share, so each text with
+a known term has neighbours. The examples are held in an inverted index in blocks, with
+each term's largest weight in each block. A text's neighbours are found exactly: blocks
+are scored in order of the bound that those largest weights give, until no block can
+hold a nearer example.
 
 Neighbours vote with the square of their cosine; each stands for as many labelled
 rows of its class as were left out of the sample. Votes are made into probabilities
 by isotonic regression on the sample's own votes, each example left out of its own.
 
-Defined results: a text without any of the terms, empty and null texts included, has
+Defined results: a text without any known term, empty and null texts included, has
 no neighbour and gets the share of label 1 among such examples; without labelled rows
 of both classes every score is the share of label 1 (0.5 without any). Equal cosines
 go to the example that comes first in the index. Repeated rows are scored each for
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +38,12 @@ from tessera.llm.language import held_out
 TRAIN_DOCS = (6_000, 3_000)
 NEIGHBOURS = 16
 BLOCK = 64
-#: A term's log-odds must exceed ``LEAST_ODDS`` by so many standard errors.
+#: So many standard errors are taken off a term's log-odds.
 SIGNIFICANT = 2.0
-LEAST_ODDS = 2.0
+#: What each term's weight has beside its log-odds, so that no term is left out.
+SHARE = 0.1
+#: A term of fewer examples has no neighbours to lead to.
+LEAST_DOCS = 2
 #: Characters of a word's beginning that make a term of its own.
 STEM = 5
 #: Weight of the prior in a vote.
@@ -54,52 +59,74 @@ def stems_of(words: list[str]) -> list[str]:
     return [f"{w[:STEM]}-" for w in words if len(w) > STEM]
 
 
+def spans(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of the spans, one span after another."""
+    ends = np.cumsum(lengths)
+    places = np.repeat(begins - ends + lengths, lengths)
+    places += np.arange(len(places))
+    return places
+
+
+def arrays(vector: dict[int, float] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(vector, tuple):
+        return vector
+    return np.fromiter(vector.keys(), np.int64, len(vector)), np.fromiter(vector.values(), np.float64, len(vector))
+
+
 class BlockMaxIndex:
     """Exact top-k inner products of sparse unit vectors by block-max pruning."""
 
-    def __init__(self, vectors: list[dict[int, float]], block: int = BLOCK) -> None:
+    def __init__(self, vectors: list, block: int = BLOCK) -> None:
         self.block, self.n = block, len(vectors)
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for d, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                postings[term].append((d, weight))
-        self.docs, self.weights, self.blocks, self.begins, self.most = {}, {}, {}, {}, {}
-        for term, own in postings.items():
-            docs, weights = np.array([d for d, _ in own]), np.array([w for _, w in own])
-            blocks, begins = np.unique(docs // block, return_index=True)
-            self.docs[term], self.weights[term] = docs, weights
-            self.blocks[term], self.begins[term] = blocks, np.append(begins, len(docs))
-            self.most[term] = np.maximum.reduceat(weights, begins)
-
-    def search(self, query: dict[int, float], k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        pairs = [arrays(v) for v in vectors]
+        terms = np.concatenate([t for t, _ in pairs] or [np.empty(0, np.int32)])
+        docs = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in pairs])
+        order = np.argsort(terms, kind="stable")  # postings by term, then example
+        terms, self.docs = terms[order], docs[order]
+        self.weights = np.concatenate([w for _, w in pairs] or [np.empty(0)])[order]
+        del pairs, docs, order
+        blocks = self.docs // block
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])
+        begins = np.flatnonzero(new)  # of each term's postings in each block
+        self.begins, self.lengths = begins, np.diff(begins, append=len(terms))
+        self.blocks = blocks[begins]
+        self.most = np.maximum.reduceat(self.weights, begins) if len(begins) else np.empty(0)
+        self.size = int(terms[-1]) + 1 if len(terms) else 0
+        self.first = np.searchsorted(terms[begins], np.arange(self.size + 1))
+
+    def search(self, query: dict[int, float] | tuple[np.ndarray, np.ndarray], k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a positive cosine, nearest first."""
-        terms = [t for t in query if t in self.docs]
-        if not terms:
-            return np.empty(0, np.int64), np.empty(0)
-        bound = np.zeros(-(-self.n // self.block))
-        for t in terms:
-            bound[self.blocks[t]] += query[t] * self.most[t]
+        terms, weights = arrays(query)
+        known = terms < self.size
+        terms, weights = terms[known], weights[known]
+        each = self.first[terms + 1] - self.first[terms]
+        parts = spans(self.first[terms], each)
+        found, scores, least = np.empty(0, np.int64), np.empty(0), 0.0
+        if not len(parts):
+            return found, scores
+        weights, blocks = np.repeat(weights, each), self.blocks[parts]
+        begins, lengths = self.begins[parts], self.lengths[parts]
+        bound = np.bincount(blocks, weights * self.most[parts], -(-self.n // self.block))
         order = np.argsort(-bound, kind="stable")
         order = order[: int((bound > 0).sum())]
-        found, scores, least = np.empty(0, np.int64), np.empty(0), 0.0
-        at = 0
+        at, step = 0, 8  # a few blocks at a time
         while at < len(order) and (len(found) < k or bound[order[at]] >= least):
-            some = order[at : at + 8]  # a few blocks at a time
+            some = order[at : at + step]
             if len(found) >= k:
                 some = some[bound[some] >= least]
-            at += 8
-            place = np.full(len(bound), -1)
-            place[some] = np.arange(len(some))
-            sums = np.zeros(len(some) * self.block)
-            for t in terms:
-                for i in np.flatnonzero(place[self.blocks[t]] >= 0):
-                    b, e = self.begins[t][i], self.begins[t][i + 1]
-                    docs = self.docs[t][b:e]
-                    sums[place[self.blocks[t][i]] * self.block + docs % self.block] += query[t] * self.weights[t][b:e]
-            hit = np.flatnonzero(sums > 1e-12)
-            docs = some[hit // self.block] * self.block + hit % self.block
-            keep = docs != leave_out
-            found, scores = np.concatenate([found, docs[keep]]), np.concatenate([scores, sums[hit][keep]])
+            at, step = at + step, 2 * step
+            chosen = np.zeros(len(bound), bool)
+            chosen[some] = True
+            taken = np.flatnonzero(chosen[blocks])
+            n = lengths[taken]
+            postings = spans(begins[taken], n)
+            products = self.weights.take(postings, mode="clip")
+            products *= np.repeat(weights[taken], n)
+            sums = np.bincount(self.docs.take(postings, mode="clip"), products, self.n)
+            docs = np.flatnonzero(sums > max(1e-12, least - 1e-11))
+            docs = docs[docs != leave_out]
+            found, scores = np.concatenate([found, docs]), np.concatenate([scores, sums[docs]])
             best = np.lexsort((found, -np.round(scores, 12)))[:k]
             found, scores = found[best], scores[best]
             if len(found) == k:
@@ -124,6 +151,13 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([k[0] for k in knots]), np.array([k[1] for k in knots])
 
 
+def counts_of(text: str | None) -> Counter:
+    words = words_of(text)
+    tf = Counter(words)
+    tf.update(stems_of(words))
+    return tf
+
+
 class ToxicityModel:
     """Terms, index and calibration; ``score`` reads one whole text."""
 
@@ -132,50 +166,47 @@ class ToxicityModel:
         self.prior = totals[1] / sum(totals) if sum(totals) else 0.5
         if not len(labels) or labels.min() == labels.max():
             return
-        counts = [Counter(), Counter()]
-        for label in (1, 0):  # of label 0, only terms that label 1 has are of interest
-            for text, y in zip(texts, labels, strict=True):
-                if y == label:
-                    words = words_of(text)
-                    own = {*words, *stems_of(words)}
-                    counts[label].update(own if label else own & counts[1].keys())
-        sizes = [int((labels == c).sum()) for c in (0, 1)]
-        self.terms: dict[str, int] = {}
-        for term in sorted(counts[1]):
-            one, none = counts[1][term] + 0.5, counts[0][term] + 0.5
-            odds = math.log(one / (sizes[1] + 1)) - math.log(none / (sizes[0] + 1))
-            if odds - SIGNIFICANT * math.sqrt(1 / one + 1 / none) > LEAST_ODDS:
-                self.terms[term] = len(self.terms)
-        n = len(texts)
-        self.idf = [math.log((1 + n) / (1 + counts[0][t] + counts[1][t])) + 1 for t in self.terms]
-        self.whole = {t for t in self.terms if t[-1] != "-"}
-        self.starts = self.terms.keys() - self.whole
-        vectors = [self.vector(t) for t in texts]
-        held = sorted((i for i, v in enumerate(vectors) if v), key=lambda i: (labels[i], min(vectors[i]), i))
+        every: dict[str, int] = {}
+        rows = []  # of each text its terms, as numbers, and how often each occurs
+        for text in texts:
+            tf = counts_of(text)
+            rows.append((np.fromiter((every.setdefault(t, len(every)) for t in tf), np.int32, len(tf)), np.fromiter(tf.values(), np.int32, len(tf))))
+        n, sizes = len(texts), [int((labels == c).sum()) for c in (0, 1)]
+        none, one = (np.bincount(np.concatenate([t for (t, _), y in zip(rows, labels, strict=True) if y == c]), minlength=len(every)) for c in (0, 1))
+        kept = none + one >= LEAST_DOCS
+        number = (np.cumsum(kept) - 1).astype(np.int32)
+        self.terms = {t: int(number[i]) for t, i in every.items() if kept[i]}
+        del every
+        one, none = one[kept] + 0.5, none[kept] + 0.5
+        odds = np.log(one / (sizes[1] + 1)) - np.log(none / (sizes[0] + 1)) - SIGNIFICANT * np.sqrt(1 / one + 1 / none)
+        self.weights = (np.log((1 + n) / (one + none)) + 1) * (SHARE + np.maximum(0, odds))
+        self.speaking = {int(i): "" for i in np.flatnonzero(odds > 0)}  # terms of label 1
+        self.speaking.update((i, t) for t, i in self.terms.items() if i in self.speaking)
+        rows = [(number[t[kept[t]]], c[kept[t]]) for t, c in rows]
+        # Like examples share a block: by the label and the word that is most frequent in them.
+        held = sorted((i for i, (t, _) in enumerate(rows) if len(t)), key=lambda i: (labels[i], rows[i][0][rows[i][1].argmax()], i))
+        vectors = rows
+        for i, row in enumerate(rows):  # in place, for the driver's memory
+            vectors[i] = self.unit(*row)
         self.ids, self.labels = [ids[i] for i in held], labels[held].astype(np.float64)
         self.index = BlockMaxIndex([vectors[i] for i in held])
         self.stands = np.array([totals[c] / sizes[c] for c in (0, 1)])
         weight = self.stands[labels]
-        bare = np.array([not v for v in vectors])
+        bare = np.array([not len(t) for t, _ in vectors])
         total = weight[bare].sum()
         self.bare = float(((weight * labels)[bare].sum() + 0.01) / (total + 1)) if total else self.prior
         votes = np.array([self.vote(*self.index.search(vectors[i], k, at)) for at, i in enumerate(held)])
         self.knots = isotonic(votes, self.labels, weight[held]) if held else (np.zeros(1), np.array([self.prior]))
 
-    def vector(self, text: str | None) -> dict[int, float]:
-        """The unit TF-IDF vector of a text over the terms."""
-        words = words_of(text)
-        hits = self.whole.intersection(words)
-        starts = {w[:STEM] for w in words if len(w) > STEM}
-        stems = [s for s in (f"{p}-" for p in starts) if s in self.starts]
-        if not hits and not stems:
-            return {}
-        tf = Counter(w for w in words if w in hits)
-        if stems:
-            tf.update(s for s in stems_of(words) if s in self.starts)
-        raw = {self.terms[t]: (1 + math.log(c)) * self.idf[self.terms[t]] for t, c in sorted(tf.items())}
-        length = math.sqrt(sum(x * x for x in raw.values()))
-        return {t: x / length for t, x in raw.items()}
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(terms)
+        raw = (counts * self.weights[terms])[order]
+        return terms[order], raw / math.sqrt(raw @ raw) if len(raw) else raw
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The unit TF-IDF vector of a text: known terms and weights."""
+        found = [(self.terms[t], c) for t, c in counts_of(text).items() if t in self.terms]
+        return self.unit(np.array([t for t, _ in found], np.int64), np.array([c for _, c in found], np.float64))
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         labels = self.labels[near]
@@ -183,7 +214,7 @@ class ToxicityModel:
         return float(((weight * labels).sum() + PRIOR * self.prior) / (weight.sum() + PRIOR))
 
     def score(self, text: str | None) -> tuple[float, list, list[float], list[str]]:
-        """Probability of label 1, neighbours' ids, their cosines, and the terms found."""
+        """Probability of label 1, neighbours' ids, their cosines, and the terms that speak for label 1."""
         if self.index is None:
             return self.prior, [], [], []
         vector = self.vector(text)
@@ -191,8 +222,7 @@ class ToxicityModel:
         if not len(near):
             return self.bare, [], [], []
         p = float(np.interp(self.vote(near, cosine), *self.knots))
-        names = list(self.terms)
-        return p, [self.ids[i] for i in near], [min(1.0, float(c)) for c in cosine], [names[t] for t in vector]
+        return p, [self.ids[i] for i in near], [min(1.0, float(c)) for c in cosine], [self.speaking[t] for t in vector[0].tolist() if t in self.speaking]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, remainder: int = 0, train_docs: tuple[int, int] = TRAIN_DOCS) -> ToxicityModel:
