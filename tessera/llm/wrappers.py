@@ -54,6 +54,10 @@ PART = re.compile(r"[A-Za-z]+").findall
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ASIDE = set("nav footer aside form menu head dialog button fieldset".split())
+#: Of these, what may hold no article at all; others of ASIDE and all ASIDE_WORDS may also name a box around it.
+NEVER = ASIDE - {"form", "fieldset"}
+#: Ends the sign of an element that is named like an aside but holds the article.
+BOX = ".="
 ASIDE_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice alert newsletter subscribe subscription popup modal sidebar widget related recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager menu navigation nav navbar footer comment comments disqus respond replies reply login signup search toolbar skip".split())
 HOLDERS = set("article main section div td body".split())
 
@@ -78,6 +82,8 @@ class Page:
                 self.texts.append("")
         if at < len(html):
             self._text(html[at:])
+        for i in boxes(self.signs, self.texts):
+            self.signs[i] += BOX
 
     def _text(self, raw: str) -> None:
         if raw.strip():
@@ -101,6 +107,8 @@ def name_of(sign: str) -> str:
 @lru_cache(20_000)
 def is_aside(sign: str) -> bool:
     name, _, words = sign.partition(".")
+    if sign.endswith(BOX):
+        return False
     return name in ASIDE or (name not in ("article", "main", "body", "html") and not ASIDE_WORDS.isdisjoint(words.split(".")))
 
 
@@ -110,6 +118,49 @@ def is_header(sign: str) -> bool:
     return name == "header" or (name in HOLDERS and bool({"header", "masthead"} & set(words.split("."))))
 
 
+def elements(signs: list[str]) -> Iterator[tuple[int, int]]:
+    """Begin and end (the token after it) of every element, inner ones first."""
+    stack: list[tuple[str, int]] = []
+    for i, sign in enumerate(signs):
+        if sign == "#":
+            continue
+        name = name_of(sign.lstrip("/"))
+        if sign[0] == "/":
+            if any(n == name for n, _ in stack):
+                while True:
+                    gone, begin = stack.pop()
+                    yield begin, i + (gone == name)
+                    if gone == name:
+                        break
+        elif name not in VOID:
+            if stack and (stack[-1][0] == name in ("p", "li", "td", "tr") or (name == "body" and stack[-1][0] == "head")):
+                yield stack.pop()[1], i
+            stack.append((name, i))
+    while stack:
+        yield stack.pop()[1], len(signs)
+
+
+def boxes(signs: list[str], texts: list[str]) -> list[int]:
+    """Elements named like an aside that are boxes around the article.
+
+    They hold all article and main elements and half of the page's running text, or
+    nine tenths of it on a page without such elements.
+    """
+    if not any(is_aside(s) and name_of(s) not in NEVER for s in set(signs)):
+        return []
+    spans = list(elements(signs))
+    never = bytearray(len(signs))
+    for b, e in spans:
+        if name_of(signs[b]) in NEVER or is_header(signs[b]) or name_of(signs[b]) == "a":
+            never[b:e] = b"\1" * (e - b)
+    mass, held = [0], [0]  # running sums of text, and of article and main elements
+    for i, (sign, text) in enumerate(zip(signs, texts, strict=True)):
+        mass.append(mass[-1] + (len(text) if sign == "#" and not never[i] else 0))
+        held.append(held[-1] + (not never[i] and name_of(sign) in ("article", "main")))
+    least = 0.5 if held[-1] else 0.9
+    return [b for b, e in spans if is_aside(signs[b]) and name_of(signs[b]) not in NEVER and not never[b] and mass[-1] and held[e] - held[b] == held[-1] and mass[e] - mass[b] >= least * mass[-1]]
+
+
 def walk(signs: list[str], texts: list[str], main: str | None) -> tuple[list[str], Counter]:
     """Blocks of the element ``main`` (of all, if None), and characters of running text by holder."""
     blocks, current, masses = [], [], Counter()
