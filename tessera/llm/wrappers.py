@@ -390,6 +390,31 @@ def combine(packed: list[str]) -> str:
     return pack(() if () in shapes else unified(shapes), masses, pages)
 
 
+def other_article(page: Page, main: str | None) -> tuple[int, int] | None:
+    """The article of a page that has it under another sign than its host: begin and end.
+
+    That is the element of main's name with most running text, if no element with the
+    sign ``main`` has half as much and none holds it.
+    """
+    name = name_of(main) if main else None
+    if name not in ("article", "main") or all(s == main or name_of(s) != name for s in set(page.signs)):
+        return None
+    spans = list(elements(page.signs))
+    out = bytearray(len(page.signs))
+    for b, e in spans:
+        if is_aside(page.signs[b]) or (name_of(page.signs[b]) == "a"):
+            out[b:e] = b"\1" * (e - b)
+    mass = [0]
+    for i, (sign, text) in enumerate(zip(page.signs, page.texts, strict=True)):
+        mass.append(mass[-1] + (len(text) if sign == "#" and not out[i] else 0))
+    found = [(mass[e] - mass[b], -b, e) for b, e in spans if name_of(page.signs[b]) == name and not out[b]]
+    most, b, e = max(found, default=(0, 0, 0))
+    own = [(n, -b2, e2) for n, b2, e2 in found if page.signs[-b2] == main]
+    if not most or page.signs[-b] == main or any(2 * n >= most or (b2 <= -b and e <= e2) for n, b2, e2 in own):
+        return None
+    return -b, e
+
+
 def main_holder(masses: Counter) -> str | None:
     """The element that holds the article: an article or main with its share of the text, else the smallest holder of most of it."""
     total = masses.get("", 0)
@@ -427,6 +452,10 @@ class Wrapper:
         if not html:
             return "", False
         page = Page(html)
+        other = other_article(page, self.main)
+        if other:
+            b, e = other
+            return "\n".join(walk(page.signs[b:e], page.texts[b:e], None)[0]), False
         if self.regex is not None:
             m = self.regex.fullmatch("".join([self.code.get(s, "\x00") for s in page.signs]))
             if m:

@@ -26,3 +26,20 @@ def test_comments_longer_than_the_article_stay_out(spark):
     comments = '<div id="comments">' + '<article class="comment"><p>a reader says very much about it</p></article>' * 30 + "</div>"
     found = texts(spark, [f"<body><article class='post'><p>Short text {i}.</p></article>{comments}</body>" for i in range(4)])
     assert found == {i: f"Short text {i}." for i in range(4)}
+
+
+@pytest.mark.parametrize("usual, other", [("post", "post featured"), ("post", "full")])
+def test_article_of_a_page_under_another_sign_than_its_host(spark, usual, other):
+    page = "<body><nav>menu</nav>{}<footer>foot</footer></body>"
+    article = '<article class="{}"><h1>Head {}</h1>{}</article>'
+    long = "<p>A long text that goes on and on.</p>"
+    pages = [page.format(article.format(usual, i, long * 5)) for i in range(8)]
+    pages.append(page.format(article.format(other, 8, long * 5) + f'<article class="{usual}"><p>A teaser.</p></article>'))
+    found = texts(spark, pages)
+    assert found == {i: "\n".join([f"Head {i}", *["A long text that goes on and on."] * 5]) for i in range(9)}
+
+
+def test_teasers_of_many_pages_do_not_hide_the_article(spark):
+    teasers = '<article class="card"><p>A teaser of another text here.</p></article>' * 8
+    pages = [f'<body><article class="full"><h1>Head {i}</h1><p>{"Words of it all. " * 12}</p></article>{teasers}</body>' for i in range(6)]
+    assert texts(spark, pages) == {i: f"Head {i}\n" + " ".join(["Words of it all."] * 12) for i in range(6)}
