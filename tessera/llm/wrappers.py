@@ -10,8 +10,10 @@ pages is never one task's work.
 
 The wrapper also learns which element holds the article, from how much running text
 the host's pages have in each kind of element outside menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments. A page that matches its
-wrapper gives the slots of that element; one that does not is walked by its tags.
+sidebars, notices, adverts, forms and reader comments. The text itself is a walk over
+the tags of that element; a match with the wrapper only says where it begins and ends.
+Text that all pages of a host share is not taken for template: a host with few pages,
+or with copies of one page, would lose its article.
 
 Defined results: a null, empty or wholly marked-up page gives the empty text; a null
 url is a host of its own; repeated rows are extracted each for itself; an empty table
