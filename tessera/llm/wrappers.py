@@ -369,11 +369,11 @@ def unified(shapes: set[tuple]) -> tuple:
     return w
 
 
-def pack(w: tuple, masses: Counter, pages: int) -> str:
+def pack(w: tuple | None, masses: Counter, pages: int) -> str:
     return json.dumps([w, dict(masses), pages])
 
 
-def unpack(text: str) -> tuple[tuple, Counter, int]:
+def unpack(text: str) -> tuple[tuple | None, Counter, int]:
     def tuples(x: object) -> object:
         return tuple(tuples(e) for e in x) if isinstance(x, list) else x
 
@@ -382,14 +382,14 @@ def unpack(text: str) -> tuple[tuple, Counter, int]:
 
 
 def combine(packed: list[str]) -> str:
-    """Align wrappers of one host, whatever their order; one that was given up gives up all."""
+    """Align wrappers of one host, whatever their order; one that was given up gives up all, one of empty pages (None) nothing."""
     parts = [unpack(p) for p in packed]
     masses, pages = Counter(), 0
     for _, more, n in parts:
         masses.update(more)
         pages += n
-    shapes = {w for w, _, n in parts}
-    return pack(() if () in shapes else unified(shapes), masses, pages)
+    shapes = {w for w, _, n in parts if w is not None}
+    return pack(None if not shapes else () if () in shapes else unified(shapes), masses, pages)
 
 
 def other_article(page: Page, main: str | None) -> tuple[int, int] | None:
@@ -487,7 +487,7 @@ def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
                 seen[host] += 1
             hosts, found = [], []
             for host in shapes:
-                w = unified(shapes[host] - {()}) if shapes[host] != {()} else ()
+                w = unified(shapes[host] - {()}) if shapes[host] != {()} else None
                 hosts.append(host)
                 found.append(pack(w, masses[host], seen[host]))
             yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "wrapper": pa.array(found, pa.string())})

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import wrappers
 
@@ -43,3 +46,12 @@ def test_teasers_of_many_pages_do_not_hide_the_article(spark):
     teasers = '<article class="card"><p>A teaser of another text here.</p></article>' * 8
     pages = [f'<body><article class="full"><h1>Head {i}</h1><p>{"Words of it all. " * 12}</p></article>{teasers}</body>' for i in range(6)]
     assert texts(spark, pages) == {i: f"Head {i}\n" + " ".join(["Words of it all."] * 12) for i in range(6)}
+
+
+def test_batches_of_empty_pages_do_not_give_up_the_host(spark):
+    pages = [(i, "https://a.example/x", f"<body><article><p>Text {i}.</p></article></body>" if i < 3 else "") for i in range(6)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(6, F.col("page_id"))
+    one = wrappers.infer_wrappers(df.coalesce(1)).first().wrapper
+    parts = [wrappers.infer_wrappers(df.where(f"page_id = {i}")).first().wrapper for i in range(6)]
+    assert json.loads(wrappers.combine(parts))[0] == json.loads(one)[0] != []
+    assert json.loads(wrappers.combine(parts[3:]))[0] is None
