@@ -9,8 +9,9 @@ waits on. Examples longer than a sequence fill whole sequences first.
 
 Work is streamed within a partition, with a bounded pool of waiting examples and
 no shuffle; a sequence's number has the partition in its high bits, so a retried
-task numbers its sequences alike. What a partition has left at its end is cut
-into sequences whose lengths are powers of two, which need no padding.
+task numbers its sequences alike. A sequence that is not full, by its number of
+segments or at a partition's end, is cut into sequences whose lengths are powers of
+two, which need no padding.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed each for itself; a null document id is kept as null; an empty table gives
@@ -138,6 +139,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, style: str = "word", end_
                     del held[key]
             made += 1
 
+        def place_whole(pieces: list[tuple[int, int, int]]) -> None:
+            for part in [pieces] if sum(p[2] for p in pieces) == tokens else powers(pieces):
+                place(part)
+
         seen = 0
         for batch in batches:
             keys, texts, bears = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
@@ -153,17 +158,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, style: str = "word", end_
                 seen += 1
                 if packer.n >= POOL:
                     while packer.n > POOL // 2:
-                        place(packer.sequence())
+                        place_whole(packer.sequence())
             if rows:
                 yield _batch(rows)
                 rows.clear()
         while packer.n:
-            pieces = packer.sequence()
-            if sum(p[2] for p in pieces) == tokens:
-                place(pieces)
-            else:
-                for part in powers(pieces):
-                    place(part)
+            place_whole(packer.sequence())
         if rows:
             yield _batch(rows)
 
