@@ -5,11 +5,13 @@ from __future__ import annotations
 import itertools
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from tessera.llm import cross_polytope as C
 from tessera.llm import ngram_join as N
 from tessera.llm.components import connected_components
 from tessera.llm.cross_polytope import hadamard, nearest
@@ -141,10 +143,15 @@ def recall(spark, ids, v, k=10, every=10, **more):
     return sum(len(set(found[i]) & set(want[i])) for i in want) / sum(map(len, want.values()))
 
 
-def test_recall_on_unit_vectors(spark):
-    v = np.random.default_rng(1).normal(size=(3000, 24))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    assert recall(spark, np.arange(3000), v) >= 0.9
+def units(n, dim, seed=1):
+    v = np.random.default_rng(seed).normal(size=(n, dim))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_recall_on_unit_vectors_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(C, "SAMPLE", 500)
+    monkeypatch.setattr(C, "TRIALS", 60)
+    assert recall(spark, np.arange(6000), units(6000, 24)) >= 0.9
 
 
 def test_recall_on_vectors_of_uneven_length(spark):
@@ -153,6 +160,30 @@ def test_recall_on_vectors_of_uneven_length(spark):
     assert recall(spark, np.arange(2000), v) >= 0.9
 
 
+def test_answers_come_from_probed_buckets_only(spark, monkeypatch):
+    """With one probe a query, what is found shares a bucket with it: the trials and the sample answer nothing."""
+    monkeypatch.setattr(C, "fitted", lambda h, *_: (replace(h, bits=6), 1))
+    v = units(1500, 16)
+    found = nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), every=10, k=3).collect()
+    h = C.Hashing(16, 16, 0.0, C.TABLES, bits=6)
+    bucket = h.buckets(v)
+    table, probed = h.probes(v, 1)
+    coarse = h.__class__(16, 16, 0.0, C.TABLES, bits=1)
+    own = [r for r in found if bucket[table[r.query_id, 0], r.vec_id] == probed[r.query_id, 0]]
+    assert len(found) == 450 and len(own) > 400 and coarse.buckets(v).max() == 1
+
+
+def test_share_of_candidates_falls_as_tables_grow():
+    shares = []
+    for n in (2000, 8000, 32000):
+        v, q = units(n, 24), units(60, 24, seed=9)
+        near = [v[np.argsort(-(v @ x))[:10]] for x in q]
+        h, probes = C.fitted(C.Hashing(24, 32, 0.0, C.TABLES), q, near, v[:2000], n, 0.95)
+        probed, held = C.keys_of(*h.probes(q, probes)), C.keys_of(np.arange(C.TABLES)[:, None], h.buckets(v))
+        shares.append(np.mean([np.isin(held, keys).any(axis=0).mean() for keys in probed]))
+    assert shares[0] > shares[1] > shares[2]
+
+
 def test_copies_and_few_candidates(spark):
     v = np.vstack([np.tile([1.0, 0.0, 0.0], (60, 1)), np.eye(3)])
     assert recall(spark, np.arange(63), v, k=5) == 1.0
@@ -160,12 +191,21 @@ def test_copies_and_few_candidates(spark):
 
 
 def test_unusable_vectors_take_no_part(spark):
-    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (7, [1.0, None]), (8, []), (None, [1.0, 1.0]), (1, [0.5, 0.5])]
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [0.25]), (7, [1.0, None]), (8, []), (None, [1.0, 1.0]), (1, [0.5, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert [(r.query_id, r.vec_id, r.rank) for r in nearest(df).collect()] == [(0, 1, 1)]
+    assert [(r.query_id, r.vec_id, r.rank, r.score) for r in nearest(df).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 6, 2, 0.25)]
     assert nearest(df.where("false")).count() == 0
 
 
+def test_one_longer_vector_changes_nothing_else(spark):
+    v = units(100, 2)
+    rows = [(i, x.tolist(), "q", 1) for i, x in enumerate(v)]
+    fields = "vec_id long, embedding array<double>, query string, v int"
+    plain = nearest(spark.createDataFrame(rows, fields), every=10, k=5).collect()
+    more = nearest(spark.createDataFrame([*rows, (1001, [1e-9, 0.0, 1.0], "q", 1)], fields), every=10, k=5).collect()
+    assert {(r.query_id, r.vec_id) for r in plain} == {(r.query_id, r.vec_id) for r in more} and len(plain) == 50
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(hadamard(x), axis=1), np.linalg.norm(x, axis=1))
