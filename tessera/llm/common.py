@@ -17,6 +17,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: The folder that serves where the session names none; made at most once in a driver.
+_OWN: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
@@ -26,10 +30,12 @@ def shared_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        own = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        root = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="tessera-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        root = f"file://{_OWN[0]}"
     return root.rstrip("/")
 
 
@@ -70,3 +76,18 @@ def rows_of(frame: DataFrame, bound: int) -> bool:
 def small(frame: DataFrame, bound: int) -> DataFrame:
     """``frame`` with a broadcast hint if it has at most ``bound`` rows, else as it is."""
     return F.broadcast(frame) if rows_of(frame, bound) else frame
+
+
+def within_bytes(rows: DataFrame, turn: Column, text: Column, most: int) -> DataFrame:
+    """Of sampled ``rows``, few enough for the driver, those that come first by ``turn`` with at most ``most`` bytes of text in all.
+
+    A text of more than a sixteenth of that is not sampled.
+    """
+    length = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    fitting = rows.where(length * 16 <= most)
+    total = 0
+    for at, size in sorted(tuple(r) for r in fitting.where(turn.isNotNull()).select(turn, length).collect()):
+        total += size
+        if total > most:
+            return fitting.where(turn < at)
+    return fitting
