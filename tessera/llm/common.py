@@ -79,15 +79,22 @@ def small(frame: DataFrame, bound: int) -> DataFrame:
 
 
 def within_bytes(rows: DataFrame, turn: Column, text: Column, most: int) -> DataFrame:
-    """Of sampled ``rows``, few enough for the driver, those that come first by ``turn`` with at most ``most`` bytes of text in all.
+    """Of sampled ``rows`` those that come first by ``turn`` (a hash of the id) and take at most ``most`` bytes in all.
 
-    A text of more than a sixteenth of that is not sampled.
+    Rows of one turn go together; where they take more than a sixteenth of that, as a
+    very long text or an id that many rows share, they are not sampled. Turns must be few
+    enough for the driver.
     """
-    length = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    fitting = rows.where(length * 16 <= most)
-    total = 0
-    for at, size in sorted(tuple(r) for r in fitting.where(turn.isNotNull()).select(turn, length).collect()):
-        total += size
-        if total > most:
-            return fitting.where(turn < at)
-    return fitting
+    sizes = rows.where(turn.isNotNull()).groupBy(turn.alias("turn")).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64).alias("size"))
+    left, end, large = most, None, []
+    for at, size in sorted(tuple(r) for r in sizes.collect()):
+        if 16 * size > most:
+            large.append(at)
+            continue
+        left -= size
+        if left < 0:
+            end = at
+            break
+    kept = rows.where(turn.isNotNull())
+    kept = kept.where(~turn.isin(large)) if large else kept
+    return kept if end is None else kept.where(turn < end)

@@ -212,15 +212,15 @@ class ToxicityModel:
     fold's are voted on with weights and neighbours of the other folds alone.
     """
 
-    def __init__(self, ids: list, texts: list[str], labels: np.ndarray, totals: tuple[int, int], k: int = NEIGHBOURS) -> None:
+    def __init__(self, ids: list, texts: list[str | None], labels: np.ndarray, totals: tuple[int, int], k: int = NEIGHBOURS) -> None:
         self.k, self.index = k, None
         self.prior = totals[1] / sum(totals) if sum(totals) else 0.5
         if not len(labels) or labels.min() == labels.max():
             return
         every: dict[str, int] = {}
         rows = []  # of each text its terms, as numbers, and how often each occurs
-        for text in texts:
-            tf = counts_of(text)
+        for i, text in enumerate(texts):
+            tf, texts[i] = counts_of(text), None  # each text is let go, for the driver's memory
             rows.append((np.fromiter((every.setdefault(t, len(every)) for t in tf), np.int32, len(tf)), np.fromiter(tf.values(), np.int32, len(tf))))
         turn = np.empty(len(labels), np.int64)
         for c in (0, 1):
@@ -231,8 +231,10 @@ class ToxicityModel:
             if len(judged) and len(set(labels[base])) == 2:
                 weights, _ = term_weights([rows[i] for i in base], labels[base], len(every))
                 self._hold(rows, labels, base, weights, totals)
-                found = self.index.search_many([unit(*rows[i], weights) for i in judged], k)
-                votes[judged] = [self.vote(*f) if len(f[0]) else -1.0 for f in found]
+                for at in range(0, len(judged), AT_ONCE):
+                    some = judged[at : at + AT_ONCE]
+                    found = self.index.search_many([unit(*rows[i], weights) for i in some], k)
+                    votes[some] = [self.vote(*f) if len(f[0]) else -1.0 for f in found]
         self.weights, speaking = term_weights(rows, labels, len(every))
         held = self._hold(rows, labels, np.arange(len(labels)), self.weights, totals)
         self.ids = [ids[i] for i in held]
@@ -247,7 +249,7 @@ class ToxicityModel:
         """Index the examples ``base``; those alike share a block: by the label and the heaviest term in them."""
         vectors = {i: unit(*rows[i], weights) for i in base.tolist()}
         held = sorted((i for i, (t, _) in vectors.items() if len(t)), key=lambda i: (labels[i], vectors[i][0][vectors[i][1].argmax()], i))
-        self.labels = labels[held].astype(np.float64)
+        self.index, self.labels = None, labels[held].astype(np.float64)
         self.stands = np.array([totals[c] / max(1, (labels[base] == c).sum()) for c in (0, 1)])
         self.index = BlockMaxIndex([vectors[i] for i in held])
         return held
@@ -306,10 +308,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     keep = lambda c: F.lit(1 << 62 if totals[c] <= train_docs[c] else int((1 << 62) * train_docs[c] / totals[c]))
     turn = F.shiftrightunsigned(F.xxhash64(F.lit("toxicity"), "__key"), 2)
     chosen = train.where(turn < F.when(F.col("__label") == 1, keep(1)).otherwise(keep(0))).limit(2 * sum(train_docs))
-    found = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__key").limit(4 * sum(train_docs))  # ids may repeat
+    found = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__key")
     rows = within_bytes(found, turn, F.col("__text"), TRAIN_BYTES).select("__key", "__text", "__label").collect()
     rows.sort(key=lambda r: (r[0], r[1] or "", r[2]))
-    return ToxicityModel([r[0] for r in rows], [r[1] or "" for r in rows], np.array([r[2] for r in rows], np.int64), totals)
+    ids, texts, marks = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [])
+    del rows  # for the driver's memory
+    return ToxicityModel(ids, texts, np.array(marks, np.int64), totals)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -59,7 +59,7 @@ def test_calibration_is_not_from_own_votes():
     words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(300)]
     texts = [" ".join(rng.choice(words, 12)) for _ in range(200)]
     labels = rng.integers(0, 2, 200)
-    model = ToxicityModel(list(range(200)), texts, labels, (100, 100))
+    model = ToxicityModel(list(range(200)), list(texts), labels, (100, 100))
     assert len(model.ids) == 200
     scores = np.array([s[0] for s in model.score_many(texts)])
     assert (scores[labels == 1].mean() - scores[labels == 0].mean()) < 0.7
