@@ -5,15 +5,19 @@ whose likelihood is that of the word's characters under an interpolated trigram
 model. Expectation-maximisation estimates the document's language proportions.
 The set of languages is then chosen by penalised likelihood: languages are added
 in order of their proportion while each raises the log-likelihood of the words by
-more than ``PENALTY`` plus the logarithm of the number of words.
+more than ``PENALTY`` plus the logarithm of the number of words. The prediction is the
+language with the largest proportion when the words are shared among the chosen set
+alone, and that proportion is its score.
 
 The models are learned from a bounded sample of whole training texts
-(``TRAIN_DOCS`` for each language, by a hash of the id). Scoring reads every text.
+(``TRAIN_DOCS`` for each language, ``TRAIN_BYTES`` in all, by a hash of the id). Scoring
+reads every text.
 
 Defined results: a null text, an empty text and a text without a letter give
 ``und`` with score 0; so does every text if nothing could be learned. Equal
-likelihoods go to the language that sorts first. Repeated rows are scored each for
-itself; other columns, whatever their names, are not looked at.
+proportions go to the language that sorts first. A very long text is scored as a whole,
+word by word. Repeated rows are scored each for itself; an empty table gives no rows;
+other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -28,10 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import within_bytes
 from tessera.llm.tokens import release
 
 #: Training texts of each language at most twice this number, about this number.
 TRAIN_DOCS = 500
+#: Training texts of all languages together, when there are many of them.
+ALL_DOCS = 20_000
+#: Bytes of training texts that the driver takes at most, about.
+TRAIN_BYTES = 64_000_000
 PENALTY = 2.0
 ROUNDS = 25
 WEIGHTS = (0.7, 0.2, 0.09, 0.01)
@@ -40,6 +49,14 @@ UNDETERMINED = "und"
 WORDS = re.compile(r"[^\W\d_]+").findall
 
 
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters of a text in small letters; numerals such as superscripts are no letters."""
+    words = WORDS(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return "".join([c if c.isalpha() else " " for c in " ".join(words)]).split()
+
+
 class NgramModels:
     """Log-likelihoods of words under every language.
 
@@ -51,7 +68,7 @@ class NgramModels:
         self.languages = sorted(texts)
         counts: list[list[Counter]] = []
         for language in self.languages:
-            words = Counter(w for text in texts[language] for w in WORDS(text.lower()))
+            words = Counter(w for text in texts[language] for w in words_of(text))
             grams = [Counter(), Counter(), Counter()]
             for word, n in words.items():
                 padded = f"  {word} "
@@ -142,8 +159,8 @@ class Identifier:
         self.known.update(zip(words, range(at, end), strict=True))
 
     def score(self, text: str | None) -> tuple[str, float, list[str], list[float]]:
-        """The language, its proportion, and the chosen set with its proportions."""
-        words = WORDS(text.lower()) if text else []
+        """The leading language of the chosen set, its proportion there, and the whole set with its proportions."""
+        words = words_of(text)
         if not words or not self.models.languages:
             return UNDETERMINED, 0.0, [], []
         if len(self.known) > CACHE:
@@ -154,11 +171,11 @@ class Identifier:
             self._learn(new)
         logs = self.values[[known[w] for w in words]]
         likelihood = np.exp(logs - logs.max(axis=1, keepdims=True)) + 1e-12
-        weights = proportions(likelihood)
-        chosen = language_set(likelihood, weights)
-        names = [self.models.languages[k] for k in chosen]
-        shares = [1.0] if len(chosen) == 1 else [float(x) for x in proportions(likelihood[:, chosen])]
-        return names[0], float(min(1.0, weights[chosen[0]])), names, shares
+        chosen = language_set(likelihood, proportions(likelihood))
+        shares = proportions(likelihood[:, chosen])
+        order = sorted(range(len(chosen)), key=lambda i: (-shares[i], chosen[i]))
+        names = [self.models.languages[chosen[i]] for i in order]
+        return names[0], float(min(1.0, shares[order[0]])), names, [float(shares[i]) for i in order]
 
 
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
@@ -173,10 +190,12 @@ def fit_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     totals = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not totals:
         return NgramModels({})
+    train_docs = max(1, min(train_docs, ALL_DOCS // len(totals)))
     keep = F.create_map([F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, 1 << 62 if n <= train_docs else int((1 << 62) * train_docs / n))])
-    chosen = train.where(F.shiftrightunsigned(F.xxhash64(F.lit("language"), "id"), 2) < keep[F.col("lang")])
+    turn = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "id"), 2)
+    chosen = train.where(turn < keep[F.col("lang")])
     texts: dict[str, list[str]] = {}
-    for r in chosen.select("lang", "text").limit(2 * train_docs * len(totals)).collect():
+    for r in within_bytes(chosen, turn, F.col("text"), TRAIN_BYTES).select("lang", "text").collect():
         texts.setdefault(r.lang, []).append(r.text)
     return NgramModels(texts)
 

@@ -103,8 +103,8 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), *, id_col: str = "doc_id", te
     quotas = leaf_quotas(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")), mix)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens")).cast("long")).otherwise(0).cast("long")
     plans = quotas.withColumn("whole", whole).withColumn("rest", F.col("quota") - F.col("whole") * F.col("tokens")).select(*leaf, "whole", "rest")
-    digits, ranges = 1, 16
-    while ranges * RANGE_ROWS < rows.count() and digits < 8:
+    digits, ranges, total = 1, 16, rows.count()
+    while ranges * RANGE_ROWS < total and digits < 8:
         digits, ranges = digits + 1, ranges * 16
     order = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     planned = rows.join(plans, leaf).withColumn("order", order).withColumn("range", F.substring("order", 1, digits))

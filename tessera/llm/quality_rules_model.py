@@ -194,7 +194,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     Only their ids are looked up in ``docs``; a bounded number of rows of numbers
     reaches the driver.
     """
-    train = labels.select(F.col(id_col).alias("__key"), F.col(label_col).alias("__label")).where(F.col("__key").isNotNull() & F.col("__label").isNotNull() & ~held_out("__key", modulus, remainder))
+    train = labels.select(F.col(id_col).alias("__key"), F.col(label_col).alias("__label")).where(F.col("__key").isNotNull() & F.col("__label").isin(0, 1) & ~held_out("__key", modulus, remainder))
     total = train.count()
     keep = 1 << 62 if total <= train_docs else int((1 << 62) * train_docs / total)
     chosen = train.where(F.shiftrightunsigned(F.xxhash64(F.lit("quality"), "__key"), 2) < keep).limit(2 * train_docs)

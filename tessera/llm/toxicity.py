@@ -267,14 +267,13 @@ class ToxicityModel:
         if len(self.known) > CACHE:
             self._forget()
         known, terms = self.known, self.terms
-        for w in words:
-            if w not in known:
-                i = len(known)
-                if i == len(self.own):
-                    self.own = np.concatenate([self.own, np.empty_like(self.own)])
-                known[w] = i
-                self.own[i] = terms.get(w, -1), terms.get(f"{w[:STEM]}-", -1) if len(w) > STEM else -1
-        found = self.own[[known[w] for w in words]].ravel() if words else np.empty(0, np.int64)
+        for w in set(words).difference(known):
+            i = len(known)
+            if i == len(self.own):
+                self.own = np.concatenate([self.own, np.empty_like(self.own)])
+            known[w] = i
+            self.own[i] = terms.get(w, -1), terms.get(f"{w[:STEM]}-", -1) if len(w) > STEM else -1
+        found = self.own[list(map(known.__getitem__, words))].ravel() if words else np.empty(0, np.int64)
         found, counts = np.unique(found[found >= 0], return_counts=True)
         return unit(found, counts, self.weights)
 

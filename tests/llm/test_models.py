@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 
 from tessera.llm import queries as Q
-from tessera.llm.language import NgramModels, fit_languages, identify_languages, language_set, proportions
+from tessera.llm.language import PENALTY, Identifier, NgramModels, fit_languages, identify_languages, language_set, proportions, words_of
 from tessera.llm.quality_rules_model import STATISTICS, fit_quality, fit_rules, score_quality
 from tessera.llm.toxicity import BlockMaxIndex, fit_toxicity, isotonic, score_toxicity
 from tests.conftest import SF
@@ -48,6 +48,31 @@ def test_mixtures_of_two_languages(spark):
     assert language_set(one, proportions(one)) == [0]
 
 
+def test_numerals_that_are_no_letters_are_undetermined():
+    scorer = Identifier(NgramModels({"en": ["the cat and the dog"], "fr": ["le chat et le chien"]}))
+    assert scorer.score("\u00bd \u00b2 \u2167 \u2460 12")[0] == "und"
+    assert words_of("Cat\u00b2dog \u2167") == ["cat", "dog"]
+
+
+def test_prediction_is_that_of_the_best_penalised_set_by_plain_search():
+    """EM and the stepwise set against a search of all pairs of languages and a fine grid of proportions."""
+    models = NgramModels({"aa": ["abab baba abba bab " * 30], "bb": ["cdcd dcdc cddc dcd " * 30], "cc": ["efef fefe effe fef " * 30]})
+    scorer, rng = Identifier(models), random.Random(5)
+    for share in (0.0, 0.2, 0.4, 0.6, 0.8, 1.0):
+        words = [rng.choice(["abab", "baba", "abba", "bab"] if rng.random() < share else ["cdcd", "dcdc", "cddc", "dcd"]) for _ in range(60)]
+        logs = np.array([models.table[models.numbers(w)].sum(axis=0) for w in words])
+        found = []
+        for a, b in [(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)]:
+            mixes = np.linspace(0, 1, 401)[1:-1] if a != b else [1.0]
+            for x in mixes:
+                fit = np.logaddexp(logs[:, a] + np.log(x), logs[:, b] + np.log1p(-x)).sum() if a != b else logs[:, a].sum()
+                found.append((fit - (a != b) * (PENALTY + np.log(len(words))), {a: x, b: 1 - x} if a != b else {a: 1.0}))
+        want = max(found, key=lambda f: f[0])[1]
+        name, score, names, shares = scorer.score(" ".join(words))
+        assert {models.languages[k] for k in want} == set(names)
+        assert name == models.languages[max(want, key=want.get)] and abs(score - max(want.values())) < 0.01 and abs(sum(shares) - 1) < 1e-6
+
+
 def test_quality_of_held_out_texts(spark):
     found = Q.op10_quality(spark, BIG).toPandas().merge(spark.read.parquet(f"{BIG}/labels.parquet").toPandas(), on="doc_id")
     held = found[found.held_out]
