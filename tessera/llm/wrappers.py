@@ -3,45 +3,64 @@
 A page is a stream of tags and texts. Tandem repeats in it fold into repeated groups.
 The streams of one host are then aligned one after another: what both have stays,
 texts that differ are text slots, and a run that only one has becomes an optional
-group. The result is a regular expression without unions that all pages of the host
-match. It is inferred in parallel: each task aligns the pages it reads, and the
-wrappers of tasks are aligned with each other in two steps, so that a host with many
-pages is never one task's work.
-
-The wrapper also learns which element holds the article, from how much running text
-the host's pages have in each kind of element outside menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments. The text itself is a walk over
-the tags of that element; a match with the wrapper only says where it begins and ends.
-Text that all pages of a host share is not taken for template: a host with few pages,
-or with copies of one page, would lose its article.
+group. The result is a regular expression without unions. It is inferred in parallel:
+each task aligns the pages it reads, and the wrappers of tasks are aligned with each
+other in rounds of a few, so that a host with many pages is never one task's work.
+
+A second pass matches every page with its host's expression, which gives each text and
+tag its place there, and gathers what the places hold. These decide the text:
+
+* a place whose text is the same on all pages that have it, ``TEMPLATE_PAGES`` different
+  ones at least, is template, as is a repeated group that holds nothing but links;
+* the region of the article is the tag's place with the most running text: an article or
+  main element, else the innermost holder of most of it. Places in a repeated group,
+  such as teasers and reader comments, are records and no region;
+* the text is what the slots in that region hold, block by block.
+
+Elements that by their HTML name hold no article (nav, footer, ...) never count, nor do
+those that are named as menus, adverts or comments, unless they are a box around it.
+A page that does not match its host's expression is walked by its tags, within the
+element that has the sign of the region.
 
 Defined results: a null, empty or wholly marked-up page gives the empty text; a null
-url is a host of its own; repeated rows are extracted each for itself; an empty table
-gives no rows; columns other than id, url and html are not looked at.
+url is a host of its own; repeated rows are extracted each for itself; a host of copies
+of one page, or of fewer different pages than ``TEMPLATE_PAGES``, has no template; of
+regions with equal text the first in the expression is taken; very long pages and pages
+of very many different tags are read as a whole; an empty table gives no rows; columns
+other than id, url and html are not looked at.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small, written
+from tessera.llm.common import written
 
-#: Wrappers that are broadcast at most.
-BROADCAST_WRAPPERS = 20_000
-#: A repeated unit has at most so many tokens; longer ones stay as they are.
+#: Bytes of wrappers that are broadcast at most.
+BROADCAST_BYTES = 32_000_000
+#: Repeated units up to so many tokens are found by expression, longer ones by their distances.
 UNIT = 24
-#: Elements of a wrapper at most; a host that needs more is walked by its tags.
-MOST = 2_000
+#: Elements of a wrapper at most: page shapes that would make it longer are not aligned, and their pages are walked by their tags.
+MOST = 20_000
+#: Longer runs are cut at what occurs once in both before they are aligned pair by pair.
+PAIRS = 250_000
+#: Wrappers of one host that are aligned by one task.
+FEW = 8
+#: Different pages that must share a text before it is template.
+TEMPLATE_PAGES = 8
 RAW = "script|style|noscript|template|svg|iframe|title|textarea|object|math|select|datalist|canvas|audio|video"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
@@ -163,78 +182,129 @@ def boxes(signs: list[str], texts: list[str]) -> list[int]:
     return [b for b, e in spans if is_aside(signs[b]) and name_of(signs[b]) not in NEVER and not never[b] and mass[-1] and held[e] - held[b] == held[-1] and mass[e] - mass[b] >= least * mass[-1]]
 
 
-def walk(signs: list[str], texts: list[str], main: str | None) -> tuple[list[str], Counter]:
-    """Blocks of the element ``main`` (of all, if None), and characters of running text by holder."""
-    blocks, current, masses = [], [], Counter()
-    stack: list[str] = []
-    aside = inside = links = 0
-
-    def flush() -> None:
-        if current:
-            block = " ".join(unescape("".join(current)).split())
-            if block:
-                blocks.append(block)
-            current.clear()
-
-    def count(sign: str, step: int) -> None:
-        nonlocal aside, inside, links
-        if is_aside(sign) or (is_header(sign) and not any(name_of(s) in ("article", "main") for s in stack)):
-            aside += step
-        if sign == main:
-            inside += step
-        if sign == "a" or sign.startswith("a."):
-            links += step
-
-    for sign, text in zip(signs, texts, strict=True):
-        if sign == "#":
-            if not aside and (main is None or inside):
-                current.append(text)
-            if not aside and not links and main is None:
-                n = len(text)
-                for holder in {s for s in stack if name_of(s) in HOLDERS}:
-                    masses[holder] += n
-                masses[""] += n
-            continue
-        name = name_of(sign.lstrip("/"))
-        if name in BLOCKS:
-            flush()
-        if sign[0] == "/":
-            if any(name_of(s) == name for s in stack):
-                while name_of(gone := stack.pop()) != name:
-                    count(gone, -1)
-                count(gone, -1)
-        elif name not in VOID:
-            if name in ("p", "li", "td", "tr") and stack and name_of(stack[-1]) == name:
-                count(stack.pop(), -1)  # these end where the next begins
-            if name == "body" and stack and name_of(stack[-1]) == "head":
-                count(stack.pop(), -1)
-            count(sign, 1)
-            stack.append(sign)
-    flush()
-    return blocks, masses
+class Reading:
+    """A walk over the tags of a page that says of each text in which elements it lies."""
+
+    def __init__(self, page: Page) -> None:
+        signs = page.signs
+        #: Of each text: its token, whether it is part of an aside, whether of a link, the tokens that opened its elements; None where a block ends.
+        self.texts: list[tuple[int, bool, bool, tuple[int, ...]] | None] = []
+        stack: list[int] = []
+        names: list[str] = []
+        opened: tuple[int, ...] = ()
+        aside = links = holders = 0
+
+        def step(i: int, by: int) -> None:
+            nonlocal aside, links, holders
+            sign = signs[i]
+            if is_aside(sign) or i in headers:
+                aside += by
+            if sign == "a" or sign.startswith("a."):
+                links += by
+            if name_of(sign) in ("article", "main"):
+                holders += by
+
+        headers: set[int] = set()  # page headers; an article's own stays
+        for i, sign in enumerate(signs):
+            if sign == "#":
+                self.texts.append((i, aside > 0, links > 0, opened))
+                continue
+            name = name_of(sign[1:]) if sign[0] == "/" else name_of(sign)
+            if name in BLOCKS:
+                self.texts.append(None)
+            if sign[0] == "/":
+                if name in names:
+                    while True:
+                        gone = names.pop()
+                        step(stack.pop(), -1)
+                        if gone == name:
+                            break
+                    opened = tuple(stack)
+            elif name not in VOID:
+                if names and (names[-1] == name in ("p", "li", "td", "tr") or (name == "body" and names[-1] == "head")):
+                    names.pop()
+                    step(stack.pop(), -1)  # these end where the next begins
+                if is_header(sign) and not holders:
+                    headers.add(i)
+                stack.append(i)
+                names.append(name)
+                step(i, 1)
+                opened = tuple(stack)
+
+    def blocks_of(self, page: Page, wanted) -> list[str]:
+        """The blocks made of the texts that are no aside and that ``wanted`` takes by (token, elements)."""
+        blocks, current = [], []
+        for text in (*self.texts, None):
+            if text is None:
+                if current:
+                    block = " ".join(unescape("".join(current)).split())
+                    if block:
+                        blocks.append(block)
+                    current = []
+            elif not text[1] and wanted(text[0], text[3]):
+                current.append(page.texts[text[0]])
+        return blocks
 
 
 # --- inference ---------------------------------------------------------------
 # A wrapper is a tuple of elements: a sign, or (kind, wrapper) with kind "+", "?" or "*".
 
 
+def code_point(n: int) -> str:
+    """The n-th character from 256 on, without surrogates."""
+    return chr(n + 0x100 if n + 0x100 < 0xD800 else n + 0x900)
+
+
+#: So many different characters there are.
+CODES = 0x110000 - 0x900
+
+
 def fold(signs: list[str]) -> tuple:
-    """Tandem repeats as repeated groups, innermost first."""
+    """Tandem repeats as repeated groups, innermost first; a page of more different signs than there are characters stays as it is."""
+    if len(signs) > CODES // 2 and len(set(signs)) > CODES // 2:
+        return tuple(signs)
     code: dict[object, str] = {}
     back: dict[str, object] = {}
 
     def char(x: object) -> str:
         if x not in code:
-            code[x] = chr(0xE000 + len(code)) if len(code) < 6000 else chr(0xF0000 + len(code))
+            code[x] = code_point(len(code))
             back[code[x]] = x
         return code[x]
 
     line = "".join(map(char, signs))
-    width = 1
-    while 2 * width <= len(line) and width <= UNIT:
-        new = REPEATS[width - 1].sub(lambda m: char(("+", tuple(back[c] for c in m[1]))), line)
-        line, width = (new, 1) if new != line and width > 1 else (new, width + 1)
-    return tuple(back[c] for c in line)
+    while True:
+        width = 1
+        while 2 * width <= len(line) and width <= UNIT:
+            new = REPEATS[width - 1].sub(lambda m: char(("+", tuple(back[c] for c in m[1]))), line)
+            line, width = (new, 1) if new != line and width > 1 else (new, width + 1)
+        found = long_repeat(line)
+        if found is None:
+            return tuple(back[c] for c in line)
+        begin, width, end = found
+        line = line[:begin] + char(("+", tuple(back[c] for c in line[begin : begin + width]))) + line[end:]
+
+
+def long_repeat(line: str) -> tuple[int, int, int] | None:
+    """(begin, width, end) of a repeat whose unit is longer than ``UNIT``; its width is a distance between two equal neighbours."""
+    if len(line) <= 2 * UNIT:
+        return None
+    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+    order = np.argsort(codes, kind="stable")
+    same = codes[order[1:]] == codes[order[:-1]]
+    gaps = (order[1:] - order[:-1])[same]
+    widths, counts = np.unique(gaps[gaps > UNIT], return_counts=True)
+    for width in widths[np.argsort(-counts, kind="stable")].tolist():
+        if 2 * width > len(codes):
+            continue
+        equal = np.r_[0, codes[width:] == codes[:-width], 0]
+        edges = np.flatnonzero(np.diff(equal))
+        begins, lengths = edges[::2], edges[1::2] - edges[::2]
+        at = np.flatnonzero(lengths >= width)
+        if len(at):
+            begin = int(begins[at[0]])
+            return begin, width, begin + (int(lengths[at[0]]) // width + 1) * width
+    return None
 
 
 REPEATS = [re.compile(r"(.{%d})\1+" % n, re.DOTALL) for n in range(1, UNIT + 1)]
@@ -275,8 +345,13 @@ def align(a: tuple, b: tuple) -> tuple:
     rest = a[len(a) - tail :] if tail else ()
     if not x or not y:
         out += optional(x or y)
-    elif len(x) * len(y) > 250_000:
-        out += optional(x) + optional(y)
+    elif len(x) * len(y) > PAIRS and (cuts := anchors(x, y)):
+        i = j = 0
+        for i2, j2 in (*cuts, (len(x), len(y))):
+            out += align(x[i:i2], y[j:j2])
+            if i2 < len(x):
+                out.append(merged(x[i2], y[j2]))
+            i, j = i2 + 1, j2 + 1
     else:
         best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         lx, ly = [looks(e) for e in x], [looks(e) for e in y]
@@ -302,6 +377,27 @@ def align(a: tuple, b: tuple) -> tuple:
     return (*out, *rest)
 
 
+def anchors(x: tuple, y: tuple) -> list[tuple[int, int]]:
+    """Places of elements that look like nothing else in either run, in the longest order that both share."""
+    lx, ly = [looks(e) for e in x], [looks(e) for e in y]
+    cx, cy = Counter(lx), Counter(ly)
+    place = {e: j for j, e in enumerate(ly) if cy[e] == 1}
+    pairs = [(i, place[e]) for i, e in enumerate(lx) if cx[e] == 1 and e in place]
+    ends: list[int] = []  # last place in y of the shortest-ending chain of each length
+    chain: list[int] = []
+    before: list[int] = []
+    for at, (_, j) in enumerate(pairs):
+        n = bisect_left(ends, j)
+        ends[n : n + 1] = [j]
+        before.append(chain[n - 1] if n else -1)
+        chain[n : n + 1] = [at]
+    out, at = [], chain[-1] if chain else -1
+    while at >= 0:
+        out.append(pairs[at])
+        at = before[at]
+    return out[::-1]
+
+
 def optional(run: tuple) -> list:
     """A run that may be missing: what is optional already stays so, the rest is one group."""
     out: list = []
@@ -363,33 +459,28 @@ def unified(shapes: set[tuple]) -> tuple:
     shapes = {regrouped(s, known) for s in shapes if s}
     w: tuple = ()
     for shape in sorted(shapes, key=lambda s: (-len(s), repr(s))):
-        w = refold(align(w, shape)) if w else shape
-        if len(w) > MOST:
-            return ()
+        longer = refold(align(w, shape)) if w else shape
+        w = longer if len(longer) <= MOST or not w else w
     return w
 
 
-def pack(w: tuple | None, masses: Counter, pages: int) -> str:
-    return json.dumps([w, dict(masses), pages])
+def pack(w: tuple | None, pages: int) -> str:
+    return json.dumps([w, pages])
 
 
-def unpack(text: str) -> tuple[tuple | None, Counter, int]:
+def unpack(text: str) -> tuple[tuple | None, int]:
     def tuples(x: object) -> object:
         return tuple(tuples(e) for e in x) if isinstance(x, list) else x
 
-    w, masses, pages = json.loads(text)
-    return tuples(w), Counter(masses), pages
+    w, pages = json.loads(text)
+    return tuples(w), pages
 
 
 def combine(packed: list[str]) -> str:
-    """Align wrappers of one host, whatever their order; one that was given up gives up all, one of empty pages (None) nothing."""
+    """Align wrappers of one host, whatever their order; one of empty pages (None) adds nothing."""
     parts = [unpack(p) for p in packed]
-    masses, pages = Counter(), 0
-    for _, more, n in parts:
-        masses.update(more)
-        pages += n
-    shapes = {w for w, _, n in parts if w is not None}
-    return pack(None if not shapes else () if () in shapes else unified(shapes), masses, pages)
+    shapes = {w for w, _ in parts if w}
+    return pack(unified(shapes) if shapes else None, sum(n for _, n in parts))
 
 
 def other_article(page: Page, main: str | None) -> tuple[int, int] | None:
@@ -417,104 +508,255 @@ def other_article(page: Page, main: str | None) -> tuple[int, int] | None:
     return -b, e
 
 
-def main_holder(masses: Counter) -> str | None:
-    """The element that holds the article: an article or main with its share of the text, else the smallest holder of most of it."""
-    total = masses.get("", 0)
-    for name in ("article", "main"):
-        own = sorted(((n, s) for s, n in masses.items() if name_of(s) == name), reverse=True)
-        if own and own[0][0] >= 0.3 * total:
-            return own[0][1]
-    most = sorted((n, s) for s, n in masses.items() if s and name_of(s) not in ("body", "article", "main") and n >= 0.7 * total)
-    return most[0][1] if most else None
+class Sequence:
+    """A compiled run of a wrapper: gives the tokens that it matches their places."""
+
+    def __init__(self, w: tuple, wrapper: Wrapper, repeated: bool) -> None:
+        #: Literals as their first place and number; groups.
+        self.items: list[tuple[int, int] | Sequence] = []
+        captured, bare = [], []
+        for e in w:
+            if isinstance(e, str):
+                at = len(wrapper.signs)
+                if self.items and isinstance(self.items[-1], tuple):
+                    at, n = self.items.pop()
+                    self.items.append((at, n + 1))
+                else:
+                    self.items.append((at, 1))
+                wrapper.signs.append(e)
+                wrapper.repeated.append(repeated)
+                captured.append(re.escape(wrapper.code_of(e)))
+                bare.append(captured[-1])
+                continue
+            begin = len(wrapper.signs)
+            group = Sequence(e[1], wrapper, repeated or e[0] != "?")
+            self.items.append(group)
+            if e[0] != "?":
+                wrapper.groups.append((begin, len(wrapper.signs)))
+            bare.append(f"(?:{group.bare}){e[0]}+")  # possessive: what would need backtracking does not match
+            captured.append(f"({bare[-1]})")
+        self.bare = "".join(bare)
+        self.regex = re.compile("".join(captured), re.DOTALL)
+
+    def place(self, m: re.Match, line: str, out: list[int]) -> None:
+        """Append the places of the tokens of a match."""
+        g = 0
+        for item in self.items:
+            if isinstance(item, tuple):
+                out.extend(range(item[0], item[0] + item[1]))
+                continue
+            g += 1
+            at, end = m.span(g)
+            if len(item.items) == 1 and isinstance(item.items[0], tuple):
+                first, n = item.items[0]
+                out.extend([*range(first, first + n)] * ((end - at) // n))
+                continue
+            while at < end:
+                inner = item.regex.match(line, at, end)
+                if inner is None or inner.end() == at:
+                    raise LookupError
+                item.place(inner, line, out)
+                at = inner.end()
 
 
 class Wrapper:
-    """A compiled wrapper: matches a page's signs and finds the article in it."""
+    """A compiled wrapper: ``places`` gives each token of a matching page its place in the expression."""
 
     def __init__(self, packed: str) -> None:
-        w, masses, self.pages = unpack(packed)
-        self.main = main_holder(masses)
+        w, self.pages = unpack(packed)
+        self.signs: list[str] = []  # of each place
+        self.repeated: list[bool] = []
+        self.groups: list[tuple[int, int]] = []  # places of each repeated group
         self.code: dict[str, str] = {}
-        self.regex = None
-        if w and self.main in w and f"/{name_of(self.main)}" in w:
-            b, close = w.index(self.main), f"/{name_of(self.main)}"
-            e = len(w) - 1 - w[::-1].index(close)
-            if b < e and w.count(self.main) == 1:
-                self.regex = re.compile(self._text(w[:b]) + "(" + self._text(w[b : e + 1]) + ")" + self._text(w[e + 1 :]), re.DOTALL)
-
-    def _char(self, sign: str) -> str:
-        return self.code.setdefault(sign, chr(0xE000 + len(self.code)) if len(self.code) < 6000 else chr(0xF0000 + len(self.code)))
-
-    def _text(self, w: tuple) -> str:
-        # possessive: a page that would need backtracking is walked by its tags instead
-        return "".join(self._char(e) if isinstance(e, str) else f"(?:{self._text(e[1])}){e[0]}+" for e in w)
+        self.top = Sequence(w, self, False) if w else None
+
+    def code_of(self, sign: str) -> str:
+        return self.code.setdefault(sign, code_point(len(self.code)))
+
+    def places(self, page: Page) -> list[int] | None:
+        if self.top is None:
+            return None
+        line = "".join([self.code.get(s, "\x00") for s in page.signs])
+        m = self.top.regex.fullmatch(line)
+        if m is None:
+            return None
+        out: list[int] = []
+        try:
+            self.top.place(m, line, out)
+        except LookupError:
+            return None
+        return out if len(out) == len(line) else None
+
+
+class Holdings:
+    """What the places of a wrapper hold, as gathered over pages: place -> (pages, characters, of links, running text below, the same outside records, least and largest hash, different pages)."""
+
+    FIELDS = "place int, pages long, chars long, links long, mass long, own long, low long, high long, bits long"
+
+    def __init__(self) -> None:
+        self.rows: dict[int, list[int]] = {}
+
+    def add(self, page: Page, reading: Reading, places: list[int], wrapper: Wrapper) -> None:
+        digest = 1 << (xxhash.xxh64_intdigest("\x00".join(page.texts)) & 63)
+        digest -= (digest >> 63) << 64  # as a signed number
+        seen: set[int] = set()
+        for text in reading.texts:
+            if text is None:
+                continue
+            i, aside, link, opened = text
+            words = " ".join(page.texts[i].split())
+            row = self._row(places[i])
+            if places[i] not in seen:
+                seen.add(places[i])
+                row[0] += 1
+            row[1] += len(words)
+            row[2] += len(words) * link
+            mark = xxhash.xxh64_intdigest(words) >> 1
+            row[5], row[6], row[7] = min(row[5], mark), max(row[6], mark), row[7] | digest
+            if not aside and not link:
+                record = any(wrapper.repeated[places[o]] and name_of(page.signs[o]) in HOLDERS for o in opened)
+                for at in {places[o] for o in opened if name_of(page.signs[o]) in HOLDERS} | {-1}:
+                    other = self._row(at)
+                    other[3] += len(words)
+                    other[4] += 0 if record else len(words)
+
+    def _row(self, place: int) -> list[int]:
+        if place not in self.rows:
+            self.rows[place] = [0, 0, 0, 0, 0, (1 << 63) - 1, -1, 0]
+        return self.rows[place]
+
+
+class Extractor:
+    """A host's wrapper with what its places hold: says which of them are the article."""
+
+    def __init__(self, packed: str, holdings: list[tuple]) -> None:
+        self.wrapper = Wrapper(packed)
+        rows = {r[0]: r[1:] for r in holdings}
+        signs = self.wrapper.signs
+        self.main = self._main(rows)
+        self.sign = signs[self.main] if self.main is not None else None
+        self.dropped = {p for p, r in rows.items() if p >= 0 and signs[p] == "#" and r[5] == r[6] and (r[7] & ((1 << 64) - 1)).bit_count() >= TEMPLATE_PAGES}
+        for begin, end in self.wrapper.groups:
+            texts = [p for p in range(begin, end) if signs[p] == "#" and p in rows]
+            chars = sum(rows[p][1] for p in texts)
+            if chars and sum(rows[p][2] for p in texts) >= 0.95 * chars:
+                self.dropped.update(texts)
+
+    def _main(self, rows: dict) -> int | None:
+        """The place that opens the article: an article or main element with its share of the text, else the innermost holder of most of it."""
+        total, outside = (rows[-1][3], rows[-1][4]) if -1 in rows else (0, 0)
+        signs, repeated = self.wrapper.signs, self.wrapper.repeated
+        column, whole = (4, outside) if outside >= 0.02 * total else (3, total)  # all text may be in records
+        own = {p: r[column] for p, r in rows.items() if p >= 0 and r[column] and not repeated[p]}
+        for name in ("article", "main"):
+            found = sorted((-n, p) for p, n in own.items() if name_of(signs[p]) == name)
+            if found and -found[0][0] >= 0.3 * whole:
+                return found[0][1]
+        most = sorted((n, -p) for p, n in own.items() if name_of(signs[p]) not in ("body", "article", "main") and n >= 0.7 * whole)
+        return -most[0][1] if most and whole else None
 
     def extract(self, html: str | None) -> tuple[str, bool]:
         """The main text, and whether the page matched the wrapper."""
         if not html:
             return "", False
         page = Page(html)
-        other = other_article(page, self.main)
+        reading = Reading(page)
+        other = other_article(page, self.sign)
         if other:
-            b, e = other
-            return "\n".join(walk(page.signs[b:e], page.texts[b:e], None)[0]), False
-        if self.regex is not None:
-            m = self.regex.fullmatch("".join([self.code.get(s, "\x00") for s in page.signs]))
-            if m:
-                b, e = m.span(1)
-                return "\n".join(walk(page.signs[b:e], page.texts[b:e], self.main)[0]), True
-        blocks = walk(page.signs, page.texts, self.main if self.main in page.signs else None)[0]
-        return "\n".join(blocks), False
-
-
-@lru_cache(512)
+            begin, end = other
+            return "\n".join(reading.blocks_of(page, lambda i, _: begin <= i < end)), False
+        places = self.wrapper.places(page)
+        if places is not None:
+            main, dropped = self.main, self.dropped
+            if main is None or main in places:
+                return "\n".join(reading.blocks_of(page, lambda i, opened: places[i] not in dropped and (main is None or any(places[o] == main for o in opened)))), True
+        sign = self.sign if self.sign in page.signs else None
+        return "\n".join(reading.blocks_of(page, lambda _, opened: sign is None or any(page.signs[o] == sign for o in opened))), False
+
+
+@lru_cache(256)
 def compiled(packed: str) -> Wrapper:
     return Wrapper(packed)
 
 
+def host_of(url):
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
+
+
 def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper): one packed wrapper a host, from all its pages."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shapes: dict[str, set] = defaultdict(set)
-            masses: dict[str, Counter] = defaultdict(Counter)
             seen: Counter = Counter()
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                page = Page(html.as_py() or "")
-                shapes[host].add(fold(page.signs))
-                masses[host].update(walk(page.signs, page.texts, None)[1])
+                shapes[host].add(fold(Page(html.as_py() or "").signs))
                 seen[host] += 1
-            hosts, found = [], []
-            for host in shapes:
-                w = unified(shapes[host] - {()}) if shapes[host] != {()} else None
-                hosts.append(host)
-                found.append(pack(w, masses[host], seen[host]))
-            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "wrapper": pa.array(found, pa.string())})
+            found = [pack(unified(shapes[host] - {()}) if shapes[host] != {()} else None, seen[host]) for host in shapes]
+            yield pa.RecordBatch.from_pydict({"host": pa.array(list(shapes), pa.string()), "wrapper": pa.array(found, pa.string())})
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [combine(frame["wrapper"].tolist())]})
 
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    parts = rows.mapInArrow(scan, "host string, wrapper string").withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
-    some = parts.groupBy("host", "part").applyInPandas(join, "host string, wrapper string")
-    return some.groupBy("host").applyInPandas(join, "host string, wrapper string")
+    found = written(rows.mapInArrow(scan, "host string, wrapper string"), "host-shapes")
+    most = found.groupBy("host").count().agg(F.max("count")).first()[0] or 1
+    parts = -(-most // FEW)
+    while True:  # a few rounds: the number of wrappers of a host falls by FEW each time
+        found = found.groupBy("host", F.pmod(F.xxhash64("wrapper", F.lit(parts)), F.lit(parts)).alias("part")).applyInPandas(join, "host string, wrapper string")
+        if parts == 1:
+            return found
+        parts = -(-parts // FEW)
 
 
-def host_of(url):
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
+def with_wrappers(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """Rows with their host's number; wrappers reach the tasks as one broadcast if they are small, else in a join."""
+    size = wrappers.agg(F.sum(F.length(F.to_json(F.struct(*wrappers.columns))))).first()[0] or 0
+    return rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host")
+
+
+def host_holdings(pages: DataFrame, wrappers: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, wrapper, holdings): each wrapper with what its places hold over all pages of the host."""
+    rows = with_wrappers(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")), wrappers)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[str, Holdings] = defaultdict(Holdings)
+            for host, html, packed in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("wrapper"), strict=True):
+                page, wrapper = Page(html.as_py() or ""), compiled(packed.as_py())
+                places = wrapper.places(page) if page.signs else None
+                if places is not None:
+                    held[host].add(page, Reading(page), places, wrapper)
+            out = [(host, place, *r) for host, h in held.items() for place, r in h.rows.items()]
+            kinds = [pa.string(), pa.int32(), *[pa.int64()] * 8]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["host", "place", "pages", "chars", "links", "mass", "own", "low", "high", "bits"])
+
+    parts = rows.mapInArrow(gather, f"host string, {Holdings.FIELDS}")
+    sums = [F.sum(c).alias(c) for c in ("pages", "chars", "links", "mass", "own")]
+    whole = parts.groupBy("host", "place").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("bits").alias("bits"))
+    lists = whole.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "pages", "chars", "links", "mass", "own", "low", "high", "bits"))).alias("holdings"))
+    return wrappers.join(lists, "host", "left")
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, host, matched) for every row of ``pages``."""
     wrappers = written(infer_wrappers(pages, url_col=url_col, html_col=html_col), "wrappers")
+    known = written(host_holdings(pages, wrappers, url_col=url_col, html_col=html_col), "holdings")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extractors: dict[str, Extractor] = {}
         for batch in batches:
-            found = [compiled(w.as_py()).extract(h.as_py()) for h, w in zip(batch.column("html"), batch.column("wrapper"), strict=True)]
+            if len(extractors) > 256:
+                extractors.clear()
+            found = []
+            for host, html, packed, holdings in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("wrapper"), batch.column("holdings"), strict=True):
+                if host not in extractors:
+                    extractors[host] = Extractor(packed.as_py(), [tuple(h.values()) for h in holdings.as_py() or []])
+                found.append(extractors[host].extract(html.as_py()))
             texts = pa.array([f[0] for f in found], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts, pa.array([len(f[0]) for f in found], pa.int64()), batch.column("host"), pa.array([f[1] for f in found], pa.bool_())], names=["page_id", "url", "text", "n_chars", "host", "matched"])
 
     kind = dict(rows.dtypes)["page_id"]
-    return rows.join(small(wrappers, BROADCAST_WRAPPERS), "host").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long, host string, matched boolean")
+    return with_wrappers(rows, known).mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long, host string, matched boolean")

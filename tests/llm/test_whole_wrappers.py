@@ -55,3 +55,65 @@ def test_batches_of_empty_pages_do_not_give_up_the_host(spark):
     parts = [wrappers.infer_wrappers(df.where(f"page_id = {i}")).first().wrapper for i in range(6)]
     assert json.loads(wrappers.combine(parts))[0] == json.loads(one)[0] != []
     assert json.loads(wrappers.combine(parts[3:]))[0] is None
+
+
+WORDS = "one two three four five six seven eight nine ten eleven twelve".split()
+
+
+def plain_page(i, box="div"):
+    """A page whose boxes have no telling names: a list of links, running text with a phrase that all pages share, and a last line."""
+    menu = "".join(f"<{box}><a href=/{j}>{WORDS[(i + j) % 12]}</a></{box}>" for j in range(3 + i % 3))
+    text = "".join(f"<p>Paragraph {j} of text {WORDS[i % 12]} and number {i} says something.</p>" for j in range(2 + i % 4))
+    return f"<body><{box}>{menu}</{box}><{box}><h1>Head {i}</h1><p>Tell your friends</p><{box}>{text}</{box}></{box}><{box}>All rights reserved</{box}></body>"
+
+
+def plain_text(i):
+    return "\n".join([f"Paragraph {j} of text {WORDS[i % 12]} and number {i} says something." for j in range(2 + i % 4)])
+
+
+def test_the_expression_tells_template_from_text(spark, monkeypatch):
+    """No box has a telling name: places in the expression say what is menu, template and text; without it they stay in."""
+    found = texts(spark, [plain_page(i) for i in range(24)])
+    assert found == {i: plain_text(i) for i in range(24)}
+    monkeypatch.setattr(wrappers.Wrapper, "places", lambda *_: None)
+    without = wrappers.Extractor(wrappers.pack(None, 24), [])
+    assert all(without.extract(plain_page(i))[0] != found[i] for i in range(24))
+
+
+def test_records_are_no_region(spark):
+    record = "<section><h3>Reader {0}</h3><p>I have read number {0} of this and have a great deal to say about it all.</p></section>"
+    pages = [f"<body><div><h1>Head {i}</h1><p>The text of page {i} in one line.</p></div><div>" + "".join(record.format(100 * i + j) for j in range(2 + i % 5)) + "</div></body>" for i in range(12)]
+    assert texts(spark, pages) == {i: f"Head {i}\nThe text of page {i} in one line." for i in range(12)}
+
+
+def test_copies_of_one_page_keep_their_text(spark):
+    page = "<body><nav>menu</nav><article><h1>Head</h1><p>The same text on all.</p></article></body>"
+    assert texts(spark, [page] * 40) == dict.fromkeys(range(40), "Head\nThe same text on all.")
+
+
+def test_pages_of_very_many_signs_and_very_long_ones(spark):
+    signs = "".join(f"<b class=c{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}{chr(97 + i // 260 % 26)}{chr(97 + i // 6760 % 26)}>x</b>" for i in range(30_000))
+    long = "<p>" + "word " * 200_000 + "</p>"
+    found = texts(spark, [f"<body><article><p>{signs}</p></article></body>", f"<body><article>{long}</article></body>"])
+    assert found == {0: "x" * 30_000, 1: " ".join(["word"] * 200_000)}
+    assert wrappers.code_point(0xD800 - 0x100) == chr(0xE000) and wrappers.code_point(wrappers.CODES - 0x101) <= chr(0x10FFFF)
+
+
+def test_long_units_and_long_runs():
+    unit = [f"a{i}" for i in range(60)]
+    assert wrappers.fold(["x", *unit * 3, "y"]) == ("x", ("+", tuple(unit)), "y")
+    x = tuple(f"b{i}" for i in range(900))
+    y = tuple(f"b{i}" if i % 7 else f"c{i}" for i in range(900))
+    w = wrappers.align(x, y)
+    assert [e for e in w if isinstance(e, str)] == [e for i, e in enumerate(x) if i % 7]
+
+
+def test_places_name_every_token():
+    known = wrappers.unified({wrappers.fold("t p # /p p # /p u".split()), wrappers.fold("t p # /p li p # /p p # /p /li li p # /p /li u".split())})
+    w = wrappers.Wrapper(wrappers.pack(known, 2))
+
+    class Shape:
+        signs = "t p # /p li p # /p p # /p /li u".split()
+
+    places = w.places(Shape)
+    assert [w.signs[p] for p in places] == Shape.signs and places[2] != places[6] == places[9]
