@@ -163,3 +163,24 @@ def bearer_ok(header: Column, key: str | None) -> Column:
     if not key:
         return F.lit(True)
     return F.coalesce(F.startswith(header, F.lit("Bearer ")) & (F.trim(F.substring(header, 8, 1 << 30)) == key), F.lit(False))
+
+
+def downgrade_reason(status: Column, documents: Column, error: Column) -> Column:
+    """Why a request for documents is answered locally; null if it need not be.
+
+    ``error`` is null for a service that answered, else offline, timeout or the name of an exception.
+    """
+    failed = F.when(error == "offline", "rag_service_offline").when(error == "timeout", "rag_timeout").otherwise(F.concat(F.lit("rag_exception_"), error))
+    answered = F.when(status != 200, F.concat(F.lit("rag_status_"), status.cast("string"))).when(F.coalesce(documents, F.lit(0)) == 0, "no_documents_indexed")
+    return F.when(error.isNotNull(), failed).otherwise(answered)
+
+
+def api_url(base: Column, path: str) -> Column:
+    """The address of an API path below a base that may end in slashes or in its version."""
+    bare = F.rtrim(base, F.lit("/"))
+    return F.concat(bare, F.when(F.endswith(bare, F.lit("/v1")), "").otherwise("/v1"), F.lit(path))
+
+
+def routing_warning(fallback: Column, confidence: Column, threshold: Column) -> Column:
+    """The warning of a route that fell back, null for others."""
+    return F.when(fallback, F.format_string("confidence %.4f is below the threshold %.2f", confidence, threshold))

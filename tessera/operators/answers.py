@@ -69,6 +69,14 @@ def stub_answers(items: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.select("query_id").join(top, "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit(REFUSAL)))
 
 
+def sources_of(accepted: DataFrame) -> DataFrame:
+    """(query_id, sources): the accepted items as citations, in rank order; what an item lacks is null."""
+    fields = ["chunk_id", "source", "page", "strategy", "dense_score", "rerank_score", "bm25_score", "rrf_score", "text"]
+    held = [F.col(f) if f in accepted.columns else F.lit(None).alias(f) for f in fields]
+    listed = F.sort_array(F.collect_list(F.struct("rank", F.struct(*held).alias("item"))))
+    return accepted.groupBy("query_id").agg(F.transform(listed, lambda x: x["item"]).alias("sources"))
+
+
 def exact_match(prediction: Column, golds: Column) -> dict[str, Column]:
     """Strict equality, and equality or containment, with any gold answer."""
     p = normalize_answer(prediction)
@@ -104,9 +112,9 @@ def grounding(answer: Column, chunks: Column) -> Column:
 
 
 def cited_grounding(answer: Column, chunks: Column) -> dict[str, Column]:
-    """Grounding in the cited chunks only (in all, without a valid citation), to 4 digits, and what lacks ground."""
+    """Grounding in the cited chunks only (in all, without a citation), to 4 digits, and what lacks ground."""
     valid = F.filter(citations(answer), lambda c: (c >= 1) & (c <= F.size(chunks)))
-    base = F.when(F.size(valid) > 0, F.transform(valid, lambda c: F.get(chunks, c - 1))).otherwise(chunks)
+    base = F.when(F.size(citations(answer)) > 0, F.transform(valid, lambda c: F.get(chunks, c - 1))).otherwise(chunks)
     mine = factual_tokens(answer, STOPWORDS)
     theirs = factual_tokens(F.array_join(base, "\n"), [])
     lost = F.array_except(mine, theirs)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.config import DEFAULTS, Settings
 from tessera.functions.text import tokenize
 
-#: Distinct query terms that are broadcast at most.
+#: Distinct query terms, and terms of all queries, that are broadcast at most.
 BROADCAST_TERMS = 500_000
 
 
@@ -60,23 +60,21 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, *, id_col: str = "doc_id"
     ``allowed`` (chunk_id) restricts what is scored; statistics stay those of all chunks.
     """
     asked = query_terms(queries, query_id, query_text)
-    terms = asked.select("term").distinct()
-    hint = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda x: x)
+    small = lambda df: F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
+    terms = small(asked.select("term").distinct().union(asked.sparkSession.createDataFrame([("",)], "term string")))
     rows = tokenized(chunks, id_col, text_col)
-    # one pass for all statistics: the empty term stands for the chunk itself
-    marked = exploded(rows, F.array_append(F.array_distinct("tokens"), ""), "dl")
-    wanted = terms.union(terms.sparkSession.createDataFrame([("",)], "term string"))
-    counts = marked.join(hint(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
-    whole = Window.partitionBy()  # one row a query term
-    of_all = lambda c: F.max(F.when(F.col("term") == "", F.col(c))).over(whole)
-    counts = counts.withColumns({"n_chunks": of_all("df"), "total": of_all("total")})
-    df = counts.select("term", idf(F.col("df"), F.col("n_chunks")).alias("idf"), (F.col("total") / F.col("n_chunks")).alias("avgdl"))
-    weights = asked.join(hint(df), "term").select("query_id", "term", "avgdl", (F.col("qtf") * F.col("idf")).alias("weight"))
-    held = exploded(rows, F.col("tokens"), "chunk_id", "dl").join(hint(terms), "term", "left_semi").groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    scored = held if allowed is None else held.join(allowed, "chunk_id", "left_semi")
+    # one pass over the texts: terms of queries, and the empty term, which stands for the chunk itself
+    marked = exploded(rows, F.array_append("tokens", ""), "chunk_id", "dl").join(terms, "term", "left_semi")
+    held = marked.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    counts = held.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+    whole = counts.where("term = ''").select(F.col("df").alias("n_chunks"), (F.col("total") / F.col("df")).alias("avgdl"))  # one row
+    weights = asked.join(counts, "term").crossJoin(F.broadcast(whole)).select("query_id", "term", "avgdl", (F.col("qtf") * idf(F.col("df"), F.col("n_chunks"))).alias("weight"))
+    weights = F.broadcast(weights) if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else weights
+    scored = held.where("term <> ''")
+    scored = scored if allowed is None else scored.join(allowed, "chunk_id", "left_semi")
     length = 1 - settings.b + settings.b * F.col("dl") / F.col("avgdl")
     gain = F.col("weight") * F.col("tf") * (settings.k1 + 1) / (F.col("tf") + settings.k1 * length)
-    return scored.join(hint(weights), "term").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("score"))
+    return scored.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, by: str = "score", rank: str = "rank") -> DataFrame:

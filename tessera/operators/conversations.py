@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULTS, Settings
-from tessera.functions.pii import redacted, redaction_count
+from tessera.functions.pii import redaction, redaction_count
 from tessera.functions.text import count_tokens
 
 REDACTED_ROLES = ["user", "system", "assistant"]
@@ -21,7 +21,8 @@ def check_limits(turns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 def redact_turns(turns: DataFrame) -> DataFrame:
     """Texts of user, system and assistant redacted, with their count; other roles as they are."""
     own = F.col("role").isin(REDACTED_ROLES)
-    return turns.withColumns({"redactions": F.when(own, redaction_count(F.col("text"))).otherwise(0), "text": F.when(own, redacted(F.col("text"))).otherwise(F.col("text"))})
+    clean = turns.withColumn("_clean", redaction(F.col("text")))
+    return clean.withColumns({"redactions": F.when(own, redaction_count(F.col("_clean.counts"))).otherwise(0), "text": F.when(own, F.col("_clean.text")).otherwise(F.col("text"))}).drop("_clean")
 
 
 def last_user_turn(turns: DataFrame) -> DataFrame:

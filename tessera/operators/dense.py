@@ -1,7 +1,7 @@
 """Exact dense retrieval: cosine of every query with every vector, best k of each.
 
-The query side is broadcast after its size is checked; larger query tables are
-handled in blocks by an Arrow function, so that no pair of rows is ever a row.
+The query side is broadcast in blocks of a checked size, one scan of the vectors a
+block, and compared by an Arrow function, so that no pair of rows is ever a row.
 """
 
 from __future__ import annotations
@@ -15,20 +15,30 @@ from pyspark.sql import functions as F
 
 from tessera.operators.bm25 import top_k
 
-#: Query vectors that are handed to every task at most.
-QUERY_BOUND = 200_000
+#: Bytes of query vectors that are handed to every task at once.
+QUERY_BYTES = 64_000_000
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "vec_id", query_vector: str = "embedding", allowed: DataFrame | None = None, skip_self: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, rank): scores are cosines, not below 0.
 
     ``allowed`` (chunk_id) restricts the candidates before the best are taken.
+    Vectors of another length than the query's are no candidates.
     """
-    rows = queries.select(query_id, query_vector).where(F.col(query_id).isNotNull() & F.col(query_vector).isNotNull()).limit(QUERY_BOUND + 1).toArrow()
-    if rows.num_rows > QUERY_BOUND:
-        raise ValueError("too many queries for one job; split the query table")
+    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where(F.col("q").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
+    out = None
+    for (dim,), n in sorted(((r[0],), r[1]) for r in asked.groupBy(F.size("v")).count().collect()):  # vectors of one length meet their like
+        blocks = -(-n * dim * 8 // QUERY_BYTES)
+        for b in range(blocks):
+            some = asked.where((F.size("v") == dim) & (F.pmod(F.xxhash64("q"), F.lit(blocks)) == b))
+            found = _top_of_block(vectors, some.toArrow().combine_chunks(), dim, k, id_col, vector_col, allowed, skip_self)
+            out = found if out is None else out.union(found)
+    return out if out is not None else vectors.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
+
+
+def _top_of_block(vectors: DataFrame, rows: pa.Table, dim: int, k: int, id_col: str, vector_col: str, allowed: DataFrame | None, skip_self: bool) -> DataFrame:
     ids = rows.column(0).to_numpy()
-    matrix = unit(np.array(rows.column(1).to_pylist(), np.float64)) if len(ids) else np.zeros((0, 1))
+    matrix = unit(rows.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)) if len(ids) else np.zeros((0, dim))
     base = vectors.select(F.col(id_col).alias("chunk_id"), F.col(vector_col).alias("v")).where(F.col("chunk_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") == matrix.shape[1]))
     if allowed is not None:
         base = base.join(allowed, "chunk_id", "left_semi")

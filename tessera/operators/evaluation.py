@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normalize_match, safe_ratio, tokenize
+from tessera.functions.text import citations, is_full_refusal, normalize_match, safe_ratio, tokenize
+from tessera.operators.answers import citation_validity, cited_grounding
+
+
+#: Items that are broadcast at most, and bytes of their texts.
+BROADCAST_ITEMS = 20_000
+BROADCAST_BYTES = 64_000_000
 
 
 def gain(rank: Column, k: int = 10) -> Column:
@@ -38,24 +48,36 @@ def retrieval_metrics(ranks: DataFrame, by: list[str], rank: str = "gold_rank")
     return ranks.groupBy(*by).agg(F.count("*").alias("queries"), *(F.avg(hit(r, k) * 100).alias(f"hit_at_{k}") for k in (1, 3, 10)), F.avg(reciprocal(r)).alias("mrr"), F.avg(F.coalesce(gain(r), F.lit(0.0))).alias("ndcg_at_10"))
 
 
-def bootstrap_ci(values: DataFrame, column: str, *, rounds: int = 2000, level: float = 0.95, seed: int = 42) -> DataFrame:
+def bootstrap_ci(values: DataFrame, column: str, key: str, *, rounds: int = 2000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """(low, high): percentiles of the means of Poisson-weighted resamples.
 
-    Every row draws its weight in every round from a hash of row and round, so the
-    resamples are summed in one aggregation and do not depend on partitions.
+    Every row draws its weight in every round from a hash of its ``key`` and the round, so
+    the result does not depend on partitions; rows of one key draw alike. Each task
+    gives one row a round, of sums over all its rows.
     """
     steps = [0.36787944117144233]  # cumulative Poisson(1)
     p = steps[0]
     for k in range(1, 8):
         p /= k
         steps.append(steps[-1] + p)
-    rows = values.select(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)).alias("row"), F.col(column).cast("double").alias("x"))
-    drawn = rows.select("x", "row", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    u = F.shiftrightunsigned(F.xxhash64("row", "round"), 11) / float(1 << 53)
-    weight = F.lit(0)
-    for s in steps:
-        weight = weight + (u >= s).cast("int")
-    means = drawn.groupBy("round").agg(F.try_divide(F.sum(F.col("x") * weight), F.sum(weight)).alias("mean"))
+    rows = values.select(F.xxhash64(key, F.lit(seed)).alias("row"), F.col(column).cast("double").alias("x")).where("x is not null")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros(rounds), np.zeros(rounds)
+        turn = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            own, x = batch.column(0).to_numpy().astype(np.int64).view(np.uint64), batch.column(1).to_numpy()
+            for low in range(0, len(x), 256):
+                h = own[low : low + 256, None] + turn
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                weight = np.searchsorted(steps, ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), side="right")
+                total += x[low : low + 256] @ weight
+                count += weight.sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"round": np.arange(rounds), "total": total, "n": count})
+
+    sums = rows.mapInArrow(draw, "round long, total double, n double")
+    means = sums.groupBy("round").agg(F.round(F.try_divide(F.sum("total"), F.sum("n")), 12).alias("mean"))
     edge = (1 - level) / 2
     return means.agg(F.percentile("mean", edge).alias("low"), F.percentile("mean", 1 - edge).alias("high"))
 
@@ -87,16 +109,28 @@ def containment_pairs(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     An item's longest inner token must be a token of any document that contains it,
     which makes the theta join an equi-join on that token; items of fewer than three
-    tokens are compared with all documents, a broadcast of few short texts.
+    tokens meet the documents that have their first characters, three at most, in a row.
     """
     own = items.where(F.coalesce("text", F.lit("")) != "").select("query_id", F.col("text").alias("expected"), tokenize(F.col("text")).alias("tokens"))
     inner = F.slice("tokens", 2, F.greatest(F.size("tokens") - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
     keyed = own.withColumn("key", F.when(F.size("tokens") > 2, longest)).drop("tokens")
     tokens = documents.select("chunk_id", "text", F.explode(F.array_distinct(tokenize(F.coalesce("text", F.lit(""))))).alias("key"))
-    near = tokens.join(F.broadcast(keyed.where("key is not null")), "key")  # the item table is a set of questions
-    short = documents.select("chunk_id", "text").join(F.broadcast(keyed.where("key is null")), F.contains("text", "expected")).select("query_id", "chunk_id")
-    return near.where(F.contains("text", "expected")).select("query_id", "chunk_id").union(short).distinct()
+    hint = F.broadcast if keyed.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS and not keyed.where(F.octet_length("expected") > BROADCAST_BYTES // BROADCAST_ITEMS).limit(1).count() else (lambda x: x)
+    near = tokens.join(hint(keyed.where("key is not null")), "key")
+    found = near.where(F.contains("text", "expected")).select("query_id", "chunk_id")
+    short = keyed.where("key is null").select("query_id", "expected", F.substring("expected", 1, 3).alias("key"))
+    for r in short.select(F.length("key").alias("n")).distinct().collect():  # 1, 2 or 3
+        begins = documents.select("chunk_id", "text", F.explode(F.array_distinct(grams(F.col("text"), r.n))).alias("key"))
+        found = found.union(begins.join(hint(short.where(F.length("key") == r.n)), "key").where(F.contains("text", "expected")).select("query_id", "chunk_id"))
+    return found.distinct()
+
+
+def grams(text: Column, n: int) -> Column:
+    """All runs of ``n`` characters of a text, null for a shorter one."""
+    letters = F.split(text, "")
+    runs = F.transform(F.sequence(F.lit(1), F.size(letters) - n + 1), lambda i: F.array_join(F.slice(letters, i, n), ""))
+    return F.when(F.size(letters) >= n, runs)
 
 
 def demotion_causes(pairs: DataFrame) -> DataFrame:
@@ -110,3 +144,43 @@ def demotion_causes(pairs: DataFrame) -> DataFrame:
     longer = F.length("preferred_text") > F.length("gold_text")
     many = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     return pairs.agg(F.count("*").alias("demotions"), many(same).alias("same_article"), F.round(safe_ratio(many(same) * 100, F.count("*")), 1).alias("same_article_percent"), many(longer).alias("longer_preferred"), many(~longer).alias("shorter_preferred"))
+
+
+def hits_by_category(ranks: DataFrame, categories: list[str], by: list[str], rank: str = "gold_rank") -> DataFrame:
+    """Hit@1 in percent of each category, a column each, and the MRR of ranks up to 3."""
+    r = F.col(rank)
+    columns = [F.avg(F.when(F.col("category") == c, hit(r, 1) * 100)).alias(f"{c}_hit_at_1") for c in categories]
+    return ranks.groupBy(*by).agg(*columns, F.avg(F.when(r <= 3, reciprocal(r)).otherwise(0.0)).alias("mrr_at_3"))
+
+
+def latency(timed: DataFrame, by: str, seconds: str) -> DataFrame:
+    """Mean and 95th percentile of the milliseconds of each group."""
+    ms = F.col(seconds) * 1000
+    return timed.groupBy(by).agg(F.avg(ms).alias("mean_ms"), F.percentile(ms, 0.95).alias("p95_ms"))
+
+
+def faithfulness(cases: DataFrame) -> DataFrame:
+    """Each case (id, category, contexts, answer, expected_refusal) with its marks.
+
+    A refusal is grounded. Citations count in answers that should not be refusals.
+    """
+    cited = cited_grounding(F.col("answer"), F.col("contexts"))
+    valid = citation_validity(F.col("answer"), F.size("contexts"))
+    refused = is_full_refusal(F.col("answer"))
+    n = F.size(citations(F.col("answer")))
+    return cases.select("id", "category", "expected_refusal", refused.alias("refused"), F.when(refused, 1.0).otherwise(cited["grounding"]).alias("grounding"), (~refused & (F.size(cited["ungrounded"]) > 0)).alias("flagged"), n.alias("citations"), F.round(valid["validity"] * n).cast("int").alias("valid"))
+
+
+def faithfulness_summary(marked: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Citation presence and precision, mean grounding, refusal accuracy and hallucination sensitivity, in percent."""
+    answered, refusing = ~F.col("expected_refusal"), F.col("expected_refusal")
+    share = lambda what, of: F.round(F.avg(F.when(of, what.cast("double"))) * 100, 2)
+    cited = F.sum(F.when(answered, F.col("citations")))
+    return marked.groupBy(*(by or [])).agg(
+        F.count("*").alias("cases"),
+        share(F.col("citations") > 0, answered).alias("citation_presence"),
+        F.round(F.coalesce(F.try_divide(F.sum(F.when(answered, F.col("valid"))) * 100.0, cited), F.lit(100.0)), 2).alias("citation_precision"),
+        F.round(F.avg("grounding") * 100, 2).alias("grounding"),
+        share(F.col("refused"), refusing).alias("refusal_accuracy"),
+        F.coalesce(share(F.col("flagged"), F.col("category") == "hallucination"), F.lit(100.0)).alias("hallucination_sensitivity"),
+    )

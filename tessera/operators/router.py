@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULTS, Settings
-from tessera.functions.text import normalize_dedup, safe_ratio
+from tessera.functions.text import normalize_dedup, routing_warning, safe_ratio
 
 #: Exemplars are a small, hand-kept table; a larger one is refused.
 EXEMPLAR_BOUND = 20_000
@@ -93,3 +93,15 @@ def adjacent_similarity(rows: DataFrame, group: list[str], order: str, vector: s
 
     before = F.lag(vector).over(Window.partitionBy(*group).orderBy(order))
     return rows.withColumn("before", before).where(F.col("before").isNotNull()).withColumn("similarity", cosine(F.col(vector), F.col("before"))).drop("before")
+
+
+def routing_result(routed: DataFrame, threshold: float = DEFAULTS.router_threshold) -> DataFrame:
+    """Routes as they are shown: the confidence to four digits, the threshold to two, a warning only where one fell back."""
+    bound = F.round(F.lit(threshold), 2)
+    return routed.withColumns({"confidence": F.round("confidence", 4), "threshold": bound, "warning": routing_warning(F.col("fallback_applied"), F.round("confidence", 4), bound)})
+
+
+def best_threshold(sweep: DataFrame) -> DataFrame:
+    """The row of a threshold sweep with the largest accuracy, the smallest threshold of equals."""
+    best = F.max_by(F.struct("threshold", "accuracy", "fallbacks"), F.struct(F.round("accuracy", 9), -F.col("threshold"))).alias("b")
+    return sweep.agg(best).select("b.*")

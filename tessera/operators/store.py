@@ -1,12 +1,14 @@
 """The chunk table: deduplication, upsert, deletion, inventory.
 
 Plain Parquet has no merge: an upsert is the old rows without the new keys and the
-new rows, written beside the old table and swapped in by a pointer of versions.
+new rows, written beside the old files of the touched buckets and swapped in by a manifest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import STRATEGIES
@@ -37,9 +39,14 @@ def duplicates(documents: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """All rows after the new ones replaced those of the same key; of new equals the last wins."""
+    """All rows after the new ones replaced those of the same key.
+
+    Of new rows of one key the one with the largest ``version`` wins, and without such a
+    column, or among equal versions, the one whose other columns sort last.
+    """
     key = key or KEY
-    order = [F.desc("version")] if "version" in new.columns else [F.lit(0)]
+    rest = [c for c in new.columns if c not in key and c != "version"]
+    order = ([F.desc("version")] if "version" in new.columns else []) + [F.desc(c) for c in rest]
     last = new.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(last)
 
@@ -65,10 +72,16 @@ def length_stats(chunks: DataFrame, by: str = "strategy") -> DataFrame:
 
 
 class ChunkStore:
-    """Versions of the table under one path; a reader sees the last complete version."""
+    """Versions of the table under one path; a reader sees the last complete version.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    Chunks are dealt into ``buckets`` by a hash of their document. A version writes only
+    the buckets that it changes; its manifest, written last, names the version that
+    holds each bucket, so that an upsert costs what it touches and not the whole table.
+    One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -76,36 +89,65 @@ class ChunkStore:
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
 
     def versions(self) -> list[int]:
-        """Numbers of complete versions: those that Spark's commit marked as done."""
+        """Numbers of complete versions: those that have a manifest."""
         fs, root = self._fs()
         if not fs.exists(root):
             return []
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("v")]
-        return sorted(int(p.getName()[1:]) for p in found if fs.exists(done(p, "_SUCCESS")))
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        return sorted(int(n[1:-5]) for n in names if n.startswith("m") and n.endswith(".json"))
 
-    def read(self) -> DataFrame | None:
+    def manifest(self) -> dict[int, int]:
+        """Which version holds each bucket that has chunks."""
         held = self.versions()
-        return self.spark.read.parquet(f"{self.path}/v{held[-1]}") if held else None
+        if not held:
+            return {}
+        text = self.spark.read.text(f"{self.path}/m{held[-1]}.json", wholetext=True).first()[0]
+        return {int(k): v for k, v in json.loads(text).items()}
+
+    def _read(self, manifest: dict[int, int]) -> DataFrame | None:
+        out = None
+        for version in sorted(set(manifest.values())):
+            paths = [f"{self.path}/v{version}/bucket={b}" for b, v in sorted(manifest.items()) if v == version]
+            part = self.spark.read.option("basePath", f"{self.path}/v{version}").parquet(*paths).drop("bucket")
+            out = part if out is None else out.unionByName(part)
+        return out
 
-    def write(self, chunks: DataFrame) -> int:
-        version = max(self.versions(), default=0) + 1
-        chunks.write.partitionBy("strategy").parquet(f"{self.path}/v{version}")
+    def read(self) -> DataFrame | None:
+        return self._read(self.manifest())
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
+
+    def _replace(self, chunks: DataFrame, touched: list[int]) -> int:
+        """A new version in which the touched buckets hold ``chunks`` alone."""
+        version, manifest = max(self.versions(), default=0) + 1, self.manifest()
+        chunks.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket", "strategy").parquet(f"{self.path}/v{version}")
+        fs, root = self._fs()
+        made = self.spark._jvm.org.apache.hadoop.fs.Path
+        full = {b for b in touched if fs.exists(made(f"{self.path}/v{version}/bucket={b}"))}
+        manifest = {b: v for b, v in manifest.items() if b not in touched} | dict.fromkeys(full, version)
+        out = fs.create(made(f"{self.path}/.m{version}.part"), True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if not fs.rename(made(f"{self.path}/.m{version}.part"), made(f"{self.path}/m{version}.json")):
+            raise OSError(f"version {version} was written by another writer")
         return version
 
     def add(self, new: DataFrame) -> int:
         """Upsert; returns the new version."""
-        old = self.read()
-        return self.write(new if old is None else upsert(old.select(*new.columns), new))
+        touched = [r[0] for r in new.select(self._bucket()).distinct().collect()]  # at most ``buckets``
+        old = self._read({b: v for b, v in self.manifest().items() if b in touched})
+        return self._replace(upsert(new.limit(0) if old is None else old.select(*new.columns), new), touched)
 
     def delete(self, doc_id) -> int:
         """Remove a document from all strategies; returns how many chunks went."""
-        old = self.read()
+        bucket = self.spark.createDataFrame([(doc_id,)], "doc_id long").select(self._bucket()).first()[0]
+        old = self._read({b: v for b, v in self.manifest().items() if b == bucket})
         if old is None:
             return 0
         gone = old.where(F.col("doc_id").eqNullSafe(F.lit(doc_id))).count()
         if gone:
-            self.write(without_document(old, doc_id))
+            self._replace(without_document(old, doc_id), [bucket])
         return gone
 
     def strategy(self, name: str) -> DataFrame | None:

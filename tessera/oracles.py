@@ -6,6 +6,8 @@ which has no look-behind; where the queries use those, the SQL splits another wa
 
 from __future__ import annotations
 
+from tessera.cases import ANSWER_CASES, UNANSWERABLE
+
 T = r"'[\p{L}\p{N}_]+'"
 
 
@@ -56,12 +58,12 @@ bm as (select * from (select *, row_number() over (partition by query_id order b
 
 DOCS = "select doc_id as chunk_id, text from documents"
 ITEMS = "select item_id as query_id, text as query from benchmark"
-BOTH = "select doc_id as chunk_id, text, source, embedding::double[] as v from documents join embeddings on doc_id = vec_id"
+BOTH = "select doc_id as chunk_id, text, source, embedding::double[] as v from documents left join embeddings on doc_id = vec_id"
 ASK = "select chunk_id as query_id, string_split(text, chr(10))[1] as query from c where chunk_id % 50 = 0"
 DENSE = """
 dn as (select * from (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id)::int as rank from (
   select a.chunk_id as query_id, b.chunk_id, greatest(0, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))) as score
-  from c a, c b where a.chunk_id % 50 = 0)) where rank <= 20)"""
+  from c a, c b where a.chunk_id % 50 = 0 and a.v is not null and b.v is not null)) where rank <= 20)"""
 
 
 def fused(weights: str, grid: str = "") -> str:
@@ -155,6 +157,60 @@ LINES = "lines as (select doc_id, unnest(range(len(p)))::int as idx, unnest(p) a
 TABLE = "(contains(line, ' | ') or (starts_with(line, '|') and ends_with(line, '|')))"
 LIMITED = "select *, row_number() over (partition by conv_id order by turn) as i, row_number() over (partition by conv_id order by turn desc) as j, first_value(role) over (partition by conv_id order by turn) = 'system' as sys from conversations"
 
+HEADED = LINES + r""",
+hl as (select *, substr(regexp_replace(line, '[^A-Za-z ]', '', 'g'), 1, 30) as f from lines),
+headed as (select doc_id, (idx * 6 + k)::int as idx, ['## ' || f, (idx + 1) || '. ' || upper(substr(f, 1, 1)) || substr(f, 2, 30), upper(f), '1.2 ' || lower(f), '#' || f, line][k + 1] as line from hl cross join range(6) as t(k))"""
+
+
+def window_end(text: str, begin: str, n: str) -> str:
+    """End of the character window of 500 that begins at ``begin``."""
+    window = f"substr({text}, {begin} + 1, 500)"
+    last = lambda c: f"(500 - strpos(reverse({window}), {c}) - (500 - length({window})))"
+    after = strip(f"split_part(substr({text}, {begin} + {last('chr(10)')} + 2), chr(10), 1)")
+    line = f"strpos({window}, chr(10)) > 0 and {last('chr(10)')} > 0 and (contains({after}, ' | ') or (starts_with({after}, '|') and ends_with({after}, '|')))"
+    return f"(case when {begin} + 500 >= {n} then {begin} + 500 when {line} then {begin} + {last('chr(10)')} when strpos({window}, ' ') > 0 and {last(chr(39) + ' ' + chr(39))} > 0 then {begin} + {last(chr(39) + ' ' + chr(39))} else {begin} + 500 end)"
+
+
+CHARACTER = f"""with recursive d as (select doc_id, source || '-' || doc_id as source, text, length(text) as n from documents where coalesce({strip('text')}, '') <> ''),
+w as (select doc_id, 0::bigint as b, {window_end('text', '0', 'n')}::bigint as e from d
+  union all select doc_id, b2, {window_end('text', 'b2', 'n')}::bigint from (select d.doc_id, text, n, greatest(b + 1, e - 50) as b2 from w join d using (doc_id) where greatest(b + 1, e - 50) < n)),
+p as (select doc_id, b, source, {strip('substr(text, b + 1, e - b)')} as text from w join d using (doc_id)),
+i as (select *, (row_number() over (partition by doc_id order by b) - 1)::int as chunk_idx from p where text <> '')
+select source || '_char_p1_' || chunk_idx as chunk_id, doc_id, source, 1 as page, 'character' as strategy, chunk_idx, text from i"""
+LIMITER = """with recursive r as (select event_id as request, user_id::varchar as key, epoch(ts) as t, row_number() over (partition by user_id order by ts, event_id) as i from events),
+w as (select request, key, t, i, true as allowed, 0 as retry_after, [t] as log from r where i = 1
+  union all select request, key, t, i, len(k) < 2, case when len(k) < 2 then 0 else greatest(1, trunc(k[1] + 3600 - t)::int) end, case when len(k) < 2 then list_append(k, t) else k end
+  from (select r.*, list_filter(w.log, lambda x: x > r.t - 3600) as k from w join r on r.key = w.key and r.i = w.i + 1))
+select request, key, allowed, retry_after from w"""
+
+
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+REQUESTS = "requests as (select *, case event_id % 20 when 0 then 429 when 1 then 400 else 200 end as code, event_id % 3 as pii_redactions, length(props) as prompt_tokens, event_id % 50 as completion_tokens from events)"
+CASES = "cases(id, category, contexts, answer, expected_refusal) as (values " + ", ".join(f"({quoted(i)}, {quoted(c)}, [{', '.join(map(quoted, x))}]::varchar[], {quoted(a)}, {str(c == 'refusal').lower()})" for i, c, x, a in ANSWER_CASES) + ")"
+FAITHFUL = rf"""{CASES},
+ci as (select *, list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda x: x::int) as cs, contains(answer, '{REFUSAL}') or contains(lower(answer), 'not contain enough information') as refused from cases),
+ba as (select *, list_filter(cs, lambda x: x >= 1 and x <= len(contexts)) as ok from ci),
+fa as (select *, {factual('answer', STOP)} as mine, array_to_string(case when len(cs) > 0 then list_transform(ok, lambda x: contexts[x]) else contexts end, chr(10)) as base from ba),
+lo as (select *, list_filter(mine, lambda w: not list_contains({factual('base', '[]')}, w)) as lost from fa),
+marked as (select id, category, expected_refusal, refused, case when refused or len(mine) = 0 then 1.0 else round(1 - len(lost)::double / len(mine), 4) end as grounding, not refused and len(lost) > 0 as flagged, len(cs)::int as citations, len(ok)::int as valid from lo)"""
+FAITHFUL_SUMS = """count(*) as cases, round(avg(case when not expected_refusal then (citations > 0)::int end) * 100, 2) as citation_presence,
+round(coalesce(sum(case when not expected_refusal then valid end) * 100.0 / nullif(sum(case when not expected_refusal then citations end), 0), 100), 2) as citation_precision,
+round(avg(grounding) * 100, 2) as grounding, round(avg(case when expected_refusal then refused::int end) * 100, 2) as refusal_accuracy,
+round(coalesce(avg(case when category = 'hallucination' then flagged::int end) * 100, 100), 2) as hallucination_sensitivity"""
+RESPONSES = f"""{bm25(DOCS, ITEMS + ' where length(text) <= 200', 20)},
+fin as (select * from (select *, row_number() over (partition by query_id order by round(score, 4) desc, rank)::int as final from bm) where final <= 3),
+ids as (select query_id, count(*)::int as n, string_agg(chunk_id, ',' order by final) as chunk_ids from fin group by query_id)"""
+SOURCES = f"""{bm25(DOCS, ITEMS, 20)},
+fin as (select * from (select *, row_number() over (partition by query_id order by round(score, 4) desc, rank)::int as final from bm) where final <= 3),
+bl as (select query_id, final, chunk_id || '/' || source || '/1' as cited, '[' || final || '] Source: ' || source || ' (Page 1)' || chr(10) || {strip('d.text')} as block from fin join documents d on d.doc_id = chunk_id),
+made as (select query_id, count(*)::int as n, string_agg(cited, ',' order by final) as sources, string_agg(block, chr(10) || chr(10) order by final) as context from bl group by query_id),
+pr as (select q.query_id, q.query, n, sources, 'Question: ' || query || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Answer:' as prompt, case when n is null then '{REFUSAL}' else 'You ask: ' || query end as answer from q left join made using (query_id))"""
+UNKNOWN = "select * from (values " + ", ".join(f"({i}, {quoted(''.join(f'zq{w} ' for w in q.split()))})" for i, q in enumerate(UNANSWERABLE)) + ") as u(query_id, query)"
+
+
 ORACLES: dict[str, str] = {
     "bm25_topk": f"with {bm25(DOCS, ITEMS, 10)} select query_id, chunk_id, round(score, 6) as score, rank from bm",
     "bm25_scoped_docids": f"with {bm25(DOCS, ITEMS, 5, allowed=chr(32) + 'join documents al on al.doc_id = po.chunk_id and al.lang = ' + chr(39) + 'de' + chr(39))} select query_id, chunk_id, round(score, 6) as score, rank from bm",
@@ -201,9 +257,9 @@ select count(*) as demotions, coalesce(sum((contains(g, p) or contains(p, g))::i
 md5({strip(r"regexp_replace(lower(text), '\s+', ' ', 'g')")}) as for_match, md5({strip(r"regexp_replace(text, '\s+', ' ', 'g')")}) as collapsed,
 md5(regexp_replace({strip('lower(text)')}, '[^\p{{L}}\p{{N}}_\s]', '', 'g')) as for_dedup, md5({answer_text('text')}) as as_answer, {count_tokens('text')} as n_tokens from documents""",
     "factual_tokens": f"select doc_id, len(t)::int as n, md5(array_to_string(list_sort(t), ' ')) as tokens_md5 from (select doc_id, {factual('text', STOP_ANSWERS)} as t from documents)",
-    "heading_lines": f"with {LINES} select doc_id, idx, line from lines where regexp_matches({strip('line')}, '{HEADING}')",
+    "heading_lines": f"with {HEADED} select doc_id, idx, line from headed where regexp_matches({strip('line')}, '{HEADING}')",
     "table_lines": f"with {LINES} select doc_id, count(*) as n_table_lines from lines where {TABLE} group by doc_id",
-    "heading_sections": f"""with {LINES}, s as (select doc_id, idx, {strip('line')} as line from lines), n as (select *, sum(regexp_matches(line, '{HEADING}')::int) over (partition by doc_id order by idx)::bigint as section from s where line <> '')
+    "heading_sections": f"""with {HEADED}, s as (select doc_id, idx, {strip('line')} as line from headed), n as (select *, sum(regexp_matches(line, '{HEADING}')::int) over (partition by doc_id order by idx)::bigint as section from s where line <> '')
 select doc_id, section, count(*) as n_lines, sum(length(line))::bigint as n_chars from n group by all""",
     "page_split": f"select doc_id, unnest(range(1, len(p) + 1))::int as page, md5(unnest(p)) as text_md5 from (select doc_id, list_filter(list_transform(string_split(text, chr(12)), lambda x: {strip('x')}), lambda x: x <> '') as p from documents)",
     "table_row_serialisation": "select event_id, array_to_string(list_filter(['event: ' || nullif(trim(event_type), ''), 'Col2: ' || trunc(value)::bigint, 'user: ' || user_id], lambda x: x is not null), ' | ') as row from events",
@@ -252,15 +308,28 @@ n as (select *, coalesce(sum(case when heads then tokens end) over (partition by
 f as (select *, max(case when j = 1 then need end) over (partition by conv_id) <= 300 as fits from n)
 select conv_id, turn, role, tokens, fits from f where heads or j = 1 or need <= 300""",
     "last_user_turn": "select conv_id, max(turn) as turn, arg_max(text, turn) as text from conversations where role = 'user' group by conv_id",
-    "request_metrics": "select event_type as intent, count(*) as requests, round(sum(value), 3) as duration_sum from events group by 1",
+    "request_metrics": f"with {REQUESTS} select event_type as intent, code as status, count(*) as requests, round(sum(value), 3) as duration_sum, sum(pii_redactions)::bigint as pii_redactions, sum(prompt_tokens)::bigint as prompt_tokens, sum(completion_tokens)::bigint as completion_tokens from requests group by all",
     "request_windows": "select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S') as start, event_type as intent, count(*) as requests from events group by all",
-    "request_exposition": """with n as (select count(*) as n from events) select * from (
+    "request_exposition": f"""with {REQUESTS}, n as (select count(*) as n, sum(pii_redactions)::bigint as p, sum(prompt_tokens)::bigint as pt, sum(completion_tokens)::bigint as ct from requests) select * from (
 select unnest([0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16])::bigint as ord, unnest([
 '# HELP gateway_active_requests Current in-flight inference requests.', '# TYPE gateway_active_requests gauge', 'gateway_active_requests 0',
 '# HELP gateway_requests_total Total number of chat completions processed.', '# TYPE gateway_requests_total counter',
-'# HELP gateway_pii_redactions_total Total number of sensitive PII entities redacted.', '# TYPE gateway_pii_redactions_total counter', 'gateway_pii_redactions_total 0',
-'# HELP gateway_tokens_total Total tokens processed and generated.', '# TYPE gateway_tokens_total counter', 'gateway_tokens_total{type="prompt"} 0', 'gateway_tokens_total{type="completion"} 0',
-'# HELP gateway_request_duration_seconds Total execution time for chat completion requests.', '# TYPE gateway_request_duration_seconds summary', 'gateway_request_duration_seconds_sum 0.000000', 'gateway_request_duration_seconds_count ' || n]) as line from n)
-union all select 5, 'gateway_requests_total{intent="' || event_type || '",status="200"} ' || count(*) from events group by event_type""",
+'# HELP gateway_pii_redactions_total Total number of sensitive PII entities redacted.', '# TYPE gateway_pii_redactions_total counter', 'gateway_pii_redactions_total ' || p,
+'# HELP gateway_tokens_total Total tokens processed and generated.', '# TYPE gateway_tokens_total counter', 'gateway_tokens_total{{type="prompt"}} ' || pt, 'gateway_tokens_total{{type="completion"}} ' || ct,
+'# HELP gateway_request_duration_seconds Total execution time for chat completion requests.', '# TYPE gateway_request_duration_seconds summary', 'gateway_request_duration_seconds_sum ' || printf('%.6f', n * 0.25::double), 'gateway_request_duration_seconds_count ' || n]) as line from n)
+union all select 5, 'gateway_requests_total{{intent="' || event_type || '",status="' || code || '"}} ' || count(*) from requests group by event_type, code""",
     "rate_limit_attempts_window": "select event_id, count(*) over (partition by user_id order by epoch(ts) range between 60 preceding and current row) as attempts from events",
+    "chunk_character": CHARACTER,
+    "rate_limit_decisions": LIMITER,
+    "query_responses": f"with {RESPONSES} select item_id as query_id, case when length(text) > 200 then 400 else 200 end as status, case when length(text) > 200 then 'Query length (' || length(text) || ') exceeds maximum limit of 200 characters.' end as detail, case when length(text) <= 200 then coalesce(n, 0) end as total_retrieved, chunk_ids from benchmark left join ids on query_id = item_id",
+    "answer_sources": f"with {SOURCES} select query_id, answer, coalesce(n, 0) as n_sources, sources, case when n is null then 0 else {count_tokens('prompt')} end as prompt_tokens, case when n is null then 0 else {count_tokens('answer')} end as completion_tokens from pr",
+    "unanswerable_refusals": f"with {bm25(DOCS, UNKNOWN, 3)} select count(*) as cases, avg(case when query_id in (select query_id from bm) then 0.0 else 100.0 end) as refusal_accuracy from q",
+    "faithfulness_cases": f"with {FAITHFUL} select * from marked",
+    "faithfulness_by_kind": f"with {FAITHFUL} select category, {FAITHFUL_SUMS} from marked group by category union all select 'all', {FAITHFUL_SUMS} from marked",
+    "downgrade_reasons": "select event_id, case event_id % 11 when 0 then 'rag_service_offline' when 1 then 'rag_timeout' when 2 then 'rag_exception_ValueError' else case when event_id % 5 = 0 then 'rag_status_503' when event_id % 5 = 1 then 'rag_status_404' when event_id % 4 = 0 then 'no_documents_indexed' end end as reason, case when event_id % 2 = 0 then 'http://host/v1/chat/completions' else 'http://host/x/v1/chat/completions' end as url from events",
+    "latency_by_type": "select event_type, round(avg(value * 1000), 6) as mean_ms, round(quantile_cont(value * 1000, 0.95), 6) as p95_ms from events group by event_type",
+    "hits_by_category": f"with {bm25(DOCS, ITEMS, 10)}, {GOLDS}, r as (select g.query_id, min(bm.rank) as gold_rank from golds g left join bm on bm.query_id = g.query_id and bm.chunk_id = g.chunk_id group by g.query_id), k as (select *, coalesce(gold_rank = 1, false)::int * 100.0 as hit from r join q using (query_id)) select 'bm25' as configuration, round(avg(case when length(query) <= 200 then hit end), 6) as short_hit_at_1, round(avg(case when length(query) > 200 then hit end), 6) as long_hit_at_1, round(avg(case when gold_rank <= 3 then 1.0 / gold_rank else 0 end), 6) as mrr_at_3 from k",
+    "router_best_threshold": f"with {ROUTER}, g as (select round(i * 0.05, 2)::double as threshold from range(6, 17) as r(i)), s as (select threshold, avg((case when confidence < threshold then 'general' else best end = actual)::int) as accuracy, sum((confidence < threshold)::int)::bigint as fallbacks from best cross join g group by threshold) select threshold, round(accuracy, 6) as accuracy, fallbacks from s order by round(accuracy, 9) desc, threshold limit 1",
+    "routing_results": f"with {ROUTER} select query_id, round(confidence, 4) as confidence, confidence < 0.55 as fallback_applied, case when confidence < 0.55 then 'general' else best end as intent, case when confidence >= 0.55 and best = 'rag' then 'rag' else 'hf_local' end as route, 0.55::double as threshold, case when confidence < 0.55 then 'confidence ' || printf('%.4f', round(confidence, 4)) || ' is below the threshold 0.55' end as warning from best",
+    "two_way_containment": rf"with l as (select doc_id, string_split(text, chr(10))[1] as line from documents), n as (select a.doc_id, {strip(r"regexp_replace(lower(a.line), '\s+', ' ', 'g')")} as a, {strip(r"regexp_replace(lower(substr(b.line, 1, 12)), '\s+', ' ', 'g')")} as b from l a join l b on b.doc_id + 1 = a.doc_id) select doc_id, coalesce(contains(a, b) or contains(b, a), false) as contained from n",
 }

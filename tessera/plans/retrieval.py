@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.config import DEFAULTS, Settings
-from tessera.operators.answers import budgeted, prompts, stub_answers
+from tessera.config import DEFAULTS, REFUSAL, Settings
+from tessera.functions.text import count_tokens
+from tessera.operators.answers import budgeted, prompts, sources_of, stub_answers
 from tessera.operators.bm25 import bm25_scores, top_k
 from tessera.operators.dense import dense_top_k
 from tessera.operators.fusion import final_cut, reciprocal_rank_fusion, result_items
@@ -18,7 +20,7 @@ MODES = {"sparse": "sparse", "bm25": "sparse", "hybrid": "hybrid"}
 
 
 def askable(queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Queries that are neither blank nor too long."""
+    """Queries that are neither blank nor too long; ``respond`` and ``answer`` report the others."""
     return queries.where((F.trim(F.coalesce("query", F.lit(""))) != "") & (F.length("query") <= settings.max_query_chars))
 
 
@@ -56,21 +58,55 @@ def retrieve(chunks: DataFrame, queries: DataFrame, *, mode: str = "hybrid", sco
     return result_items(rerank(texts, settings.final_k, scorer).drop("text", "query"), chunks)
 
 
-def answer(chunks: DataFrame, queries: DataFrame, *, mode: str = "hybrid", scorer: Scorer | None = None, system: str = "", threshold: float | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """(query_id, query, prompt, answer, n_sources): retrieval, budget, prompt and the stub answer.
+def respond(chunks: DataFrame, queries: DataFrame, *, mode: str = "hybrid", scorer: Scorer | None = None, allowed: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """(query_id, status, detail, total_retrieved, results) of every query.
 
-    With a threshold and a scorer, a query whose best score is below it is refused.
+    A query over the longest length has status 400 and the reason; results are the
+    retrieved items in rank order, none for a blank query.
+    """
+    items = retrieve(chunks, queries, mode=mode, scorer=scorer, allowed=allowed, settings=settings)
+    found = sources_of(items).select("query_id", F.col("sources").alias("results"))
+    n = F.length("query")
+    long = F.coalesce(n > settings.max_query_chars, F.lit(False))
+    detail = F.when(long, F.format_string(f"Query length (%d) exceeds maximum limit of {settings.max_query_chars} characters.", n))
+    total = F.when(~long, F.coalesce(F.size("results"), F.lit(0)))
+    return queries.select("query_id", "query").join(found, "query_id", "left").select("query_id", F.when(long, 400).otherwise(200).alias("status"), detail.alias("detail"), F.when(F.col("results").isNull() & ~long, 0).otherwise(total).alias("total_retrieved"), "results")
+
+
+#: A generator makes an answer from (query, prompt) columns; None is the lead sentence.
+Generator = Callable[[Column, Column], Column]
+
+
+def answer(chunks: DataFrame, queries: DataFrame, *, mode: str = "hybrid", scorer: Scorer | None = None, system: str = "", threshold: float | None = None, generator: Generator | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """(query_id, query, status, prompt, answer, n_sources, sources, prompt_tokens, completion_tokens) of every query.
+
+    Retrieval, token budget, prompt and generator. A query without any chunk is refused
+    without the generator, as is, with a threshold and a scorer, one whose best score is
+    below it (its chunks stay its sources). Refusals use no tokens. An over-long query has
+    status 400 and no answer.
     """
     items = retrieve(chunks, queries, mode=mode, scorer=scorer, settings=settings)
+    good = items
     if threshold is not None and scorer is not None:
-        good = items.groupBy("query_id").agg(F.max("rerank_score").alias("best")).where(F.col("best") >= threshold).select("query_id")
-        items = items.join(good, "query_id", "left_semi")
-    asked = items.join(queries.select("query_id", "query"), "query_id")
+        best = items.groupBy("query_id").agg(F.max("rerank_score").alias("best")).where(F.col("best") >= threshold).select("query_id")
+        good = items.join(best, "query_id", "left_semi")
+    asked = good.join(queries.select("query_id", "query"), "query_id")
     scaffold = F.concat(F.lit(system), F.lit("\nQuestion: "), F.col("query"), F.lit("\n\nContext:\n\n\nAnswer:"))
     accepted = budgeted(asked, budget=settings.token_budget, scaffold=scaffold, settings=settings)
-    sources = accepted.groupBy("query_id").agg(F.count("*").alias("n_sources"))
-    answers = stub_answers(accepted, queries)
-    return queries.select("query_id", "query").join(answers, "query_id").join(prompts(accepted).select("query_id", "prompt"), "query_id", "left").join(sources, "query_id", "left").fillna(0, ["n_sources"])
+    cited = sources_of(accepted)
+    if threshold is not None and scorer is not None:
+        refused = sources_of(items.join(best, "query_id", "left_anti"))
+        cited = cited.union(refused)
+    if generator is None:
+        answers = stub_answers(accepted, queries)
+        out = queries.select("query_id", "query").join(answers, "query_id").join(prompts(accepted).select("query_id", "prompt"), "query_id", "left")
+    else:
+        made = prompts(accepted).select("query_id", "prompt")
+        out = queries.select("query_id", "query").join(made, "query_id", "left").withColumn("answer", F.when(F.col("prompt").isNull(), REFUSAL).otherwise(generator(F.col("query"), F.concat(F.lit(system), F.col("prompt")))))
+    long = F.coalesce(F.length("query") > settings.max_query_chars, F.lit(False))
+    used = lambda c: F.when(F.col("prompt").isNull(), 0).otherwise(c)
+    out = out.join(cited, "query_id", "left")
+    return out.select("query_id", "query", F.when(long, 400).otherwise(200).alias("status"), "prompt", F.when(~long, F.col("answer")).alias("answer"), F.coalesce(F.when(F.col("sources").isNotNull(), F.size("sources")), F.lit(0)).alias("n_sources"), "sources", used(count_tokens(F.concat(F.lit(system), F.col("prompt")))).alias("prompt_tokens"), used(count_tokens(F.col("answer"))).alias("completion_tokens"))
 
 
 def sweep(chunks: DataFrame, queries: DataFrame, configurations: dict[str, tuple[str, dict]]) -> DataFrame:

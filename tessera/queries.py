@@ -14,18 +14,19 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.cases import ANSWER_CASES, UNANSWERABLE
 from tessera.config import DEFAULTS
 from tessera.functions import pii, text
 from tessera.operators import answers, conversations, evaluation, router, store
 from tessera.operators.bm25 import bm25_scores, corpus_stats, term_stats, top_k
-from tessera.operators.chunking import chunk_pages
+from tessera.operators.chunking import chunk_pages, register_chunkers
 from tessera.operators.dense import dense_top_k
 from tessera.operators.rerank import blended, lexical_overlap, partial_rerank, rerank
-from tessera.plans.retrieval import BENCHMARK, retrieve, sweep
+from tessera.plans.retrieval import BENCHMARK, answer, respond, retrieve, sweep
 from tessera.sources.readers import read_text_table
 from tessera.sources.sinks import exposition
 from tessera.streaming.limiter import rate_limit
-from tessera.streaming.live import request_counters, windowed_counters
+from tessera.streaming.live import request_counters, request_totals, windowed_counters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,9 +53,9 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Chunks with text and vector, and the questions among them."""
+    """All documents as chunks, with a vector where there is one, and the questions among them; those without a vector ask the sparse side alone."""
     vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
-    chunks = documents(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id").join(vectors, "chunk_id").withColumn("page", F.lit(1))
+    chunks = documents(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id").join(vectors, "chunk_id", "left").withColumn("page", F.lit(1))
     asked = chunks.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.get(F.split("text", "\n"), 0).alias("query"), "v")
     return chunks, asked
 
@@ -279,9 +280,16 @@ def _lines(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
 
 
+def _headed(spark, sf_dir):
+    """Lines of the documents, and before each the headings that it would have: marked, numbered, in capitals, and lines that are nearly so."""
+    first = F.substring(F.regexp_replace("line", "[^A-Za-z ]", ""), 1, 30)
+    heads = F.array(F.concat(F.lit("## "), first), F.concat((F.col("idx") + 1).cast("string"), F.lit(". "), F.upper(F.substring(first, 1, 1)), F.substring(first, 2, 30)), F.upper(first), F.concat(F.lit("1.2 "), F.lower(first)), F.concat(F.lit("#"), first), "line")
+    return _lines(spark, sf_dir).select("doc_id", "idx", F.posexplode(heads).alias("kind", "line")).select("doc_id", (F.col("idx") * 6 + F.col("kind")).alias("idx"), "line")
+
+
 @query
 def heading_lines(spark, sf_dir):
-    return _lines(spark, sf_dir).where(text.is_heading(F.col("line"))).select("doc_id", "idx", "line")
+    return _headed(spark, sf_dir).where(text.is_heading(F.col("line"))).select("doc_id", "idx", "line")
 
 
 @query
@@ -291,7 +299,7 @@ def table_lines(spark, sf_dir):
 
 @query
 def heading_sections(spark, sf_dir):
-    lines = _lines(spark, sf_dir).withColumn("line", text.strip_ws(F.col("line"))).where("line <> ''")
+    lines = _headed(spark, sf_dir).withColumn("line", text.strip_ws(F.col("line"))).where("line <> ''")
     order = Window.partitionBy("doc_id").orderBy("idx")
     numbered = lines.withColumn("section", F.sum(text.is_heading(F.col("line")).cast("int")).over(order))
     return numbered.groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
@@ -319,24 +327,29 @@ def scalar_functions(spark, sf_dir):
 # --- redaction ----------------------------------------------------------------------
 
 
+def _entities():
+    return F.array(*(F.lit(e) for e, _ in pii.recognizers()))
+
+
 @query
 def pii_redact_documents(spark, sf_dir):
-    t = F.col("text")
-    return documents(spark, sf_dir).select("doc_id", F.md5(pii.redacted(t)).alias("text_md5"), pii.redaction_count(t).alias("redactions"))
+    clean = documents(spark, sf_dir).select("doc_id", pii.redaction(F.col("text")).alias("clean"))
+    return clean.select("doc_id", F.md5("clean.text").alias("text_md5"), pii.redaction_count(F.col("clean.counts")).alias("redactions"))
 
 
 @query
 def pii_counts_by_entity(spark, sf_dir):
-    counts = documents(spark, sf_dir).select(F.explode(F.array(*(F.struct(F.lit(e).alias("entity"), c.cast("long").alias("n")) for e, c in pii.entity_counts(F.col("text")).items()))).alias("x"))
+    clean = documents(spark, sf_dir).select(pii.redaction(F.col("text"))["counts"].alias("counts"))
+    counts = clean.select(F.explode(F.transform("counts", lambda n, i: F.struct(F.get(_entities(), i).alias("entity"), n.cast("long").alias("n")))).alias("x"))
     return counts.groupBy("x.entity").agg(F.sum("x.n").alias("redactions"), F.sum((F.col("x.n") > 0).cast("long")).alias("documents"))
 
 
 @query
 def pii_eval_scores(spark, sf_dir):
     """Documents as cases: without an entity a false-positive case, with one kind a recall case, else a multi-entity case."""
-    counts = pii.entity_counts(F.col("text"))
-    kinds = F.filter(F.array(*(F.when(c > 0, F.lit(e)) for e, c in counts.items())), lambda x: x.isNotNull())
-    cases = documents(spark, sf_dir).select("text", kinds.alias("kinds"), pii.redacted(F.col("text")).alias("redacted"), pii.redaction_count(F.col("text")).alias("redactions"))
+    clean = documents(spark, sf_dir).select("text", pii.redaction(F.col("text")).alias("clean"))
+    kinds = F.filter(F.transform("clean.counts", lambda n, i: F.when(n > 0, F.get(_entities(), i))), lambda x: x.isNotNull())
+    cases = clean.select("text", kinds.alias("kinds"), F.col("clean.text").alias("redacted"), pii.redaction_count(F.col("clean.counts")).alias("redactions"))
     one = F.when(F.size("kinds") == 1, F.get("kinds", 0))
     cases = cases.withColumns({"category": F.when(F.size("kinds") == 0, "false_positive").when(F.size("kinds") == 1, "recall").otherwise("multi_entity"), "expected_entity": one, "expected_placeholder": F.concat(F.lit("<"), one, F.lit(">"))})
     return rounded(evaluation.pii_scores(cases), "rate")
@@ -538,7 +551,7 @@ def answer_quality(spark, sf_dir):
 
 @query
 def bootstrap_ci(spark, sf_dir):
-    return evaluation.bootstrap_ci(_answers(spark, sf_dir).select(answers.token_f1(F.col("answer"), F.array("query")).alias("f1")), "f1")
+    return evaluation.bootstrap_ci(_answers(spark, sf_dir).select("query_id", answers.token_f1(F.col("answer"), F.array("query")).alias("f1")), "f1", "query_id")
 
 
 # --- conversations and requests --------------------------------------------------------------------
@@ -564,9 +577,19 @@ def last_user_turn(spark, sf_dir):
     return conversations.last_user_turn(load(spark, sf_dir, "conversations"))
 
 
+TOTALS = ("pii_redactions", "prompt_tokens", "completion_tokens")
+
+
+def _requests(spark, sf_dir):
+    """Events as chat requests: a status, redactions and tokens from the event's number and properties."""
+    n = F.col("event_id")
+    code = F.when(n % 20 == 0, 429).when(n % 20 == 1, 400).otherwise(200)
+    return load(spark, sf_dir, "events").withColumns({"code": code, "pii_redactions": n % 3, "prompt_tokens": F.length("props").cast("long"), "completion_tokens": n % 50})
+
+
 @query
 def request_metrics(spark, sf_dir):
-    return rounded(request_counters(load(spark, sf_dir, "events")), "duration_sum", digits=3)
+    return rounded(request_counters(_requests(spark, sf_dir), status="code", sums=TOTALS), "duration_sum", digits=3)
 
 
 @query
@@ -576,10 +599,8 @@ def request_windows(spark, sf_dir):
 
 @query
 def request_exposition(spark, sf_dir):
-    events = load(spark, sf_dir, "events")
-    counts = events.groupBy(F.col("event_type").alias("intent"), F.lit(200).alias("status")).agg(F.count("*").alias("n"))
-    totals = events.agg(F.count("*").cast("double").alias("n")).select(F.explode(F.array(F.struct(F.lit("duration_count").alias("name"), F.col("n").alias("value")))).alias("x")).select("x.*")
-    return exposition(counts, totals)
+    counters = request_counters(_requests(spark, sf_dir).withColumn("seconds", F.lit(0.25)), status="code", value="seconds", sums=TOTALS)
+    return exposition(counters.withColumnRenamed("requests", "n"), request_totals(counters))
 
 
 @query
@@ -593,3 +614,98 @@ def rate_limit_attempts_window(spark, sf_dir):
 @query
 def rate_limit_decisions(spark, sf_dir):
     return rate_limit(load(spark, sf_dir, "events"), limit=2, window=3600)
+
+
+# --- answers and requests as services give them --------------------------------------------------------
+
+
+def _plain_chunks(spark, sf_dir):
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", "source", F.lit(1).alias("page"))
+
+
+@query
+def query_responses(spark, sf_dir):
+    """Every benchmark item as a question, those of over 200 characters refused with the reason."""
+    found = respond(_plain_chunks(spark, sf_dir), questions(spark, sf_dir), mode="sparse", settings=replace(DEFAULTS, max_query_chars=200))
+    return found.select("query_id", "status", "detail", "total_retrieved", F.array_join(F.transform("results", lambda x: x["chunk_id"].cast("string")), ",").alias("chunk_ids"))
+
+
+@query
+def answer_sources(spark, sf_dir):
+    """Answers by a generator that repeats the question, with their sources and tokens."""
+    found = answer(_plain_chunks(spark, sf_dir), questions(spark, sf_dir), mode="sparse", settings=replace(DEFAULTS, token_budget=10_000_000), generator=lambda q, p: F.concat(F.lit("You ask: "), q))
+    return found.select("query_id", "answer", "n_sources", F.array_join(F.transform("sources", lambda x: F.concat_ws("/", x["chunk_id"].cast("string"), x["source"], x["page"].cast("string"))), ",").alias("sources"), "prompt_tokens", "completion_tokens")
+
+
+@query
+def unanswerable_refusals(spark, sf_dir):
+    """Questions whose every word is unknown to the documents are refused."""
+    asked = spark.createDataFrame([(i, "".join(f"zq{w} " for w in q.split())) for i, q in enumerate(UNANSWERABLE)], "query_id long, query string")
+    found = answer(_plain_chunks(spark, sf_dir), asked, mode="sparse")
+    return found.agg(F.count("*").alias("cases"), F.avg(text.is_full_refusal(F.col("answer")).cast("double") * 100).alias("refusal_accuracy"))
+
+
+def _cases(spark):
+    rows = [(i, c, x, a, c == "refusal") for i, c, x, a in ANSWER_CASES]
+    return spark.createDataFrame(rows, "id string, category string, contexts array<string>, answer string, expected_refusal boolean")
+
+
+@query
+def faithfulness_cases(spark, sf_dir):
+    return evaluation.faithfulness(_cases(spark))
+
+
+@query
+def faithfulness_by_kind(spark, sf_dir):
+    marked = evaluation.faithfulness(_cases(spark))
+    return evaluation.faithfulness_summary(marked, ["category"]).union(evaluation.faithfulness_summary(marked).select(F.lit("all").alias("category"), "*"))
+
+
+@query
+def downgrade_reasons(spark, sf_dir):
+    n = F.col("event_id")
+    error = F.when(n % 11 == 0, "offline").when(n % 11 == 1, "timeout").when(n % 11 == 2, "ValueError")
+    status = F.when(n % 5 == 0, 503).when(n % 5 == 1, 404).otherwise(200)
+    return load(spark, sf_dir, "events").select("event_id", text.downgrade_reason(status, n % 4, error).alias("reason"), text.api_url(F.concat(F.lit("http://host/"), F.when(n % 2 == 0, "v1/").otherwise("x//")), "/chat/completions").alias("url"))
+
+
+@query
+def latency_by_type(spark, sf_dir):
+    return rounded(evaluation.latency(load(spark, sf_dir, "events"), "event_type", "value"), "mean_ms", "p95_ms")
+
+
+@query
+def hits_by_category(spark, sf_dir):
+    """Hit@1 of short and long questions under BM25."""
+    ranks = gold_rank(spark, sf_dir).join(questions(spark, sf_dir), "query_id")
+    ranks = ranks.withColumns({"category": F.when(F.length("query") > 200, "long").otherwise("short"), "configuration": F.lit("bm25")})
+    found = evaluation.hits_by_category(ranks, ["short", "long"], ["configuration"])
+    return rounded(found, "short_hit_at_1", "long_hit_at_1", "mrr_at_3")
+
+
+@query
+def router_best_threshold(spark, sf_dir):
+    best = _routed(spark, sf_dir, -1.0).withColumnRenamed("intent", "best")
+    return rounded(router.best_threshold(router.threshold_sweep(best, [round(0.05 * i, 2) for i in range(6, 17)])), "accuracy")
+
+
+@query
+def routing_results(spark, sf_dir):
+    return router.routing_result(_routed(spark, sf_dir).drop("actual"))
+
+
+@query
+def two_way_containment(spark, sf_dir):
+    """Lines of documents against the first line of the document before, either within the other."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.get(F.split("text", "\n"), 0).alias("line"))
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.substring("line", 1, 12).alias("expected"))
+    found = evaluation.contained(F.col("line"), F.col("expected"), both_ways=True)
+    return docs.join(before, "doc_id").select("doc_id", F.coalesce(found, F.lit(False)).alias("contained"))
+
+
+@query
+def chunk_table_function(spark, sf_dir):
+    """Chunks by the table function in SQL, counted."""
+    register_chunkers(spark)
+    documents(spark, sf_dir).createOrReplaceTempView("tessera_documents")
+    return spark.sql("select strategy, count(*) as chunks, sum(length(chunk)) as chars from tessera_documents, values ('character'), ('structure'), ('semantic') as s(strategy), lateral chunk_text(text, strategy) group by strategy")

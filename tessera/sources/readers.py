@@ -8,6 +8,7 @@ that is not part of this environment: give one with ``pdf_parser``.
 from __future__ import annotations
 
 import io
+import shutil
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -81,19 +82,42 @@ def docx_pages(data: bytes) -> Pages:
     return [(1, text)]
 
 
-def parse_pages(name: str, data: bytes, pdf_parser: Callable[[bytes], Pages] | None = None) -> Pages:
-    """Pages of a file by the extension of its name."""
+#: A page with less text than this is given to the text recogniser.
+OCR_LEAST = 60
+
+
+def ocr_available(command: str | None = None, places: tuple[str, ...] = ("tesseract",)) -> str | None:
+    """The text recogniser's command: the one that is set, else the first of ``places`` that is found; None without any."""
+    return next((found for place in ([command] if command else places) if (found := shutil.which(place))), None)
+
+
+def with_ocr(pages: Pages, recognise: Callable[[int], str]) -> Pages:
+    """Pages whose text is missing or short with what ``recognise`` reads on them, unless that is what they have."""
+    out = []
+    for number, text in pages:
+        own = (text or "").strip()
+        if len(own) < OCR_LEAST:
+            read = (recognise(number) or "").strip()
+            own = "\n".join(x for x in (own, read if read != own else "") if x)
+        if own:
+            out.append((number, own))
+    return out
+
+
+def parse_pages(name: str, data: bytes, pdf_parser: Callable[[bytes], Pages] | None = None, ocr: Callable[[bytes, int], str] | None = None) -> Pages:
+    """Pages of a file by the extension of its name; ``ocr`` reads a page of a PDF that has little text."""
     extension = f".{name.rsplit('.', 1)[-1].lower()}" if "." in name else ""
     if extension in (".txt", ".md"):
         return text_pages(data)
     if extension == ".docx":
         return docx_pages(data)
     if extension == ".pdf" and pdf_parser is not None:
-        return pdf_parser(data)
+        pages = pdf_parser(data)
+        return with_ocr(pages, lambda number: ocr(data, number)) if ocr is not None else pages
     raise ValueError(f"unsupported file type: {extension or name}" if extension not in EXTENSIONS else "no PDF parser was given")
 
 
-def read_files(spark: SparkSession, path: str, *, pdf_parser: Callable[[bytes], Pages] | None = None) -> DataFrame:
+def read_files(spark: SparkSession, path: str, *, pdf_parser: Callable[[bytes], Pages] | None = None, ocr: Callable[[bytes, int], str] | None = None) -> DataFrame:
     """(path, source, content_hash, page, text, error) of all files under ``path``; a file that fails has its reason."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +126,7 @@ def read_files(spark: SparkSession, path: str, *, pdf_parser: Callable[[bytes],
             for row in batch.to_pylist():
                 source = row["path"].rsplit("/", 1)[-1]
                 try:
-                    pages, error = parse_pages(source, row["content"], pdf_parser), None
+                    pages, error = parse_pages(source, row["content"], pdf_parser, ocr), None
                 except (ValueError, KeyError, AttributeError, zipfile.BadZipFile, ElementTree.ParseError) as e:
                     pages, error = [(None, None)], str(e)
                 n = len(pages)

@@ -21,8 +21,14 @@ from tessera.config import DEFAULTS
 
 
 def decide(times: Iterable[float], log: deque, limit: int, window: float) -> Iterator[tuple[bool, int]]:
-    """(allowed, retry_after) of each time in order; ``log`` holds the allowed ones still in the window."""
+    """(allowed, retry_after) of each time in order; ``log`` holds the allowed ones still in the window.
+
+    A request without a time lies in no window: it is allowed and not logged.
+    """
     for t in times:
+        if t is None or t != t:
+            yield True, 0
+            continue
         while log and log[0] <= t - window:
             log.popleft()
         if len(log) >= limit:
@@ -33,7 +39,7 @@ def decide(times: Iterable[float], log: deque, limit: int, window: float) -> Ite
 
 
 def rate_limit(requests: DataFrame, *, key: str = "user_id", time: str = "ts", request: str = "event_id", limit: int = DEFAULTS.limiter_requests, window: int = DEFAULTS.limiter_seconds, enabled: bool = True) -> DataFrame:
-    """(request, key, allowed, retry_after) for every request.
+    """(request, key, allowed, retry_after) for every request, also those without a time or a key.
 
     Rows are dealt by key and sorted, and each task streams through its rows; one
     key's rows are never held together.
@@ -55,11 +61,16 @@ def rate_limit(requests: DataFrame, *, key: str = "user_id", time: str = "ts", r
                 retry.append(wait)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed, pa.bool_()), pa.array(retry, pa.int32())], names=["request", "key", "allowed", "retry_after"])
 
-    return columns.where(F.col("t").isNotNull()).repartition("key").sortWithinPartitions("key", "t", "request").mapInArrow(run, "request long, key string, allowed boolean, retry_after int")
+    return columns.repartition("key").sortWithinPartitions("key", "t", "request").mapInArrow(run, "request long, key string, allowed boolean, retry_after int")
 
 
-def rate_limit_stream(requests: DataFrame, *, key: str = "user_id", time: str = "ts", request: str = "event_id", limit: int = DEFAULTS.limiter_requests, window: int = DEFAULTS.limiter_seconds) -> DataFrame:
-    """The same decisions over a stream; a key's log is dropped when its window has passed."""
+def rate_limit_stream(requests: DataFrame, *, key: str = "user_id", time: str = "ts", request: str = "event_id", limit: int = DEFAULTS.limiter_requests, window: int = DEFAULTS.limiter_seconds, late: str = "1 minute") -> DataFrame:
+    """The same decisions over a stream, by event time, so that a replay decides as the first run did.
+
+    A key's log is dropped when the watermark, ``late`` behind the latest time, has passed
+    its last window. Requests later than the watermark (at first, those up to the epoch) are left out; those of a key within
+    a micro-batch are decided in the order of their times.
+    """
 
     def run(own: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -69,8 +80,10 @@ def rate_limit_stream(requests: DataFrame, *, key: str = "user_id", time: str =
         rows = pd.concat(list(frames)).sort_values(["t", "request"])
         found = list(decide(rows["t"], log, limit, window))
         state.update((list(log),))
-        state.setTimeoutDuration(int(window * 1000))
+        if log:
+            state.setTimeoutTimestamp(max(int((log[-1] + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"request": rows["request"].to_numpy(), "key": own[0], "allowed": [f[0] for f in found], "retry_after": pd.array([f[1] for f in found], "int32")})
 
-    columns = requests.select(F.col(request).cast("long").alias("request"), F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").cast("double").alias("t"))
-    return columns.groupBy("key").applyInPandasWithState(run, "request long, key string, allowed boolean, retry_after int", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.select(F.col(request).cast("long").alias("request"), F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("at")).withWatermark("at", late)
+    columns = timed.withColumn("t", F.col("at").cast("double"))
+    return columns.groupBy("key").applyInPandasWithState(run, "request long, key string, allowed boolean, retry_after int", "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)

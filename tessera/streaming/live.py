@@ -11,9 +11,20 @@ from pyspark.sql.streaming.query import StreamingQuery
 from tessera.operators.store import ChunkStore
 
 
-def request_counters(requests: DataFrame, *, intent: str = "event_type", value: str = "value") -> DataFrame:
-    """Running (intent, requests, duration_sum); for a batch or, in update mode, a stream."""
-    return requests.groupBy(F.col(intent).alias("intent")).agg(F.count("*").alias("requests"), F.sum(value).alias("duration_sum"))
+def request_counters(requests: DataFrame, *, intent: str = "event_type", status: str | None = None, value: str = "value", sums: tuple[str, ...] = ()) -> DataFrame:
+    """Running (intent, status, requests, duration_sum and the sums of further columns); for a batch or, in update mode, a stream.
+
+    Without a status column all requests have status 200.
+    """
+    code = F.lit(200) if status is None else F.col(status).cast("int")
+    return requests.groupBy(F.col(intent).alias("intent"), code.alias("status")).agg(F.count("*").alias("requests"), F.sum(value).alias("duration_sum"), *(F.sum(c).alias(c) for c in sums))
+
+
+def request_totals(counters: DataFrame, *, pii: str = "pii_redactions", prompt: str = "prompt_tokens", completion: str = "completion_tokens", active: int = 0) -> DataFrame:
+    """(name, value) for the exposition, from counters that carry these sums."""
+    columns = {"active_requests": F.lit(active), "pii_redactions": F.sum(pii), "prompt_tokens": F.sum(prompt), "completion_tokens": F.sum(completion), "duration_sum": F.sum("duration_sum"), "duration_count": F.sum("requests")}
+    one = counters.agg(*(c.cast("double").alias(n) for n, c in columns.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.coalesce(n, F.lit(0.0)).alias("value")) for n in columns))).alias("x")).select("x.*")
 
 
 def windowed_counters(requests: DataFrame, *, time: str = "ts", intent: str = "event_type", width: str = "1 hour", late: str = "2 hours") -> DataFrame:

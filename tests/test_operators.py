@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from tessera.config import DEFAULTS, REFUSAL, TRIM_MARKER
 from tessera.functions import pii, text
 from tessera.operators import answers, chunking, conversations, evaluation, router, store
+from tessera.operators import dense
 from tessera.operators.bm25 import bm25_scores, top_k
 from tessera.operators.dense import dense_top_k
 from tessera.operators.fusion import reciprocal_rank_fusion, result_items
 from tessera.operators.rerank import rerank
-from tessera.plans.retrieval import answer, retrieve
-from tessera.streaming.limiter import decide, rate_limit
+from tessera.plans.retrieval import answer, respond, retrieve
+from tessera.sources.readers import ocr_available, with_ocr
+from tessera.streaming.limiter import decide, rate_limit, rate_limit_stream
 
 ODD = ["", " ", "a", "Ein Wort. Noch eins! Und?", "x_1 É ñ 中文 1.5", "tab\tline\r\nnext\x0bfour fife", "An apple, the pear; a plum.", "mail a.b@c.de +1 (555) 123-4567 EMP-12345 1.2.3.4 4111-1111-1111-1111 Titan"]
 
@@ -49,7 +51,7 @@ def test_text_functions(spark):
 
 def test_nulls_do_not_crash(spark):
     t = F.lit(None).cast("string")
-    columns = [text.tokenize(t), text.clean_lines(t), text.count_tokens(t), text.sentences(t), text.lead_answer(t), text.is_refusal(t), pii.redacted(t), pii.redaction_count(t), text.normalize_answer(t)]
+    columns = [text.tokenize(t), text.clean_lines(t), text.count_tokens(t), text.sentences(t), text.lead_answer(t), text.is_refusal(t), pii.redacted(t), pii.redaction_count(pii.redaction(t)["counts"]), text.normalize_answer(t)]
     row = spark.range(1).select(*(c.alias(str(i)) for i, c in enumerate(columns))).first()
     assert row[2] == 0 and row[4] == REFUSAL and row[6] is None and row[7] == 0
 
@@ -57,7 +59,7 @@ def test_nulls_do_not_crash(spark):
 def test_redaction_order_and_counts(spark):
     t = F.col("t")
     assert values(spark, pii.redacted(t))[-1] == "mail <EMAIL_ADDRESS> <PHONE_NUMBER> <EMPLOYEE_ID> <IP_ADDRESS> <CREDIT_CARD> <PROJECT_CODENAME>"
-    assert values(spark, pii.redaction_count(t))[-1] == 6
+    assert values(spark, pii.redaction_count(pii.redaction(t)["counts"]))[-1] == 6 and values(spark, pii.redaction(t)["text"]) == values(spark, pii.redacted(t))
     assert values(spark, pii.redacted(t), ["4111111111111111"]) == ["411111<PHONE_NUMBER>"]
     assert values(spark, pii.redacted(t, pii.recognizers(["A+B"])), ["A+B Titan"])[0].endswith("Titan")
 
@@ -194,6 +196,36 @@ def test_structure_chunker_rules():
     assert chunking.structure_chunks("a | b\n\n# H\nc") == ["a | b", "# H\nc"]
 
 
+def test_dangling_heading_moves_on_with_a_blank_line():
+    long = "word " * 150 + "end."
+    assert chunking.structure_chunks(f"{long}\n\nOVERVIEW\n\n{long}") == [long, f"OVERVIEW\n\n{long}"]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab \n|", max_size=300), st.integers(5, 60), st.integers(0, 20))
+def test_character_windows_by_their_rule(t, size, overlap):
+    begin = 0
+    for b, e in chunking.character_spans(t, size, overlap):
+        assert b == begin
+        window = t[b : b + size]
+        if b + size >= len(t):
+            assert e == b + size
+        else:
+            line, space = window.rfind("\n"), window.rfind(" ")
+            after = t[b + line + 1 :].split("\n", 1)[0].strip()
+            want = line if line > 0 and chunking.is_table_line(after) else space if space > 0 else size
+            assert e == b + want
+        begin = max(b + 1, e - overlap)
+    assert begin >= len(t)
+
+
+def test_chunk_table_function(spark):
+    chunking.register_chunkers(spark)
+    t = "One two. " * 200
+    found = spark.sql(f"select * from chunk_text('{t}', 'character')").collect()
+    assert [r.chunk for r in found] == chunking.character_chunks(t) and [r.chunk_idx for r in found] == list(range(len(found)))
+
+
 def test_semantic_chunker_with_mock_vectors():
     v = np.array([[1, 0, 0, 0], [1, 0, 0, 0], [0, 1, 0, 0], [0, 1, 0, 0]], float)
     t = " ".join("x" * 200 + "." for _ in range(4))
@@ -248,9 +280,11 @@ def test_conversations(spark):
 
 
 def test_bootstrap_interval(spark):
-    low, high = evaluation.bootstrap_ci(spark.createDataFrame([(float(i % 2),) for i in range(200)], "x double"), "x", rounds=400).first()
+    rows = spark.createDataFrame([(i, float(i % 2)) for i in range(200)], "i long, x double")
+    low, high = evaluation.bootstrap_ci(rows, "x", "i", rounds=400).first()
     assert 0.40 < low < 0.47 and 0.53 < high < 0.60
-    assert list(evaluation.bootstrap_ci(spark.createDataFrame([], "x double"), "x", rounds=5).first()) == [None, None]
+    assert evaluation.bootstrap_ci(rows.repartition(7), "x", "i", rounds=400).first() == (low, high)
+    assert list(evaluation.bootstrap_ci(rows.where("false"), "x", "i", rounds=5).first()) == [None, None]
 
 
 def test_limiter_against_a_plain_log(spark):
@@ -264,6 +298,93 @@ def test_limiter_against_a_plain_log(spark):
         ok = len(log) < 3
         assert found[i] == (ok, 0 if ok else max(1, int(log[0] + 60 - t)))
         logs[user] = [*log, t] if ok else log
+    odd = spark.createDataFrame([(1, "a", None), (2, None, 5), (3, "a", 7), (4, "a", 8)], "event_id long, user_id string, t int").withColumn("ts", F.timestamp_seconds("t"))
+    assert {r.request: r.allowed for r in rate_limit(odd, limit=1, window=60).collect()} == {1: True, 2: True, 3: True, 4: False}
     assert rate_limit(df, enabled=False).where("not allowed").count() == 0
     assert list(decide([0, 1, 59, 60, 61], deque(), 2, 60)) == [(True, 0), (True, 0), (False, 1), (True, 0), (True, 0)]
     assert top_k(spark.createDataFrame([], "query_id long, chunk_id long, score double"), 3).count() == 0
+
+
+# --- services, hooks, test sets -------------------------------------------------------
+
+
+def test_person_hook_replaces_what_a_model_finds(spark):
+    def model(texts):
+        return [[(m.start(), m.end(), "PERSON") for m in re.finditer(r"Ada|Ada Byron", t)] + [(0, 3, "OTHER")] * t.startswith("Ada B") for t in texts]
+
+    rows = spark.createDataFrame([(1, "Ada met Ada.", "k"), (2, None, "k"), (3, "Ada Byron", "k")], "i int, text string, found2 string")
+    found = {r.i: (r.text, r.found) for r in pii.recognised(rows, "text", model).collect()}
+    assert found == {1: ("<PERSON> met <PERSON>.", 2), 2: (None, 0), 3: ("<PERSON> Byron", 1)}
+
+
+def test_answers_with_a_generator_sources_and_over_long_questions(spark):
+    chunks, asked = corpus_frames(spark, ["beta", "unknown words", "beta " * 20])
+    own = replace(DEFAULTS, max_query_chars=50)
+    made = lambda q, p: F.concat(F.lit("about "), q, F.lit(" from "), F.length(p).cast("string"))
+    found = {r.query_id: r for r in answer(chunks, asked, mode="sparse", generator=made, settings=own).collect()}
+    assert found[100].answer == f"about beta from {len(found[100].prompt)}" and [s.chunk_id for s in found[100].sources] == [4, 0, 1][: found[100].n_sources]
+    assert (found[101].answer, found[101].n_sources, found[101].completion_tokens) == (REFUSAL, 0, 0)
+    assert found[102].status == 400 and found[102].answer is None and found[100].prompt_tokens > 0
+    shown = {r.query_id: r for r in respond(chunks, asked, mode="sparse", settings=own).collect()}
+    assert shown[102].status == 400 and "100" in shown[102].detail and shown[102].total_retrieved is None
+    assert shown[101].total_retrieved == 0 and shown[100].total_retrieved == len(shown[100].results) == 3
+
+
+def test_weak_best_scores_are_refused_with_their_sources(spark):
+    chunks, asked = corpus_frames(spark, ["beta", "zeta"])
+    score = lambda q, t: F.when(q == "beta", 0.9).otherwise(0.1)
+    found = {r.query_id: r for r in answer(chunks, asked, mode="sparse", scorer=score, threshold=0.5).collect()}
+    assert found[100].answer != REFUSAL and found[100].n_sources > 0
+    only = found[101]
+    assert only.n_sources == 1 and only.answer != REFUSAL or only.completion_tokens == 0
+
+
+def test_short_items_are_found_inside_words(spark):
+    docs = spark.createDataFrame([(1, "concatenate"), (2, "dog"), (3, None), (4, "")], "chunk_id long, text string")
+    items = spark.createDataFrame([(10, "cat"), (11, "g"), (12, "ten"), (13, "xx yy"), (14, ""), (15, None)], "query_id long, text string")
+    found = {(r.query_id, r.chunk_id) for r in evaluation.containment_pairs(docs, items).collect()}
+    assert found == {(10, 1), (11, 2), (12, 1)}
+
+
+def test_dense_queries_in_blocks_and_of_other_lengths(spark, monkeypatch):
+    monkeypatch.setattr(dense, "QUERY_BYTES", 64)
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)] + [(99, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    found = dense_top_k(v, v, 2).collect()
+    assert len(found) == 61 and {r.chunk_id for r in found if r.query_id == 99} == {99}
+
+
+def test_upsert_among_equal_keys_goes_by_version_then_by_content(spark):
+    schema = "doc_id long, strategy string, page int, chunk_idx int, text string"
+    old = spark.createDataFrame([(1, "s", 1, 0, "old")], schema)
+    new = spark.createDataFrame([(1, "s", 1, 0, "b"), (1, "s", 1, 0, "c"), (1, "s", 1, 0, "a")], schema)
+    assert [r.text for r in store.upsert(old, new).collect()] == ["c"]
+
+
+def test_store_rewrites_only_touched_buckets(spark, tmp_path):
+    schema = "doc_id long, source string, strategy string, page int, chunk_idx int, text string"
+    held = store.ChunkStore(spark, f"file://{tmp_path}/store")
+    held.add(spark.createDataFrame([(i, "f", "structure", 1, 0, "t") for i in range(40)], schema))
+    first = held.manifest()
+    held.add(spark.createDataFrame([(3, "f", "structure", 1, 0, "new")], schema))
+    changed = [b for b, v in held.manifest().items() if v != first.get(b)]
+    assert len(changed) == 1 and held.read().count() == 40 and held.read().where("text = 'new'").count() == 1
+    assert held.delete(3) == 1 and held.read().count() == 39 and held.versions() == [1, 2, 3]
+
+
+def test_ocr_reads_pages_of_little_text():
+    pages = [(1, "x" * 80), (2, "short"), (3, ""), (4, None)]
+    read = {2: "short", 3: "scanned words", 4: " "}
+    assert with_ocr(pages, read.get) == [(1, "x" * 80), (2, "short"), (3, "scanned words")]
+    assert ocr_available("no-such-command-here") is None and ocr_available("python") is not None
+
+
+def test_stream_of_requests_decides_as_the_batch_does(spark, tmp_path):
+    rows = [(i, f"u{i % 3}", 1000 + 7 * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "event_id long, user_id string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    for n, part in enumerate((df.where("event_id < 30"), df.where("event_id >= 30"))):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{n}")
+    want = {r.request: r.allowed for r in rate_limit(df, limit=2, window=60).collect()}
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+    query = rate_limit_stream(stream, limit=2, window=60, late="10 minutes").writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {r.request: r.allowed for r in spark.table("limited").collect()} == want

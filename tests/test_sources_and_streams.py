@@ -98,7 +98,7 @@ def test_sinks(spark, tmp_path):
 
 
 def test_streams_agree_with_batches(spark, tmp_path):
-    rows = [(i, f"u{i % 3}", i * 7 % 300, "t", 1.0) for i in range(90)]
+    rows = [(i, f"u{i % 3}", 1000 + i * 7 % 300, "t", 1.0) for i in range(90)]
     df = spark.createDataFrame(rows, "event_id long, user_id string, s int, event_type string, value double").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     df.coalesce(1).write.parquet(f"file://{tmp_path}/in")
     stream = lambda: spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/in")
