@@ -17,7 +17,9 @@ with a third of all rows is not one task's work.
 Defined results: null or wordless texts have 0 tokens and count as taken where the
 running sum before them is below the prefix; null languages and sources are the
 empty string; a leaf without a weight of its own has ``other``; a null id is ordered
-like an empty one; repeated rows count each for itself; an empty table gives no rows.
+like an empty one; a very long text has as many tokens as it has words; equal places in
+the order go by id, then by length; repeated rows count each for itself; an empty table
+gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations

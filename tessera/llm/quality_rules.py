@@ -15,8 +15,9 @@ of the words in five-word windows that occur twice or more in the text.
 Defined results: null and wordless texts have zero counts and fail the plain rules;
 a null language is a language of its own; a language with fewer than ``LEAST_DOCS``
 documents has no reference and its documents are kept unless a plain rule fails;
-repeated rows are judged each for itself; an empty table gives no rows; other columns
-are not looked at.
+a very long text is counted as a whole; of equally common words the one that sorts first
+is taken; repeated rows are judged each for itself; an empty table gives no rows; other
+columns are not looked at.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ column expression, so that scoring is a projection without Python.
 
 Defined results: a null or empty text has all statistics 0 and gets the score that
 the rules give those; without labelled rows of both classes every score is the
-share of label 1 (0.5 without any). Repeated rows are scored each for itself; a null
-id is not held out; columns other than the id and the text are not looked at.
+share of label 1 (0.5 without any); labels other than 0 and 1 are no labels. A very long
+text is counted as a whole; of equally good splits the first statistic and the smallest
+bound is taken. Repeated rows are scored each for itself; a null id is not held out; an
+empty table gives no rows; columns other than the id and the text are not looked at.
 """
 
 from __future__ import annotations

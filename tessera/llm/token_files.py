@@ -14,7 +14,8 @@ so one document is read with two seeks and without its neighbours.
 
 Defined results: a null or empty text has only the end id; repeated rows and
 equal document ids are all kept, next to each other; a null document id sorts
-first; an empty table gives a folder with a dictionary and no documents.
+first; a very long text is one frame; an empty table gives a folder with a
+dictionary and no documents; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import within_bytes
 from tessera.llm.storage import make_folder, reading, replacing
 from tessera.llm.tokens import encoder
 
@@ -41,13 +43,20 @@ INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("ids
 SAMPLE_DOCS = 1500
 #: Bytes of serialized ids that training takes at most.
 SAMPLE_BYTES = 8_000_000
+#: Bytes of the texts that the driver takes for that at most.
+SAMPLE_TEXT = 32_000_000
 DICT_BYTES = 65_536
 LEVEL = 3
 
 
 def serialized(ids: bytes, width: int) -> bytes:
-    """Little-endian ids of ``width`` bytes from little-endian 32-bit ids."""
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    """Little-endian ids of ``width`` bytes from little-endian 32-bit ids; one that does not fit is an error."""
+    if width == 4:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if wide.size and wide.max() >> 16:
+        raise ValueError("an id is too large for two bytes")
+    return wide.astype("<u2").tobytes()
 
 
 def train(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
@@ -63,23 +72,26 @@ def as_dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def sample_texts(docs: DataFrame, id_col: str, text_col: str, docs_wanted: int = SAMPLE_DOCS) -> list[str]:
-    """About ``docs_wanted`` whole texts, at most twice as many, chosen by a hash of the id."""
+    """About ``docs_wanted`` whole texts, of ``SAMPLE_TEXT`` bytes at most, chosen by a hash of the id."""
     total = docs.count()
     keep = 1 << 62 if total <= docs_wanted else int((1 << 62) * docs_wanted / total)
-    chosen = docs.where(F.shiftrightunsigned(F.xxhash64(F.lit("dictionary"), F.col(id_col)), 2) < keep).select(text_col).limit(2 * docs_wanted)
-    return [r[0] or "" for r in chosen.collect()]
+    turn = F.shiftrightunsigned(F.xxhash64(F.lit("dictionary"), F.col(id_col)), 2)
+    return [r[0] or "" for r in within_bytes(docs.where(turn < keep), turn, F.col(text_col), SAMPLE_TEXT).select(text_col).collect()]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, style: str = "byte_level", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 65_536) -> list[dict]:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, style: str = "byte_level", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Encode all ``docs`` and write them under ``path``; returns one manifest entry a shard, in order.
 
     Rows are dealt into ranges of the id (texts, not the larger ids, are
-    shuffled), sorted there, and written by one task a range. The manifest has
-    one small entry a shard and is all that the driver sees.
+    shuffled), sorted there, and written by one task a range; rows of one id are told
+    apart by their length. Ids take two bytes if the tokenizer's whole vocabulary
+    fits into them, else four. The manifest has one small entry a shard and is all
+    that the driver sees besides the sample.
     """
     make_folder(path)
-    width = 2 if vocabulary <= 65_536 else 4
-    coder, end, samples, room = encoder(tokenizer, style), end_id.to_bytes(4, "little"), [], SAMPLE_BYTES
+    coder = encoder(tokenizer, style)
+    width = 2 if max(coder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 65_536 else 4
+    end, samples, room = end_id.to_bytes(4, "little"), [], SAMPLE_BYTES
     for text in sorted(sample_texts(docs, id_col, text_col)):
         if room > 0:
             samples.append(serialized(coder.ids(text) + end, width))
@@ -121,7 +133,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, style: str
         yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [len(index)], "ids": [total], "bytes": [offset], "dictionary": [digest]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    length = F.octet_length("text")
+    dealt = rows.repartitionByRange("doc_id", length).sortWithinPartitions("doc_id", length, F.xxhash64("text"))
     found = dealt.mapInArrow(write, "shard long, docs long, ids long, bytes long, dictionary string").collect()
     manifest, start = [], 0
     for r in sorted(found, key=lambda r: r.shard):

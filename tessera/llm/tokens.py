@@ -78,8 +78,7 @@ class Encoder:
             out.append(array("I", [t.id for t in merge(unit)]).tobytes())
         return out
 
-    def _learn(self, pieces: list[str], units: bool) -> dict[str, bytes]:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+    def _learn(self, new: list[str], units: bool) -> dict[str, bytes]:
         if not units:
             return dict(zip(new, self._encode(new), strict=True))
         if not self.lower:
@@ -95,14 +94,15 @@ class Encoder:
         if pieces is None:
             return self._encode([text])[0]
         known = self.known
-        try:
+        new = set(pieces).difference(known)
+        if not new:
             return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            own = self._learn(pieces, units)
-            if len(known) + len(own) <= CACHE:
-                known.update(own)
-                return b"".join(map(known.__getitem__, pieces))
-            return b"".join([own[p] if p in own else known[p] for p in pieces])
+        own = self._learn(list(new), units)
+        if len(known) + len(own) <= CACHE:
+            known.update(own)
+            return b"".join(map(known.__getitem__, pieces))
+        of = known.get
+        return b"".join([own[p] if (ids := of(p)) is None else ids for p in pieces])
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -89,6 +90,25 @@ def test_compiled_rules_score_as_the_model_does(spark):
     assert np.allclose([r[0] for r in rows.select(model.column()).collect()], model.score(x))
 
 
+def test_quality_scores_equal_a_plain_reading_of_rules_and_texts(spark):
+    """The query's scores against statistics counted in Python and rules applied one by one."""
+    docs, labels = (spark.read.parquet(f"{BIG}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_quality(docs, labels)
+    found = {r.doc_id: r.score for r in Q.op10_quality(spark, BIG).collect()}
+
+    def count(text, characters):
+        return sum(c in characters for c in text)
+
+    for r in docs.collect():
+        t = r.text or ""
+        words, lines = [w for w in re.split(r"[ \t\n\x0b\x0c\r]+", t) if w], [x for x in t.split("\n") if x.strip(" ")]
+        share = lambda part, whole: part / whole if whole else 0.0
+        spaces = count(t, " \t\n\x0b\x0c\r")
+        own = [len(t), len(words), share(len(t) - spaces, len(words)), share(count(t, "#*$%&|<>"), len(t)), share(sum("A" <= c <= "Z" for c in t), len(t)), share(count(t, "0123456789"), len(t)), share(count(t, ".,;:!?"), len(t)), share(len(set(words)), len(words)), share(len(lines), len(words)), share(len(lines) - len(set(lines)), len(lines)), share(len(t.encode()) - len(t), len(t))]
+        at = model.bias + sum(w for rule, w in model.rules if all((own[k] > bound) == above for k, above, bound in rule.terms))
+        assert abs(found[r.doc_id] - 1 / (1 + np.exp(-at))) < 1e-9
+
+
 def test_quality_edge_cases(spark):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (1, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for known in (labels, labels.where("quality = 1"), labels.where("false")):

@@ -94,6 +94,15 @@ def test_join_edge_cases(spark):
     assert run(spark, [], join) == []
 
 
+def test_null_ids_link_and_long_texts_are_whole(spark):
+    words = [f"w{i}" for i in range(400)]
+    a, b, c = (words[:n] for n in (300, 330, 360))
+    long = [f"x{i}" for i in range(30_000)]
+    rows = [(5, " ".join(a)), (None, " ".join(b)), (9, " ".join(c)), (None, "alone here now it is"), (2, " ".join(long)), (3, " ".join(long[:-3000])), (4, " ".join(reversed(long)))]
+    assert run(spark, rows, N.Join(4, 85)) == brute_components(rows, N.Join(4, 85))
+    assert {(i, c) for i, _, c in run(spark, rows, N.Join(4, 85))} >= {(9, 5), (3, 2), (4, 4)}
+
+
 def test_shingles_ignore_batches_and_offsets():
     texts = ["a b c d e", None, "", "Ünï a b", "a b c d e", " ", "x y"]
     column = pa.array(["skip this one please now", *texts]).slice(1)

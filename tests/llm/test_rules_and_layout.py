@@ -292,3 +292,11 @@ def test_pipeline_stages_with_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             frame = stage(spark, frame, SF)
             frame = spark.createDataFrame(frame.collect(), frame.schema)
+
+
+def test_rows_that_share_an_id_are_decided_by_their_own_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (1, "other text of that id here"), (2, " ".join(words)), (None, " ".join(words)), (None, "a text without an id at all"), (3, ""), (3, None), (1, " ".join(words))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == sorted([(2, " ".join(words)), (1, "other text of that id here"), (None, "a text without an id at all"), (3, ""), (3, None)], key=repr)
