@@ -116,14 +116,16 @@ def encoder(path: str, style: str) -> Encoder:
 
 
 def release() -> None:
-    """Give back what encoders hold in this Python worker, for operators that need the room."""
-    if not _ENCODERS:
-        return
+    """Give back what this Python worker holds but does not use: encoders of other operators, and freed memory."""
     import ctypes
     import gc
 
-    _ENCODERS.clear()
-    gc.collect()
+    import pyarrow
+
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+    pyarrow.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:  # only this C library keeps freed memory until told
         trim(0)
