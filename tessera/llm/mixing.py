@@ -12,7 +12,9 @@ A leaf with ``q`` tokens to give and ``t`` tokens of its own gives each document
 
 All is native. Order within a leaf is that of an MD5 of seed, epoch and id; running
 sums go over hash ranges of a leaf first and then within each range, so that a leaf
-with a third of all rows is not one task's work.
+with a third of all rows is not one task's work. Rows that are alike (leaf, id and
+length) are counted before that and dealt out again after it, in pieces, so that a null
+or repeated id is not one task's work either.
 
 Defined results: null or wordless texts have 0 tokens and count as taken where the
 running sum before them is below the prefix; null languages and sources are the
@@ -29,10 +31,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, written
+from tessera.llm.common import SPACE, small, written
 
 #: Rows of a leaf that one range of hashes holds, about.
 RANGE_ROWS = 20_000
+#: Alike rows that are dealt out together.
+PIECE = 65_536
+#: Sources whose domain is broadcast at most.
+BROADCAST_SOURCES = 100_000
 
 
 @dataclass(frozen=True)
@@ -48,7 +54,7 @@ class Mix:
 
 
 def domain_of(source: Column) -> Column:
-    """The domain of a source by the number in its name."""
+    """The domain of a source by the number in its name: a stand-in where no table names the domains."""
     number = F.coalesce(F.regexp_extract(source, "([0-9]+)", 1).try_cast("long"), F.lit(0)) % 3
     return F.when(number == 0, "web").when(number == 1, "books").otherwise("forum")
 
@@ -96,11 +102,18 @@ def leaf_quotas(leaves: DataFrame, mix: Mix) -> DataFrame:
     return split_budget(bottom, ["domain", "language"], "source").withColumnRenamed("share", "quota")
 
 
-def mix_sources(docs: DataFrame, mix: Mix = Mix(), *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Every row's (doc_id, domain, language, source, n_tokens, copies, tokens_taken)."""
+def mix_sources(docs: DataFrame, mix: Mix = Mix(), *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domains: DataFrame | None = None) -> DataFrame:
+    """Every row's (doc_id, domain, language, source, n_tokens, copies, tokens_taken).
+
+    ``domains`` (source, domain) names the domains of sources, one row a source; those
+    that it lacks, or all without it, go by ``domain_of``.
+    """
     source = F.coalesce(F.col(source_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), domain_of(source).alias("domain"), F.coalesce(F.col(lang_col), F.lit("")).alias("language"), source.alias("source"), count_words(F.col(text_col)).alias("n_tokens"))
-    rows = written(rows, "mix-rows")
+    if domains is not None:
+        named = domains.groupBy("source").agg(F.min("domain").alias("named"))
+        rows = rows.join(small(named, BROADCAST_SOURCES), "source", "left").withColumn("domain", F.coalesce("named", "domain")).drop("named")
+    rows = written(rows.select("doc_id", "domain", "language", "source", "n_tokens"), "mix-rows")
     leaf = ["domain", "language", "source"]
     quotas = leaf_quotas(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")), mix)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens")).cast("long")).otherwise(0).cast("long")
@@ -109,11 +122,15 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), *, id_col: str = "doc_id", te
     while ranges * RANGE_ROWS < total and digits < 8:
         digits, ranges = digits + 1, ranges * 16
     order = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    planned = rows.join(plans, leaf).withColumn("order", order).withColumn("range", F.substring("order", 1, digits))
+    alike = rows.groupBy("doc_id", *leaf, "n_tokens").agg(F.count("*").alias("same"))
+    planned = alike.join(plans, leaf).withColumn("order", order).withColumn("range", F.substring("order", 1, digits))
+    held = F.col("n_tokens") * F.col("same")
     by_range = Window.partitionBy(*leaf).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    begins = planned.groupBy(*leaf, "range").agg(F.sum("n_tokens").alias("in_range")).select(*leaf, "range", F.coalesce(F.sum("in_range").over(by_range), F.lit(0)).alias("begin"))
+    begins = planned.groupBy(*leaf, "range").agg(F.sum(held).alias("in_range")).select(*leaf, "range", F.coalesce(F.sum("in_range").over(by_range), F.lit(0)).alias("begin"))
     within = Window.partitionBy(*leaf, "range").orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("begin") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
+    before = F.col("begin") + F.coalesce(F.sum(held).over(within), F.lit(0))
     placed = planned.join(begins, [*leaf, "range"]).withColumn("before", before)
+    pieces = placed.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("same") - 1, F.lit(PIECE).cast("long")))).repartition("doc_id", "n_tokens", "at")
+    each = pieces.withColumn("at", F.explode(F.sequence("at", F.least(F.col("at") + PIECE, F.col("same")) - 1))).withColumn("before", F.col("before") + F.col("at") * F.col("n_tokens"))
     part = F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - F.col("before")))
-    return placed.select("doc_id", *leaf, "n_tokens", (F.col("whole") + (F.col("before") < F.col("rest")).cast("long")).alias("copies"), (F.col("whole") * F.col("n_tokens") + part).cast("long").alias("tokens_taken"))
+    return each.select("doc_id", *leaf, "n_tokens", (F.col("whole") + (F.col("before") < F.col("rest")).cast("long")).alias("copies"), (F.col("whole") * F.col("n_tokens") + part).cast("long").alias("tokens_taken"))

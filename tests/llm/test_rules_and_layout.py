@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import packing, queries as Q, token_files, tokens, wrappers
+from tessera.llm import mixing, packing, queries as Q, token_files, tokens, wrappers
 from tessera.llm.mixing import Mix, leaf_quotas, mix_sources
 from tessera.llm.quality_rules import LEAST_CHARS, divergence_rules, distance
 from tests.conftest import SF
@@ -101,6 +102,28 @@ def test_mixing_edge_cases(spark):
     assert mix_sources(odd(spark).where("false")).count() == 0
 
 
+def test_hot_and_null_ids_are_taken_like_a_plain_running_sum(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 4)
+    table = [(None, "a b c")] * 30 + [(7, "a b")] * 9 + [(7, "a")] * 5 + [(i, "w " * (i % 4)) for i in range(100, 140)]
+    docs = spark.createDataFrame([(i, t, "en", "src1") for i, t in table], "doc_id long, text string, lang string, source string")
+    mix = Mix(percent=130)
+    got = sorted((r.doc_id or -1, r.n_tokens, r.copies, r.tokens_taken) for r in mix_sources(docs, mix).collect())
+    total = sum(len(t.split()) for _, t in table)
+    rest, before, want = total * 130 // 100 - total, 0, []
+    place = lambda i: hashlib.md5(f"7:1:{'' if i is None else i}".encode()).hexdigest()
+    for i, t in sorted(table, key=lambda x: (place(x[0]), x[0] or -1, len(x[1].split()))):
+        n = len(t.split())
+        want.append((i or -1, n, 1 + (before < rest), n + max(0, min(n, rest - before))))
+        before += n
+    assert got == sorted(want)
+
+
+def test_a_table_names_the_domains(spark):
+    domains = spark.createDataFrame([("src1", "books"), ("src1", "books"), ("other", "web")], "source string, domain string")
+    found = mix_sources(odd(spark), domains=domains).collect()
+    assert len(found) == len(ODD) and all((r.domain == "books") == (r.source == "src1") for r in found)
+
+
 # --- tokens, packing, files ------------------------------------------------------------------
 
 
