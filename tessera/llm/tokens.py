@@ -17,8 +17,9 @@ from array import array
 
 #: Pieces to keep, about 200 bytes each; the frequent ones come early, later ones are encoded each time.
 CACHE = 450_000
-#: Letters of the range in which the finer cuts below are certain.
-LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Letters of the range in which the finer cuts below are certain. U+0130 is not one of them: in small
+#: letters it is two characters, the second of which stands with the signs that follow.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 #: A character outside ASCII and those letters, or one that Python alone takes as white space.
 UNSURE = re.compile(f"[^\x00-\x1b\x20-\x7f{LETTERS}]").search
 #: Characters that Python's ``\\s`` takes as white space and other engines do not.
@@ -83,8 +84,7 @@ class Encoder:
             return dict(zip(new, self._encode(new), strict=True))
         if not self.lower:
             return dict(zip(new, self._units(new), strict=True))
-        words = [p for p in new if p.isalpha() and "\u0130" not in p]  # that letter's small form is two characters
-        rest = [p for p in new if not p.isalpha() or "\u0130" in p]
+        words, rest = [p for p in new if p.isalpha()], [p for p in new if not p.isalpha()]
         return dict(zip(words, self._units([w.lower() for w in words]), strict=True)) | dict(zip(rest, self._encode(rest), strict=True))
 
     def ids(self, text: str | None) -> bytes:
