@@ -70,3 +70,39 @@ r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
 select d.doc_id, coalesce(z.n, 0) as n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) as component_id, coalesce(k.class_size, 1) as class_size
 from documents d left join z using (doc_id) left join k using (h) left join (select a as doc_id, min(b) as low from r group by a) m using (doc_id)
 """
+
+_ROUND = """
+a{r} as materialized (
+  select position, x, any_value(weight) as weight,
+         min_by(entry, [list_inner_product(c, c) - 2 * list_inner_product(x, c), entry]) as entry
+  from parts join b{p} using (position) group by position, x),
+m{r} as (
+  select position, entry, list(floor_mean order by i) as mean
+  from (select position, entry, i, floor(sum(weight * x[i]) / sum(weight)) as floor_mean from a{r}, generate_series(1, 16) as t(i) group by position, entry, i) group by position, entry),
+b{r} as materialized (select position, entry, coalesce(mean, c) as c from b{p} left join m{r} using (position, entry)),"""
+
+CODES = (
+    """
+with usable as (
+  select vec_id, label, list_transform(embedding, lambda v: floor(1024 * v::double)) as v from embeddings
+  where embedding is not null and list_count(list_filter(embedding, lambda v: isfinite(v))) = len(embedding)),
+rows as (select vec_id, label, position, list_slice(v, 16 * position + 1, 16 * position + 16) as x from usable, generate_series(0, 3) as t(position)),
+parts as materialized (select position, x, count(*)::double as weight from rows group by all),
+b0 as (
+  select position, (row_number() over (partition by position order by vec_id) - 1)::bigint as entry, x as c
+  from rows where vec_id in (select vec_id from usable order by vec_id limit 256)),"""
+    + "".join(_ROUND.format(r=r, p=r - 1) for r in range(1, 5))
+    + """
+coded as (
+  select position, x, min_by([entry::double, list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c)],
+                             [list_inner_product(c, c) - 2 * list_inner_product(x, c), entry]) as found
+  from parts join b4 using (position) group by position, x),
+each as (
+  select vec_id, any_value(label) as label, string_agg(printf('%02x', found[1]::bigint), '' order by position) as code, sum(found[2]::bigint)::bigint as error
+  from rows join coded using (position, x) group by vec_id),
+labels as (select label, sum(error)::bigint as label_error from each group by label)
+select vec_id, code, error, label_error,
+       (select sha256(string_agg(c[i]::bigint::varchar, ',' order by position, entry, i)) from b4, generate_series(1, 16) as t(i)) as codebooks_sha256
+from each join labels on each.label is not distinct from labels.label
+"""
+)

@@ -8,17 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.code_compression import compress, digest
 from tessera.llm.common import shared_path, table
 from tessera.llm.cross_polytope import nearest
 from tessera.llm.language import fit_languages, held_out, identify_languages
 from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_join import Join, ngram_jaccard_join
-from tessera.llm.oracles import DIVERGENCE, MIXING, NGRAM_JOIN
+from tessera.llm.oracles import CODES, DIVERGENCE, MIXING, NGRAM_JOIN
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality_rules import divergence_rules
 from tessera.llm.quality_rules_model import fit_quality, score_quality
+from tessera.llm.rank_array import decode_documents, encode_documents
 from tessera.llm.token_files import read_token_files, write_token_files
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
+from tessera.llm.whitening import whiten
 from tessera.llm.wrappers import extract_pages
 
 
@@ -71,6 +74,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    found = decode_documents(encode_documents(table(spark, sf_dir, "documents"), tokenizer), tokenizer)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_divergence_rules": op1_divergence_rules,
@@ -83,8 +102,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_cross_polytope": op8_cross_polytope,
         "op9_token_files": op9_token_files,
         "op10_quality": op10_quality,
+        "op11_rank_array": op11_rank_array,
+        "op12_whitening": op12_whitening,
+        "op13_code_compression": op13_code_compression,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_divergence_rules": DIVERGENCE, "op2_ngram_join": NGRAM_JOIN, "op7_mixing": MIXING}
+    return {"op1_divergence_rules": DIVERGENCE, "op2_ngram_join": NGRAM_JOIN, "op7_mixing": MIXING, "op13_code_compression": CODES}
