@@ -7,6 +7,7 @@ from dataclasses import dataclass
 # Prompt parts and markers that results must equal.
 REFUSAL = "The provided documents do not contain enough information to answer this question."
 REFUSAL_MARKERS = ["do not contain enough information", "does not contain enough information", "not enough information", "insufficient information", "not mentioned in the provided"]
+TOO_LONG = "Query length (%d) exceeds maximum limit of %d characters."
 TRIM_MARKER = " [trimmed for token budget]"
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 CODENAMES = ["Phoenix", "Titan", "Aurora", "Nebula", "Valkyrie"]

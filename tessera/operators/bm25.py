@@ -1,21 +1,30 @@
 """BM25 over chunks for a table of queries.
 
 Statistics of the collection (number of chunks, average length) come from all
-chunks, blank ones included. Only terms of the queries are kept as postings: the
-query side is small and known, so the corpus is tokenised once and never shuffled
-as a whole.
+chunks, blank ones included. ``bm25_top_k`` reads the chunks twice, first for the
+statistics of the queries' terms, then to score them where they are: each task keeps
+the k best of every query, so that no more than tasks x queries x k rows are shuffled.
+``bm25_scores`` gives the scores of all pairs that share a term.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULTS, Settings
 from tessera.functions.text import tokenize
+from tessera.operators.posting_blocks import Best, Questions, identifiers, shard_of
 
 #: Distinct query terms, and terms of all queries, that are broadcast at most.
 BROADCAST_TERMS = 500_000
+#: Terms of queries, each query's counted for itself, that are handed to every task at once.
+TERMS_AT_ONCE = 500_000
 
 
 def tokenized(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -77,6 +86,80 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, *, id_col: str = "doc_id"
     return scored.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("score"))
 
 
+def question_blocks(queries: DataFrame, id_col: str, text_col: str, settings: Settings = DEFAULTS) -> Iterator[tuple[Questions, pa.DataType]]:
+    """The queries in blocks of a bounded number of terms, with the type of their ids; a query without words is in none."""
+    terms = query_terms(queries, id_col, text_col).where(F.col("query_id").isNotNull())
+    blocks = max(1, -(-terms.count() // TERMS_AT_ONCE))
+    for block in range(blocks):
+        some = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        if some.num_rows:
+            coded = some["term"].combine_chunks().dictionary_encode()
+            ids, query = np.unique(identifiers(some["query_id"]), return_inverse=True)
+            order = np.argsort(query, kind="stable")
+            start = np.searchsorted(query[order], np.arange(len(ids) + 1))
+            yield Questions(ids, coded.dictionary.to_pylist(), start, coded.indices.to_numpy()[order], some["qtf"].to_numpy()[order], k1=settings.k1, b=settings.b), some["query_id"].type
+
+
+def arrow_name(kind: pa.DataType) -> str:
+    return "string" if pa.types.is_string(kind) or pa.types.is_large_string(kind) else "int" if kind == pa.int32() else "long"
+
+
+def weighed(rows: DataFrame, questions: Questions) -> Questions:
+    """The questions with weights from one pass over tokenised chunks; each task adds up what it has."""
+    terms = pa.array(questions.terms, pa.string())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, chunks, total = np.zeros(len(terms), np.int64), 0, 0
+        for batch in batches:
+            tokens = batch.column(0)
+            number = pc.index_in(tokens.flatten(), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            lengths = tokens.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lengths)), lengths)[number >= 0]
+            df += np.bincount(np.unique(number[number >= 0] * len(lengths) + row) // max(1, len(lengths)), minlength=len(terms))
+            chunks, total = chunks + len(lengths), total + int(lengths.sum())
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [chunks, total]))], names=["at", "amount"])
+
+    df, whole = np.zeros(len(terms)), {-1: 0, -2: 0}
+    for at, amount in rows.select("tokens").mapInArrow(count, "at long, amount long").groupBy("at").agg(F.sum("amount")).collect():
+        if at < 0:
+            whole[at] = amount
+        else:
+            df[at] = amount
+    questions.weigh(df, whole[-1], whole[-2])
+    return questions
+
+
+def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, *, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query", allowed: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best chunks of every query, ties to the smaller chunk id.
+
+    Ids are whole numbers or texts; rows of one id are chunks of their own. ``allowed`` (chunk_id) restricts what is scored; statistics
+    stay those of all chunks. Chunks without an id are counted and not returned; a query
+    that shares no term with any chunk has no rows.
+    """
+    spark, out = chunks.sparkSession, None
+    rows = tokenized(chunks, id_col, text_col)
+    scored = rows.where(F.col("chunk_id").isNotNull())
+    scored = scored if allowed is None else scored.join(allowed, "chunk_id", "left_semi")
+    kind = rows.schema["chunk_id"].dataType.simpleString()
+    kind = {"bigint": "long"}.get(kind, kind)
+    for questions, asked in question_blocks(queries, query_id, query_text, settings):
+        shared, asked_name = spark.sparkContext.broadcast(weighed(rows, questions)), arrow_name(asked)
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared, asked=asked) -> Iterator[pa.RecordBatch]:
+            best, terms, ids = Best(shared.value, k), pa.array(shared.value.terms, pa.string()), None
+            for batch in batches:
+                ids = batch.column(0).type
+                best.add(shard_of(identifiers(batch.column(0)), batch.column(1), terms)[0])
+            yield from best.batches(ids, asked)
+
+        found = scored.select("chunk_id", "tokens").mapInArrow(score, f"query_id {asked_name}, chunk_id {kind}, score double")
+        out = found if out is None else out.union(found)
+    if out is None:
+        return spark.createDataFrame([], f"query_id long, chunk_id {kind}, score double, rank int")
+    return top_k(out, k)
+
+
 def top_k(scores: DataFrame, k: int, by: str = "score", rank: str = "rank") -> DataFrame:
     """The k best of each query, ties to the smaller chunk id; ranks count from 1."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round(by, 9)), "chunk_id")

@@ -8,12 +8,13 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.config import DEFAULTS, REFUSAL, Settings
+from tessera.config import DEFAULTS, REFUSAL, TOO_LONG, Settings
 from tessera.functions.text import count_tokens
 from tessera.operators.answers import budgeted, prompts, sources_of, stub_answers
-from tessera.operators.bm25 import bm25_scores, top_k
+from tessera.operators.bm25 import bm25_top_k
 from tessera.operators.dense import dense_top_k
 from tessera.operators.fusion import final_cut, reciprocal_rank_fusion, result_items
+from tessera.operators.posting_index import PostingIndex
 from tessera.operators.rerank import Scorer, rerank
 
 MODES = {"sparse": "sparse", "bm25": "sparse", "hybrid": "hybrid"}
@@ -24,10 +25,12 @@ def askable(queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return queries.where((F.trim(F.coalesce("query", F.lit(""))) != "") & (F.length("query") <= settings.max_query_chars))
 
 
-def ranked_list(kind: str, chunks: DataFrame, asked: DataFrame, allowed: DataFrame | None, settings: Settings) -> DataFrame:
+def ranked_list(kind: str, chunks: DataFrame, asked: DataFrame, allowed: DataFrame | None, settings: Settings, index: PostingIndex | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the ``retrieve_k`` best of one kind, sparse or dense."""
+    if kind == "sparse" and index is not None:
+        return index.top_k(asked, settings.retrieve_k, allowed=allowed)
     if kind == "sparse":
-        return top_k(bm25_scores(chunks, asked, id_col="chunk_id", text_col="text", allowed=allowed, settings=settings), settings.retrieve_k)
+        return bm25_top_k(chunks, asked, settings.retrieve_k, id_col="chunk_id", text_col="text", allowed=allowed, settings=settings)
     return dense_top_k(chunks, asked, settings.retrieve_k, id_col="chunk_id", vector_col="v", query_id="query_id", query_vector="v", allowed=allowed)
 
 
@@ -43,14 +46,15 @@ def kinds_of(mode: str) -> list[str]:
     return ["dense", "sparse"] if mode == "hybrid" else [mode]
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, *, mode: str = "hybrid", scorer: Scorer | None = None, allowed: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, *, mode: str = "hybrid", scorer: Scorer | None = None, allowed: DataFrame | None = None, index: PostingIndex | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """Result items (query_id, chunk_id, text, source, page, scores, rank).
 
     Chunks have chunk_id, text, source, page and, for dense parts, v; queries have
-    query_id, query and v. An unknown mode is dense; blank queries give nothing.
+    query_id, query and v. An unknown mode is dense; blank queries give nothing. With an
+    ``index`` of these chunks, sparse parts read its postings and not the texts.
     """
     asked, mode = askable(queries, settings), MODES.get(mode, "dense")
-    lists = {kind: ranked_list(kind, chunks, asked, allowed, settings) for kind in kinds_of(mode)}
+    lists = {kind: ranked_list(kind, chunks, asked, allowed, settings, index) for kind in kinds_of(mode)}
     found, by, digits = candidates(mode, lists, settings)
     if scorer is None:
         return result_items(final_cut(found, by, settings.final_k, digits), chunks)
@@ -58,17 +62,17 @@ def retrieve(chunks: DataFrame, queries: DataFrame, *, mode: str = "hybrid", sco
     return result_items(rerank(texts, settings.final_k, scorer).drop("text", "query"), chunks)
 
 
-def respond(chunks: DataFrame, queries: DataFrame, *, mode: str = "hybrid", scorer: Scorer | None = None, allowed: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+def respond(chunks: DataFrame, queries: DataFrame, *, mode: str = "hybrid", scorer: Scorer | None = None, allowed: DataFrame | None = None, index: PostingIndex | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """(query_id, status, detail, total_retrieved, results) of every query.
 
     A query over the longest length has status 400 and the reason; results are the
     retrieved items in rank order, none for a blank query.
     """
-    items = retrieve(chunks, queries, mode=mode, scorer=scorer, allowed=allowed, settings=settings)
+    items = retrieve(chunks, queries, mode=mode, scorer=scorer, allowed=allowed, index=index, settings=settings)
     found = sources_of(items).select("query_id", F.col("sources").alias("results"))
     n = F.length("query")
     long = F.coalesce(n > settings.max_query_chars, F.lit(False))
-    detail = F.when(long, F.format_string(f"Query length (%d) exceeds maximum limit of {settings.max_query_chars} characters.", n))
+    detail = F.when(long, F.format_string(TOO_LONG, n, F.lit(settings.max_query_chars)))
     total = F.when(~long, F.coalesce(F.size("results"), F.lit(0)))
     return queries.select("query_id", "query").join(found, "query_id", "left").select("query_id", F.when(long, 400).otherwise(200).alias("status"), detail.alias("detail"), F.when(F.col("results").isNull() & ~long, 0).otherwise(total).alias("total_retrieved"), "results")
 

@@ -18,11 +18,13 @@ from tessera.cases import ANSWER_CASES, UNANSWERABLE
 from tessera.config import DEFAULTS
 from tessera.functions import pii, text
 from tessera.operators import answers, conversations, evaluation, router, store
-from tessera.operators.bm25 import bm25_scores, corpus_stats, term_stats, top_k
+from tessera.operators.bm25 import bm25_top_k, corpus_stats, term_stats
 from tessera.operators.chunking import chunk_pages, register_chunkers
 from tessera.operators.dense import dense_top_k
+from tessera.operators.posting_index import PostingIndex
 from tessera.operators.rerank import blended, lexical_overlap, partial_rerank, rerank
 from tessera.plans.retrieval import BENCHMARK, answer, respond, retrieve, sweep
+from tessera.shared import shared_path
 from tessera.sources.readers import read_text_table
 from tessera.sources.sinks import exposition
 from tessera.streaming.limiter import rate_limit
@@ -67,7 +69,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 def top_documents(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """(query_id, query, rank, chunk_id, text, source, page): the k best documents of every question."""
     docs, asked = documents(spark, sf_dir), questions(spark, sf_dir)
-    best = top_k(bm25_scores(docs, asked), k)
+    best = bm25_top_k(docs, asked, k)
     return best.join(docs.select(F.col("doc_id").alias("chunk_id"), "text", "source"), "chunk_id").join(asked, "query_id").withColumn("page", F.lit(1))
 
 
@@ -76,14 +78,28 @@ def top_documents(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 @query
 def bm25_topk(spark, sf_dir):
-    return rounded(top_k(bm25_scores(documents(spark, sf_dir), questions(spark, sf_dir)), 10), "score")
+    return rounded(bm25_top_k(documents(spark, sf_dir), questions(spark, sf_dir), 10), "score")
 
 
 @query
 def bm25_scoped_docids(spark, sf_dir):
     docs = documents(spark, sf_dir)
     allowed = docs.where("lang = 'de'").select(F.col("doc_id").alias("chunk_id"))
-    return rounded(top_k(bm25_scores(docs, questions(spark, sf_dir), allowed=allowed), 5), "score")
+    return rounded(bm25_top_k(docs, questions(spark, sf_dir), 5, allowed=allowed), "score")
+
+
+@query
+def bm25_incremental(spark, sf_dir):
+    """A stored index after three additions, the last of which replaces texts, a deletion and merges."""
+    docs = documents(spark, sf_dir)
+    index = PostingIndex(spark, shared_path(spark, "postings"))
+    first = F.coalesce(F.col("lang").isin("en", "de"), F.lit(False))
+    index.add(docs.where(first), id_col="doc_id")
+    index.add(docs.where(~first), id_col="doc_id")
+    index.add(docs.where("lang = 'es'").withColumn("text", F.concat_ws(" ", "text", "source")), id_col="doc_id")
+    index.delete(docs.where("lang = 'fr'").select("doc_id"))
+    index.compact()
+    return rounded(index.top_k(questions(spark, sf_dir), 10), "score")
 
 
 @query
@@ -174,7 +190,7 @@ def gold_containment(spark, sf_dir):
 def gold_rank(spark, sf_dir):
     docs, asked = documents(spark, sf_dir), questions(spark, sf_dir)
     golds = evaluation.containment_pairs(docs.select(F.col("doc_id").alias("chunk_id"), "text"), asked.withColumnRenamed("query", "text"))
-    return evaluation.gold_ranks(top_k(bm25_scores(docs, asked), 10), golds)
+    return evaluation.gold_ranks(bm25_top_k(docs, asked, 10), golds)
 
 
 @query

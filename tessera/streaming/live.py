@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tessera.operators.posting_index import PostingIndex
 from tessera.operators.store import ChunkStore
 
 
@@ -33,15 +34,19 @@ def windowed_counters(requests: DataFrame, *, time: str = "ts", intent: str = "e
     return rows.groupBy(F.window(time, width), F.col(intent).alias("intent")).agg(F.count("*").alias("requests")).select("window.start", "window.end", "intent", "requests")
 
 
-def ingest_stream(pages: DataFrame, store: ChunkStore, chunk: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Chunk every micro-batch of pages and upsert it; a replayed batch changes nothing.
+def ingest_stream(pages: DataFrame, store: ChunkStore, chunk: Callable[[DataFrame], DataFrame], checkpoint: str, index: PostingIndex | None = None) -> StreamingQuery:
+    """Chunk every micro-batch of pages and upsert it, into the index also if one is given; a replayed batch changes nothing.
 
     The upsert replaces rows of equal keys, so that a batch that runs again after a
-    failure gives the table it gave before.
+    failure gives the table and the index it gave before.
     """
 
     def add(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            store.add(chunk(batch))
+            chunks = chunk(batch)
+            store.add(chunks)
+            if index is not None:
+                index.add(chunks)
+                index.compact()
 
     return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
