@@ -10,22 +10,26 @@ other in rounds of a few, so that a host with many pages is never one task's wor
 A second pass matches every page with its host's expression, which gives each text and
 tag its place there, and gathers what the places hold. These decide the text:
 
-* a place whose text is the same on all pages that have it, ``TEMPLATE_PAGES`` different
-  ones at least, is template, as is a repeated group that holds nothing but links;
+* a repeated group that holds nothing but links is a menu;
 * the region of the article is the tag's place with the most running text: an article or
   main element, else the innermost holder of most of it. Places in a repeated group,
   such as teasers and reader comments, are records and no region;
 * the text is what the slots in that region hold, block by block.
 
-Elements that by their HTML name hold no article (nav, footer, ...) never count, nor do
-those that are named as menus, adverts or comments, unless they are a box around it.
+Elements that by their HTML name hold no article (nav, footer, ...) never count. Outside the
+region, nor do those that are named as menus, adverts or comments, unless they are a box
+around it. Inside the region a name alone decides nothing: such a text goes if it
+is a link, if its place holds the same text on other pages too, or if it lies in a
+repeated record. Text that is the same on many pages stays, wherever it is in the region. On
+a host without a region, what is the same on ``TEMPLATE_PAGES`` different pages goes before
+the first text that differs and after the last, never between.
 A page that does not match its host's expression is walked by its tags, within the
-element that has the sign of the region.
+element that has the sign of the region; there, and on hosts of one page, boxes that are
+named as asides go.
 
 Defined results: a null, empty or wholly marked-up page gives the empty text; a null
 url is a host of its own; repeated rows are extracted each for itself; a host of copies
-of one page, or of fewer different pages than ``TEMPLATE_PAGES``, has no template; of
-regions with equal text the first in the expression is taken; very long pages and pages
+of one page has no template; of regions with equal text the first in the expression is taken; very long pages and pages
 of very many different tags are read as a whole; an empty table gives no rows; columns
 other than id, url and html are not looked at.
 """
@@ -51,6 +55,8 @@ from tessera.llm.common import written
 
 #: Bytes of wrappers that are broadcast at most.
 BROADCAST_BYTES = 32_000_000
+#: Beyond that, tasks that the pages of one host are dealt out over.
+SALTS = 16
 #: Repeated units up to so many tokens are found by expression, longer ones by their distances.
 UNIT = 24
 #: Elements of a wrapper at most: page shapes that would make it longer are not aligned, and their pages are walked by their tags.
@@ -59,7 +65,7 @@ MOST = 20_000
 PAIRS = 250_000
 #: Wrappers of one host that are aligned by one task.
 FEW = 8
-#: Different pages that must share a text before it is template.
+#: Different pages that must share a text before it is template, on hosts without a region.
 TEMPLATE_PAGES = 8
 RAW = "script|style|noscript|template|svg|iframe|title|textarea|object|math|select|datalist|canvas|audio|video"
 TOKEN = re.compile(
@@ -81,6 +87,8 @@ NEVER = ASIDE - {"form", "fieldset"}
 BOX = ".="
 ASIDE_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice alert newsletter subscribe subscription popup modal sidebar widget related recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager menu navigation nav navbar footer comment comments disqus respond replies reply login signup search toolbar skip".split())
 HOLDERS = set("article main section div td body".split())
+#: Elements that may be one record of a list, as a reader's comment is.
+RECORDS = set("article section div td li tr dd".split())
 
 
 class Page:
@@ -204,7 +212,7 @@ class Reading:
             if name_of(sign) in ("article", "main"):
                 holders += by
 
-        headers: set[int] = set()  # page headers; an article's own stays
+        headers = self.headers = set()  # page headers; an article's own stays
         for i, sign in enumerate(signs):
             if sign == "#":
                 self.texts.append((i, aside > 0, links > 0, opened))
@@ -231,8 +239,13 @@ class Reading:
                 step(i, 1)
                 opened = tuple(stack)
 
+    def named(self, page: Page, opened: tuple[int, ...], begin: int) -> list[int] | None:
+        """The elements from token ``begin`` on that make a text an aside, if it is one by their class, id or role alone; else None."""
+        found = [o for o in opened if is_aside(page.signs[o]) or o in self.headers]
+        return found if all(o > begin and o not in self.headers and name_of(page.signs[o]) not in ASIDE for o in found) else None
+
     def blocks_of(self, page: Page, wanted) -> list[str]:
-        """The blocks made of the texts that are no aside and that ``wanted`` takes by (token, elements)."""
+        """The blocks made of the texts that ``wanted`` takes by (token, whether it is part of an aside, whether of a link, elements)."""
         blocks, current = [], []
         for text in (*self.texts, None):
             if text is None:
@@ -241,7 +254,7 @@ class Reading:
                     if block:
                         blocks.append(block)
                     current = []
-            elif not text[1] and wanted(text[0], text[3]):
+            elif wanted(*text):
                 current.append(page.texts[text[0]])
         return blocks
 
@@ -464,23 +477,21 @@ def unified(shapes: set[tuple]) -> tuple:
     return w
 
 
-def pack(w: tuple | None, pages: int) -> str:
-    return json.dumps([w, pages])
+def pack(w: tuple | None) -> str:
+    return json.dumps(w)
 
 
-def unpack(text: str) -> tuple[tuple | None, int]:
+def unpack(text: str) -> tuple | None:
     def tuples(x: object) -> object:
         return tuple(tuples(e) for e in x) if isinstance(x, list) else x
 
-    w, pages = json.loads(text)
-    return tuples(w), pages
+    return tuples(json.loads(text))
 
 
 def combine(packed: list[str]) -> str:
     """Align wrappers of one host, whatever their order; one of empty pages (None) adds nothing."""
-    parts = [unpack(p) for p in packed]
-    shapes = {w for w, _ in parts if w}
-    return pack(unified(shapes) if shapes else None, sum(n for _, n in parts))
+    shapes = {w for w in map(unpack, packed) if w}
+    return pack(unified(shapes) if shapes else None)
 
 
 def other_article(page: Page, main: str | None) -> tuple[int, int] | None:
@@ -563,7 +574,7 @@ class Wrapper:
     """A compiled wrapper: ``places`` gives each token of a matching page its place in the expression."""
 
     def __init__(self, packed: str) -> None:
-        w, self.pages = unpack(packed)
+        w = unpack(packed)
         self.signs: list[str] = []  # of each place
         self.repeated: list[bool] = []
         self.groups: list[tuple[int, int]] = []  # places of each repeated group
@@ -635,12 +646,26 @@ class Extractor:
         signs = self.wrapper.signs
         self.main = self._main(rows)
         self.sign = signs[self.main] if self.main is not None else None
-        self.dropped = {p for p, r in rows.items() if p >= 0 and signs[p] == "#" and r[5] == r[6] and (r[7] & ((1 << 64) - 1)).bit_count() >= TEMPLATE_PAGES}
+        #: Places with one and the same text on two different pages or more, and on ``TEMPLATE_PAGES``.
+        pages = {p: (r[7] & ((1 << 64) - 1)).bit_count() for p, r in rows.items() if p >= 0 and signs[p] == "#" and r[5] == r[6]}
+        self.constant = {p for p, n in pages.items() if n >= 2}
+        #: One page, however often, shows nothing about its places.
+        self.alone = all((r[7] & ((1 << 64) - 1)).bit_count() < 2 for r in rows.values())
+        self.dropped: set[int] = set()
         for begin, end in self.wrapper.groups:
             texts = [p for p in range(begin, end) if signs[p] == "#" and p in rows]
             chars = sum(rows[p][1] for p in texts)
             if chars and sum(rows[p][2] for p in texts) >= 0.95 * chars:
                 self.dropped.update(texts)
+        if self.main is None:  # no region: template is what is the same everywhere before the first text that differs, or after the last
+            own = [p for p in rows if p >= 0 and signs[p] == "#" and p not in pages and p not in self.dropped]
+            self.dropped |= {p for p, n in pages.items() if n >= TEMPLATE_PAGES and own and not min(own) < p < max(own)}
+
+    def _no_article(self, page: Page, places: list[int], i: int, link: bool, named: list[int], opened: tuple[int, ...]) -> bool:
+        """Whether a text inside the region, in elements named like an aside, is one: a link, the same text on other pages, or in a repeated record."""
+        repeated = self.wrapper.repeated
+        record = any(o >= named[0] and repeated[places[o]] and name_of(page.signs[o]) in RECORDS for o in opened)
+        return link or record or places[i] in self.constant
 
     def _main(self, rows: dict) -> int | None:
         """The place that opens the article: an article or main element with its share of the text, else the innermost holder of most of it."""
@@ -663,15 +688,40 @@ class Extractor:
         reading = Reading(page)
         other = other_article(page, self.sign)
         if other:
-            begin, end = other
-            return "\n".join(reading.blocks_of(page, lambda i, _: begin <= i < end)), False
+            return "\n".join(reading.blocks_of(page, lambda i, aside, _, opened: other[0] <= i < other[1] and (not aside or self._plain(page, reading, opened, other[0])))), False
         places = self.wrapper.places(page)
-        if places is not None:
+        if places is not None and (self.main is None or self.main in places):
             main, dropped = self.main, self.dropped
-            if main is None or main in places:
-                return "\n".join(reading.blocks_of(page, lambda i, opened: places[i] not in dropped and (main is None or any(places[o] == main for o in opened)))), True
+
+            def wanted(i: int, aside: bool, link: bool, opened: tuple[int, ...]) -> bool:
+                if places[i] in dropped:
+                    return False
+                if main is None:
+                    return not aside
+                begin = next((o for o in opened if places[o] == main), None)
+                if begin is None or not aside:
+                    return begin is not None
+                if self.alone:
+                    return self._plain(page, reading, opened, begin)
+                named = reading.named(page, opened, begin)
+                return named is not None and not self._no_article(page, places, i, link, named, opened)
+
+            return "\n".join(reading.blocks_of(page, wanted)), True
         sign = self.sign if self.sign in page.signs else None
-        return "\n".join(reading.blocks_of(page, lambda _, opened: sign is None or any(page.signs[o] == sign for o in opened))), False
+
+        def walked(_: int, aside: bool, __: bool, opened: tuple[int, ...]) -> bool:
+            begin = next((o for o in opened if page.signs[o] == sign), None)
+            if sign is None or not aside or begin is None:
+                return not aside and (sign is None or begin is not None)
+            return self._plain(page, reading, opened, begin)
+
+        return "\n".join(reading.blocks_of(page, walked)), False
+
+    @staticmethod
+    def _plain(page: Page, reading: Reading, opened: tuple[int, ...], begin: int) -> bool:
+        """Without a wrapper: whether only paragraphs, headings and the like are named as asides, and no box is."""
+        named = reading.named(page, opened, begin)
+        return named is not None and not any(name_of(page.signs[o]) in RECORDS or name_of(page.signs[o]) in ("ul", "ol") for o in named)
 
 
 @lru_cache(256)
@@ -689,42 +739,59 @@ def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shapes: dict[str, set] = defaultdict(set)
-            seen: Counter = Counter()
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shapes[host].add(fold(Page(html.as_py() or "").signs))
-                seen[host] += 1
-            found = [pack(unified(shapes[host] - {()}) if shapes[host] != {()} else None, seen[host]) for host in shapes]
+            found = [pack(unified(shapes[host] - {()}) if shapes[host] != {()} else None) for host in shapes]
             yield pa.RecordBatch.from_pydict({"host": pa.array(list(shapes), pa.string()), "wrapper": pa.array(found, pa.string())})
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [combine(frame["wrapper"].tolist())]})
 
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    found = written(rows.mapInArrow(scan, "host string, wrapper string"), "host-shapes")
+    # batches of a large host give one and the same wrapper again and again: it is one row before any group is made
+    found = written(rows.mapInArrow(scan, "host string, wrapper string").distinct(), "host-shapes")
     most = found.groupBy("host").count().agg(F.max("count")).first()[0] or 1
     parts = -(-most // FEW)
     while True:  # a few rounds: the number of wrappers of a host falls by FEW each time
         found = found.groupBy("host", F.pmod(F.xxhash64("wrapper", F.lit(parts)), F.lit(parts)).alias("part")).applyInPandas(join, "host string, wrapper string")
         if parts == 1:
             return found
-        parts = -(-parts // FEW)
+        found, parts = found.distinct(), -(-parts // FEW)
+
 
+def with_wrappers(rows: DataFrame, wrappers: DataFrame) -> tuple[DataFrame, object]:
+    """(rows, table): what the tasks need to know of each row's host.
 
-def with_wrappers(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """Rows with their host's number; wrappers reach the tasks as one broadcast if they are small, else in a join."""
+    If all wrappers are small, ``table`` is a broadcast of them by host and rows stay as
+    they are. Else it is None and rows have the wrappers' columns, by a join in which
+    each host is dealt out over ``SALTS`` tasks.
+    """
     size = wrappers.agg(F.sum(F.length(F.to_json(F.struct(*wrappers.columns))))).first()[0] or 0
-    return rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host")
+    if size <= BROADCAST_BYTES:
+        known = {r["host"]: tuple(r[c] for c in wrappers.columns if c != "host") for r in wrappers.collect()}
+        return rows, rows.sparkSession.sparkContext.broadcast(known)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)))
+    every = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(every, ["host", "salt"]).drop("salt"), None
+
+
+def known_of(batch: pa.RecordBatch, table: object) -> Iterator[tuple]:
+    """What is known of each row's host, as ``with_wrappers`` brought it."""
+    if table is not None:
+        return map(table.value.__getitem__, batch.column("host").to_pylist())
+    names = [n for n in ("wrapper", "holdings") if n in batch.schema.names]
+    return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 
 
 def host_holdings(pages: DataFrame, wrappers: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper, holdings): each wrapper with what its places hold over all pages of the host."""
-    rows = with_wrappers(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")), wrappers)
+    rows, table = with_wrappers(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")), wrappers)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: dict[str, Holdings] = defaultdict(Holdings)
-            for host, html, packed in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("wrapper"), strict=True):
-                page, wrapper = Page(html.as_py() or ""), compiled(packed.as_py())
+            for host, html, (packed, *_) in zip(batch.column("host").to_pylist(), batch.column("html"), known_of(batch, table), strict=True):
+                page, wrapper = Page(html.as_py() or ""), compiled(packed)
                 places = wrapper.places(page) if page.signs else None
                 if places is not None:
                     held[host].add(page, Reading(page), places, wrapper)
@@ -751,12 +818,13 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
             if len(extractors) > 256:
                 extractors.clear()
             found = []
-            for host, html, packed, holdings in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("wrapper"), batch.column("holdings"), strict=True):
+            for host, html, (packed, holdings) in zip(batch.column("host").to_pylist(), batch.column("html"), known_of(batch, table), strict=True):
                 if host not in extractors:
-                    extractors[host] = Extractor(packed.as_py(), [tuple(h.values()) for h in holdings.as_py() or []])
+                    extractors[host] = Extractor(packed, [tuple(h.values() if isinstance(h, dict) else h) for h in holdings or []])
                 found.append(extractors[host].extract(html.as_py()))
             texts = pa.array([f[0] for f in found], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts, pa.array([len(f[0]) for f in found], pa.int64()), batch.column("host"), pa.array([f[1] for f in found], pa.bool_())], names=["page_id", "url", "text", "n_chars", "host", "matched"])
 
     kind = dict(rows.dtypes)["page_id"]
-    return with_wrappers(rows, known).mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long, host string, matched boolean")
+    rows, table = with_wrappers(rows, known)
+    return rows.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long, host string, matched boolean")

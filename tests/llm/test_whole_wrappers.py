@@ -53,8 +53,8 @@ def test_batches_of_empty_pages_do_not_give_up_the_host(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(6, F.col("page_id"))
     one = wrappers.infer_wrappers(df.coalesce(1)).first().wrapper
     parts = [wrappers.infer_wrappers(df.where(f"page_id = {i}")).first().wrapper for i in range(6)]
-    assert json.loads(wrappers.combine(parts))[0] == json.loads(one)[0] != []
-    assert json.loads(wrappers.combine(parts[3:]))[0] is None
+    assert json.loads(wrappers.combine(parts)) == json.loads(one) != []
+    assert json.loads(wrappers.combine(parts[3:])) is None
 
 
 WORDS = "one two three four five six seven eight nine ten eleven twelve".split()
@@ -76,7 +76,7 @@ def test_the_expression_tells_template_from_text(spark, monkeypatch):
     found = texts(spark, [plain_page(i) for i in range(24)])
     assert found == {i: plain_text(i) for i in range(24)}
     monkeypatch.setattr(wrappers.Wrapper, "places", lambda *_: None)
-    without = wrappers.Extractor(wrappers.pack(None, 24), [])
+    without = wrappers.Extractor(wrappers.pack(None), [])
     assert all(without.extract(plain_page(i))[0] != found[i] for i in range(24))
 
 
@@ -110,10 +110,41 @@ def test_long_units_and_long_runs():
 
 def test_places_name_every_token():
     known = wrappers.unified({wrappers.fold("t p # /p p # /p u".split()), wrappers.fold("t p # /p li p # /p p # /p /li li p # /p /li u".split())})
-    w = wrappers.Wrapper(wrappers.pack(known, 2))
+    w = wrappers.Wrapper(wrappers.pack(known))
 
     class Shape:
         signs = "t p # /p li p # /p p # /p /li u".split()
 
     places = w.places(Shape)
     assert [w.signs[p] for p in places] == Shape.signs and places[2] != places[6] == places[9]
+
+
+def recipe(i: int) -> tuple[str, str]:
+    """A page and its main text: headings that recur on every page, a warning and an editor's note, an advert and reader comments."""
+    said = "".join(f'<div class="comment"><b>Reader {i * 7 + j}</b><p>Tasty, number {j} of {i}, thanks!</p></div>' for j in range(i % 3 + 1))
+    note = f'<div class="comment"><p>The editor tried version {i} twice.</p></div>'
+    html = (
+        f'<html><body><nav><a href="/">Home</a><a href="/all">All recipes</a></nav><article><h1>Dish {i} with leek</h1><p class="alert">Warning: oven at {150 + i} degrees.</p>'
+        f"<p>Take {i} leeks, cut them into rings and fry them slowly in plenty of butter.</p><h2>Ingredients</h2><p>{i} leeks, {i + 1} eggs and some salt</p>{note}"
+        f'<div class="advert">Buy our pans now</div><h2>References</h2><p>Book {i}, page {i + 3}, the usual kitchen.</p><section class="comments">{said}</section></article><footer>Imprint</footer></body></html>'
+    )
+    text = [f"Dish {i} with leek", f"Warning: oven at {150 + i} degrees.", f"Take {i} leeks, cut them into rings and fry them slowly in plenty of butter.", "Ingredients", f"{i} leeks, {i + 1} eggs and some salt"]
+    return html, "\n".join([*text, f"The editor tried version {i} twice.", "References", f"Book {i}, page {i + 3}, the usual kitchen."])
+
+
+@pytest.mark.parametrize("count", [2, 7, 8, 200])
+def test_recurring_headings_and_named_paragraphs_of_the_article_stay(spark, count):
+    made = [recipe(i) for i in range(2, count + 2)]
+    pages = spark.createDataFrame([(i, "https://kitchen.example/a", html) for i, (html, _) in enumerate(made)], "page_id long, url string, html string").repartition(min(count, 9))
+    found = {r.page_id: (r.text, r.matched) for r in wrappers.extract_pages(pages).collect()}
+    assert {i: t for i, (t, _) in found.items()} == {i: text for i, (_, text) in enumerate(made)}
+    assert all(m for _, m in found.values())
+
+
+def test_equal_wrappers_of_a_host_are_one_row_and_wrappers_may_be_joined(spark, monkeypatch):
+    made = [recipe(i) for i in range(2, 42)]
+    pages = spark.createDataFrame([(i, f"https://kitchen.example/{i}" if i % 4 else None, html) for i, (html, _) in enumerate(made)], "page_id long, url string, html string").repartition(40)
+    monkeypatch.setattr(wrappers, "BROADCAST_BYTES", 0)  # salted join
+    found = {r.page_id: r.text for r in wrappers.extract_pages(pages).collect()}
+    assert found == {i: text for i, (_, text) in enumerate(made)}
+    assert wrappers.infer_wrappers(pages).count() == 2
