@@ -60,11 +60,12 @@ DOCS = "select doc_id as chunk_id, text from documents"
 CHANGED_DOCS = "select doc_id as chunk_id, case when lang = 'es' then concat_ws(' ', text, source) else text end as text from documents where lang is distinct from 'fr'"
 ITEMS = "select item_id as query_id, text as query from benchmark"
 BOTH = "select doc_id as chunk_id, text, source, embedding::double[] as v from documents left join embeddings on doc_id = vec_id"
-ASK = "select chunk_id as query_id, string_split(text, chr(10))[1] as query from c where chunk_id % 50 = 0"
+ASKING = "select chunk_id as query_id, string_split(text, chr(10))[1] as query from c where chunk_id % 50 = 0"
+ASK = f"select * from ({ASKING}) where length(query) <= 4096 and trim(query) <> ''"
 DENSE = """
 dn as (select * from (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id)::int as rank from (
   select a.chunk_id as query_id, b.chunk_id, greatest(0, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))) as score
-  from c a, c b where a.chunk_id % 50 = 0 and a.v is not null and b.v is not null)) where rank <= 20)"""
+  from c a, c b where a.chunk_id in (select query_id from q) and a.v is not null and b.v is not null)) where rank <= 20)"""
 
 
 def fused(weights: str, grid: str = "") -> str:
@@ -89,7 +90,7 @@ fin as (select configuration, query_id, chunk_id, row_number() over (partition b
   union all select 'bm25', query_id, chunk_id, row_number() over (partition by query_id order by round(score, 4) desc, rank)::int from bm
   union all select 'dense', query_id, chunk_id, row_number() over (partition by query_id order by round(score, 4) desc, rank)::int from dn),
 ranks as (select g.configuration, q.query_id, min(fin.rank) as gold_rank
-  from q cross join (values ('bm25'), ('dense'), ('hybrid_k60'), ('hybrid_k20'), ('hybrid_k100'), ('weighted_70_30'), ('weighted_30_70')) as g(configuration)
+  from ({ASKING}) q cross join (values ('bm25'), ('dense'), ('hybrid_k60'), ('hybrid_k20'), ('hybrid_k100'), ('weighted_70_30'), ('weighted_30_70')) as g(configuration)
   left join fin on fin.configuration = g.configuration and fin.query_id = q.query_id and fin.chunk_id = q.query_id and fin.rank <= 10 group by all)"""
 POOL = f"""{bm25(BOTH, ASK, 20)}, {DENSE}, {fused('select 60 as k, 1.0::double as wd, 1.0::double as ws')},
 fin as (select query_id, chunk_id, rrf_score, row_number() over (partition by query_id order by round(rrf_score, 6) desc, pool)::int as rank, count(*) over (partition by query_id) as many from rr),
