@@ -219,3 +219,10 @@ def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(hadamard(x), axis=1), np.linalg.norm(x, axis=1))
     assert np.allclose(hadamard(hadamard(x)), x)
+
+
+def test_sets_that_share_a_key_are_told_apart_by_all_128_bits(spark, monkeypatch):
+    whole = N.key_of
+    monkeypatch.setattr(N, "key_of", lambda s: (whole(s)[0] % 5 if len(s) != 3 else whole(s)[0], whole(s)[1]))  # nearly all keys clash
+    rows = corpus(3, 25, 5, 4)
+    assert run(spark, rows, N.Join(4, 85)) == brute_components(rows, N.Join(4, 85))
