@@ -26,8 +26,8 @@ PATTERNS = [
 
 def codename_pattern(names: list[str] | None = None) -> str | None:
     """A pattern for the names, the defaults for an empty list; blank names are left out."""
-    own = [re.escape(n) for n in (names or CODENAMES) if n]
-    return rf"\b({'|'.join(own)})\b" if own else None
+    choices = "|".join(map(re.escape, filter(None, names or CODENAMES)))
+    return rf"\b({choices})\b" if choices else None
 
 
 def recognizers(codenames: list[str] | None = None) -> list[tuple[str, str]]:

@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import citations, is_full_refusal, normalize_match, safe_ratio, tokenize
 from tessera.operators.answers import citation_validity, cited_grounding
-
+from tessera.shared import written
 
 #: Items that are broadcast at most, and bytes of their texts.
 BROADCAST_ITEMS = 20_000
 BROADCAST_BYTES = 64_000_000
+#: (item, token) rows that are broadcast at most.
+BROADCAST_TOKENS = 500_000
+#: Different values of a group that are gathered to find a percentile, and pieces that more of them are cut into.
+BRACKET = 10_000
+GRID = 32
 
 
 def gain(rank: Column, k: int = 10) -> Column:
@@ -107,22 +113,33 @@ def demotions(ranks: DataFrame) -> DataFrame:
 def containment_pairs(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, chunk_id) where a document (chunk_id, text) contains an item's text (query_id, text) verbatim.
 
-    An item's longest inner token must be a token of any document that contains it,
-    which makes the theta join an equi-join on that token; items of fewer than three
-    tokens meet the documents that have their first characters, three at most, in a row.
+    A document that contains an item has all of the item's inner tokens (those at its ends may
+    be parts of longer ones). Of these the rarest by document frequency stands for the item,
+    the longer and then the smaller one of equals; documents are matched by (id, token) rows
+    without their texts, then by the other inner tokens, and only what is left is read as
+    text. Items of fewer than three tokens meet the documents that have their first characters,
+    three at most, in a row.
     """
     own = items.where(F.coalesce("text", F.lit("")) != "").select("query_id", F.col("text").alias("expected"), tokenize(F.col("text")).alias("tokens"))
-    inner = F.slice("tokens", 2, F.greatest(F.size("tokens") - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    keyed = own.withColumn("key", F.when(F.size("tokens") > 2, longest)).drop("tokens")
-    tokens = documents.select("chunk_id", "text", F.explode(F.array_distinct(tokenize(F.coalesce("text", F.lit(""))))).alias("key"))
-    hint = F.broadcast if keyed.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS and not keyed.where(F.octet_length("expected") > BROADCAST_BYTES // BROADCAST_ITEMS).limit(1).count() else (lambda x: x)
-    near = tokens.join(hint(keyed.where("key is not null")), "key")
-    found = near.where(F.contains("text", "expected")).select("query_id", "chunk_id")
-    short = keyed.where("key is null").select("query_id", "expected", F.substring("expected", 1, 3).alias("key"))
+    inner = own.where(F.size("tokens") > 2).select("query_id", "expected", F.array_distinct(F.slice("tokens", 2, F.size("tokens") - 2)).alias("inner"))
+    asked = inner.select("query_id", F.explode("inner").alias("token"))
+    held = documents.where(F.col("chunk_id").isNotNull()).select("chunk_id", F.explode(F.array_distinct(tokenize(F.coalesce("text", F.lit(""))))).alias("token"))
+    met = written(held.join(small(asked.select("token").distinct(), BROADCAST_TOKENS), "token", "left_semi"), "met-tokens")  # ids and tokens of items alone
+    df = met.groupBy("token").agg(F.count("*").alias("df"))
+    counted = asked.join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = counted.groupBy("query_id").agg(F.min(F.struct("df", (-F.length("token")).alias("n"), "token")).alias("r"), F.count("*").alias("needed")).where(F.col("r.df") > 0)
+    keyed = written(rarest.select("query_id", F.col("r.token").alias("token"), "needed"), "rarest-tokens")
+    near = met.join(small(keyed, BROADCAST_ITEMS), "token").select("query_id", "chunk_id", "needed")
+    others = near.join(small(asked, BROADCAST_TOKENS), "query_id").join(met, ["chunk_id", "token"])
+    likely = written(others.groupBy("query_id", "chunk_id", "needed").agg(F.count("*").alias("has")).where(F.col("has") >= F.col("needed")).select("query_id", "chunk_id"), "likely")
+    texts = documents.join(small(likely.select("chunk_id").distinct(), BROADCAST_ITEMS), "chunk_id", "left_semi").select("chunk_id", "text")
+    found = likely.join(texts, "chunk_id").join(inner.select("query_id", "expected"), "query_id").where(F.contains("text", "expected")).select("query_id", "chunk_id")
+    short = own.where(F.size("tokens") <= 2).select("query_id", "expected", F.substring("expected", 1, 3).alias("key"))
     for r in short.select(F.length("key").alias("n")).distinct().collect():  # 1, 2 or 3
-        begins = documents.select("chunk_id", "text", F.explode(F.array_distinct(grams(F.col("text"), r.n))).alias("key"))
-        found = found.union(begins.join(hint(short.where(F.length("key") == r.n)), "key").where(F.contains("text", "expected")).select("query_id", "chunk_id"))
+        some = small(short.where(F.length("key") == r.n), BROADCAST_ITEMS)
+        begins = documents.select("chunk_id", F.explode(F.array_distinct(grams(F.col("text"), r.n))).alias("key"))
+        pairs = begins.join(some.select("query_id", "key"), "key").select("query_id", "chunk_id")
+        found = found.union(pairs.join(documents.select("chunk_id", "text"), "chunk_id").join(some.select("query_id", "expected"), "query_id").where(F.contains("text", "expected")).select("query_id", "chunk_id"))
     return found.distinct()
 
 
@@ -155,8 +172,53 @@ def hits_by_category(ranks: DataFrame, categories: list[str], by: list[str], ran
 
 def latency(timed: DataFrame, by: str, seconds: str) -> DataFrame:
     """Mean and 95th percentile of the milliseconds of each group."""
-    ms = F.col(seconds) * 1000
-    return timed.groupBy(by).agg(F.avg(ms).alias("mean_ms"), F.percentile(ms, 0.95).alias("p95_ms"))
+    ms = timed.select(by, (F.col(seconds) * 1000).alias("ms"))
+    means = ms.groupBy(by).agg(F.avg("ms").alias("mean_ms"))
+    tails = exact_percentile(ms, [by], "ms", 0.95).withColumnRenamed("percentile", "p95_ms")
+    return means.join(tails, means[by].eqNullSafe(tails[by]), "left").select(means[by], "mean_ms", "p95_ms")
+
+
+def exact_percentile(rows: DataFrame, by: list[str], value: str, share: float, bracket: int = BRACKET) -> DataFrame:
+    """(by, percentile): exact and interpolated as ``percentile`` is, from buffers of a bounded size; nulls are not counted.
+
+    Equal values are one row with a count. In groups of more than ``bracket`` different values,
+    a mergeable quantile sketch cuts them into pieces, the pieces are counted exactly, and
+    the piece (or two) with the wanted ranks is what the next round looks at.
+    """
+    names = [f"k{i}" for i in range(len(by))]
+    keys = [F.col(c).alias(n) for c, n in zip(by, names, strict=True)]
+    values = written(rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n")), "counted")
+    whole = values.groupBy(*names).agg(F.sum("n").alias("total"), F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("inside"), F.lit(0).cast("long").alias("below"))
+    found = written(whole, "brackets")
+    first, last = F.floor((F.col("total") - 1) * F.lit(share)), F.ceil((F.col("total") - 1) * F.lit(share))
+    grid = F.array(*[F.lit(i / GRID) for i in range(1, GRID)])
+
+    def among(state: DataFrame) -> DataFrame:
+        """The values between a group's low and high, with what is known of the group."""
+        renamed = small(state.select(*[F.col(n).alias(f"of_{n}") for n in names], *[c for c in state.columns if c not in names]), BROADCAST_ITEMS)
+        on = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"of_{n}")) for n in names], F.lit(True))
+        return values.join(renamed, on).where(F.col("x").between(F.col("low"), F.col("high"))).drop(*[f"of_{n}" for n in names])
+
+    while not (wide := found.where((F.col("inside") > bracket) & (F.col("low") < F.col("high")))).isEmpty():
+        cuts = among(wide).groupBy(*names).agg(F.approx_percentile("x", grid, F.lit(100 * GRID)).alias("cuts"), *[F.first(c).alias(c) for c in ("total", "low", "high", "below")])
+        piece = F.size(F.filter("cuts", lambda c: c < F.col("x")))
+        pieces = among(cuts).withColumn("piece", piece).groupBy(*names, "piece").agg(F.sum("n").alias("n"), F.count("*").alias("inside"), F.min("x").alias("low"), F.max("x").alias("high"), F.first("total").alias("total"), F.first("below").alias("below"))
+        ends = F.col("below") + F.sum("n").over(Window.partitionBy(*names).orderBy("piece"))  # at most GRID rows a group
+        placed = pieces.withColumn("upto", ends).withColumn("from", F.col("upto") - F.col("n"))
+        wanted = placed.where((F.col("from") <= last) & (F.col("upto") > first))
+        again = wanted.groupBy(*names).agg(F.first("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("inside").alias("inside"), F.min("from").alias("below"))
+        found = written(found.where((F.col("inside") <= bracket) | (F.col("low") >= F.col("high"))).unionByName(again), "brackets")
+
+    lists = among(found).groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("x", "n"))).alias("values"), F.first("total").alias("total"), F.first("below").alias("below"))
+    # of the values in order, the one with which the count passes a rank
+    passed = lambda rank: F.aggregate("values", F.struct(F.col("below").alias("upto"), F.lit(None).cast("double").alias("x")), lambda a, v: F.struct((a["upto"] + v["n"]).alias("upto"), F.when(a["x"].isNull() & (a["upto"] + v["n"] > rank), v["x"]).otherwise(a["x"]).alias("x")))["x"]
+    low, high = passed(first), passed(last)
+    return lists.select(*[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], (low + (high - low) * ((F.col("total") - 1) * F.lit(share) - first)).alias("percentile"))
+
+
+def small(frame: DataFrame, bound: int) -> DataFrame:
+    """``frame`` with a broadcast hint if it has at most ``bound`` rows."""
+    return F.broadcast(frame) if frame.limit(bound + 1).count() <= bound else frame
 
 
 def faithfulness(cases: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import DEFAULTS, Settings
 from tessera.functions.text import normalize_dedup, routing_warning, safe_ratio
+from tessera.shared import written
 
 #: Exemplars are a small, hand-kept table; a larger one is refused.
 EXEMPLAR_BOUND = 20_000
@@ -88,11 +89,23 @@ def leaked(evaluation: DataFrame, training: DataFrame, text_col: str = "text") -
 
 
 def adjacent_similarity(rows: DataFrame, group: list[str], order: str, vector: str = "v") -> DataFrame:
-    """Cosine of every row's vector with the one before it in its group."""
+    """Cosine of every row's vector with the one before it in its group, in ``order``; a group's first row has none and is left out.
+
+    Rows are dealt into ranges of (group, order), as many as there are shuffle partitions,
+    so that a group of any size is many tasks' work; the last row of each range is
+    handed on to the next one that has rows. Rows of one group and place are in no certain order.
+    """
     from tessera.functions.vectors import cosine
 
-    before = F.lag(vector).over(Window.partitionBy(*group).orderBy(order))
-    return rows.withColumn("before", before).where(F.col("before").isNotNull()).withColumn("similarity", cosine(F.col(vector), F.col("before"))).drop("before")
+    dealt = rows.repartitionByRange(*group, order).withColumn("_range", F.spark_partition_id())
+    ranged = written(dealt, "ranges")  # ranges come from a sample, and must not be drawn anew
+    place = F.struct(*group, order)
+    last = ranged.groupBy("_range").agg(F.max_by(F.struct(F.col(vector).alias("v"), F.struct(*group).alias("g")), place).alias("_carried"))  # a row a range
+    carried = last.select("_range", F.lag("_carried").over(Window.partitionBy(F.lit(0)).orderBy("_range")).alias("_carried"))
+    own = F.lag(F.struct(F.col(vector).alias("v"), F.struct(*group).alias("g"))).over(Window.partitionBy("_range").orderBy(*group, order))
+    before = ranged.withColumn("_own", own).join(F.broadcast(carried), "_range").withColumn("_before", F.coalesce("_own", "_carried"))
+    same = before.where(F.col("_before.v").isNotNull() & F.col("_before.g").eqNullSafe(F.struct(*group)))
+    return same.withColumn("similarity", cosine(F.col(vector), F.col("_before.v"))).drop("_range", "_own", "_carried", "_before")
 
 
 def routing_result(routed: DataFrame, threshold: float = DEFAULTS.router_threshold) -> DataFrame:

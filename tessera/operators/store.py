@@ -6,14 +6,17 @@ new rows, written beside the old files of the touched buckets and swapped in by
 
 from __future__ import annotations
 
-import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import STRATEGIES
 from tessera.functions.text import content_hash
+from tessera.operators.commits import Commits, ConflictError, Manifest
 
+RETRIES = 20
 KEY = ["doc_id", "strategy", "page", "chunk_idx"]
 
 
@@ -75,40 +78,29 @@ class ChunkStore:
     """Versions of the table under one path; a reader sees the last complete version.
 
     Chunks are dealt into ``buckets`` by a hash of their document. A version writes only
-    the buckets that it changes; its manifest, written last, names the version that
+    the buckets that it changes; its manifest, created last, names the folder that
     holds each bucket, so that an upsert costs what it touches and not the whole table.
-    One writer at a time.
+    Several writers may work at the same time: one that finds that a bucket it has
+    read was changed meanwhile reads it again, others are committed one on top of the other.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
+        self.spark, self.buckets, self.commits = spark, buckets, Commits(spark, path)
+        self.path = self.commits.path
 
     def versions(self) -> list[int]:
         """Numbers of complete versions: those that have a manifest."""
-        fs, root = self._fs()
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("m") and n.endswith(".json"))
-
-    def manifest(self) -> dict[int, int]:
-        """Which version holds each bucket that has chunks."""
-        held = self.versions()
-        if not held:
-            return {}
-        text = self.spark.read.text(f"{self.path}/m{held[-1]}.json", wholetext=True).first()[0]
-        return {int(k): v for k, v in json.loads(text).items()}
-
-    def _read(self, manifest: dict[int, int]) -> DataFrame | None:
+        return self.commits.versions()
+
+    def manifest(self) -> dict[int, str]:
+        """Which folder holds each bucket that has chunks."""
+        return held_by(self.commits.read()[1])
+
+    def _read(self, manifest: dict[int, str]) -> DataFrame | None:
         out = None
-        for version in sorted(set(manifest.values())):
-            paths = [f"{self.path}/v{version}/bucket={b}" for b, v in sorted(manifest.items()) if v == version]
-            part = self.spark.read.option("basePath", f"{self.path}/v{version}").parquet(*paths).drop("bucket")
+        for folder in sorted(set(manifest.values())):
+            paths = [f"{self.path}/{folder}/bucket={b}" for b, f in sorted(manifest.items()) if f == folder]
+            part = self.spark.read.option("basePath", f"{self.path}/{folder}").parquet(*paths).drop("bucket")
             out = part if out is None else out.unionByName(part)
         return out
 
@@ -118,36 +110,53 @@ class ChunkStore:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
 
-    def _replace(self, chunks: DataFrame, touched: list[int]) -> int:
-        """A new version in which the touched buckets hold ``chunks`` alone."""
-        version, manifest = max(self.versions(), default=0) + 1, self.manifest()
-        chunks.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket", "strategy").parquet(f"{self.path}/v{version}")
-        fs, root = self._fs()
-        made = self.spark._jvm.org.apache.hadoop.fs.Path
-        full = {b for b in touched if fs.exists(made(f"{self.path}/v{version}/bucket={b}"))}
-        manifest = {b: v for b, v in manifest.items() if b not in touched} | dict.fromkeys(full, version)
-        out = fs.create(made(f"{self.path}/.m{version}.part"), True)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        if not fs.rename(made(f"{self.path}/.m{version}.part"), made(f"{self.path}/m{version}.json")):
-            raise OSError(f"version {version} was written by another writer")
-        return version
+    def _replace(self, touched: list[int], make: Callable[[DataFrame | None], DataFrame | None]) -> int:
+        """A new version in which the touched buckets hold what ``make`` gives for what they held; 0 if it gives None."""
+        for _ in range(RETRIES):
+            base, manifest = self.commits.read()
+            own = {b: f for b, f in held_by(manifest).items() if b in touched}
+            chunks = make(self._read(own))
+            if chunks is None:
+                return 0
+            folder = f"v-{uuid.uuid4().hex}"
+            chunks.withColumn("bucket", self._bucket()).write.partitionBy("bucket", "strategy").parquet(f"{self.path}/{folder}")
+            made = self.commits.file_system()
+            full = {b: folder for b in touched if made.exists(self.commits.hadoop_path(f"{folder}/bucket={b}"))}
+
+            def conflicts(now: Manifest, own=own) -> str | None:
+                return None if {b: f for b, f in held_by(now).items() if b in touched} == own else "a bucket was changed by another writer"
+
+            try:
+                return self.commits.change(base, lambda now, full=full: {"buckets": {b: f for b, f in held_by(now).items() if b not in touched} | full}, conflicts)
+            except ConflictError:
+                self.commits.remove(folder)
+        raise ConflictError(f"other writers were first {RETRIES} times")
 
     def add(self, new: DataFrame) -> int:
         """Upsert; returns the new version."""
         touched = [r[0] for r in new.select(self._bucket()).distinct().collect()]  # at most ``buckets``
-        old = self._read({b: v for b, v in self.manifest().items() if b in touched})
-        return self._replace(upsert(new.limit(0) if old is None else old.select(*new.columns), new), touched)
+        return self._replace(touched, lambda old: upsert(new.limit(0) if old is None else old.select(*new.columns), new))
 
     def delete(self, doc_id) -> int:
         """Remove a document from all strategies; returns how many chunks went."""
         bucket = self.spark.createDataFrame([(doc_id,)], "doc_id long").select(self._bucket()).first()[0]
-        old = self._read({b: v for b, v in self.manifest().items() if b == bucket})
-        if old is None:
-            return 0
-        gone = old.where(F.col("doc_id").eqNullSafe(F.lit(doc_id))).count()
-        if gone:
-            self._replace(without_document(old, doc_id), [bucket])
+        gone = 0
+
+        def without(old: DataFrame | None) -> DataFrame | None:
+            nonlocal gone
+            gone = 0 if old is None else old.where(F.col("doc_id").eqNullSafe(F.lit(doc_id))).count()
+            return without_document(old, doc_id) if gone else None
+
+        self._replace([bucket], without)
+        return gone
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Remove folders that none of the last ``keep`` versions names, and older manifests; readers and writers of these must have ended."""
+        versions = self.versions()
+        used = {f for v in versions[-keep:] for f in held_by(self.commits.read(v)[1]).values()}
+        gone = [f for f in self.commits.folders() if f not in used]
+        for name in [*gone, *(f"m{v}.json" for v in versions[:-keep])]:
+            self.commits.remove(name)
         return gone
 
     def strategy(self, name: str) -> DataFrame | None:
@@ -156,3 +165,7 @@ class ChunkStore:
             raise ValueError(f"unknown strategy: {name}")
         held = self.read()
         return None if held is None else held.where(F.col("strategy") == name)
+
+
+def held_by(manifest: Manifest) -> dict[int, str]:
+    return {int(b): folder for b, folder in manifest.get("buckets", {}).items()}

@@ -198,6 +198,15 @@ ba as (select *, list_filter(cs, lambda x: x >= 1 and x <= len(contexts)) as ok
 fa as (select *, {factual('answer', STOP)} as mine, array_to_string(case when len(cs) > 0 then list_transform(ok, lambda x: contexts[x]) else contexts end, chr(10)) as base from ba),
 lo as (select *, list_filter(mine, lambda w: not list_contains({factual('base', '[]')}, w)) as lost from fa),
 marked as (select id, category, expected_refusal, refused, case when refused or len(mine) = 0 then 1.0 else round(1 - len(lost)::double / len(mine), 4) end as grounding, not refused and len(lost) > 0 as flagged, len(cs)::int as citations, len(ok)::int as valid from lo)"""
+DOCUMENT_CASES = f"""leads as (select doc_id, text, {LEAD} as s from documents),
+facts as (select item_id, text, {LEAD} as s from benchmark),
+said as (select item_id, list_filter([f.text, own.text], lambda t: t is not null) as contexts, f.s as mine, other.s as foreign_s
+  from facts f left join leads own on own.doc_id = item_id left join leads other on other.doc_id = item_id + 1),
+cases as (select item_id || '-' || k as id, k as category, contexts, k = 'refusal' as expected_refusal,
+  case when k = 'refusal' or coalesce(t, '') = '' then '{REFUSAL}' else case when length(t) > 160 then substr(t, 1, 157) || '...' else t end || ' [1]' end as answer
+  from (select *, case k when 'grounded' then mine when 'hallucination' then foreign_s end as t from said cross join (values ('grounded'), ('hallucination'), ('refusal')) as v(k)))"""
+FAITHFUL_DOCUMENTS = FAITHFUL.replace(CASES, DOCUMENT_CASES)
+LAST_SAID = "select conv_id as query_id, text as query from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations where role = 'user') where r = 1 and length(text) <= 4096"
 FAITHFUL_SUMS = """count(*) as cases, round(avg(case when not expected_refusal then (citations > 0)::int end) * 100, 2) as citation_presence,
 round(coalesce(sum(case when not expected_refusal then valid end) * 100.0 / nullif(sum(case when not expected_refusal then citations end), 0), 100), 2) as citation_precision,
 round(avg(grounding) * 100, 2) as grounding, round(avg(case when expected_refusal then refused::int end) * 100, 2) as refusal_accuracy,
@@ -327,6 +336,16 @@ union all select 5, 'gateway_requests_total{{intent="' || event_type || '",statu
     "query_responses": f"with {RESPONSES} select item_id as query_id, case when length(text) > 200 then 400 else 200 end as status, case when length(text) > 200 then 'Query length (' || length(text) || ') exceeds maximum limit of 200 characters.' end as detail, case when length(text) <= 200 then coalesce(n, 0) end as total_retrieved, chunk_ids from benchmark left join ids on query_id = item_id",
     "answer_sources": f"with {SOURCES} select query_id, answer, coalesce(n, 0) as n_sources, sources, case when n is null then 0 else {count_tokens('prompt')} end as prompt_tokens, case when n is null then 0 else {count_tokens('answer')} end as completion_tokens from pr",
     "unanswerable_refusals": f"with {bm25(DOCS, UNKNOWN, 3)} select count(*) as cases, avg(case when query_id in (select query_id from bm) then 0.0 else 100.0 end) as refusal_accuracy from q",
+    "faithfulness_documents": f"with {FAITHFUL_DOCUMENTS} select * from marked",
+    "faithfulness_documents_by_kind": f"with {FAITHFUL_DOCUMENTS} select category, {FAITHFUL_SUMS} from marked group by category union all select 'all', {FAITHFUL_SUMS} from marked",
+    "refusals_by_threshold": f"""with {bm25(DOCS, LAST_SAID, 20)},
+      lx as (select query_id, max(case when many = 1 then 1.0 when len(asked) = 0 then 0.0 else len(list_intersect(asked, {tokens('c.text')}))::double / len(asked) end) as best
+        from (select *, count(*) over (partition by query_id) as many from bm) b join (select *, list_distinct({tokens('query')}) as asked from q) a using (query_id) join c using (chunk_id) group by query_id)
+      select query_id, coalesce(round(best, 4) < 0.6, true) as refused from q left join lx using (query_id)""",
+    "requests_in_flight_by_minute": """with ev as (select epoch_us(ts) as s, epoch_us(ts) + floor(value * 1000000)::bigint as e from events where ts is not null and value >= 0),
+      ch as (select moment, sum(d)::bigint as d from (select s as moment, 1 as d from ev union all select e, -1 from ev) group by moment),
+      fl as (select *, sum(d) over (order by moment)::bigint as flying from ch)
+      select strftime(make_timestamp((moment // 60000000) * 60000000), '%Y-%m-%d %H:%M:%S') as unit_start, greatest(max(flying), min_by(flying - d, moment))::bigint as peak, max_by(flying, moment)::bigint as current from fl group by moment // 60000000""",
     "faithfulness_cases": f"with {FAITHFUL} select * from marked",
     "faithfulness_by_kind": f"with {FAITHFUL} select category, {FAITHFUL_SUMS} from marked group by category union all select 'all', {FAITHFUL_SUMS} from marked",
     "downgrade_reasons": "select event_id, case event_id % 11 when 0 then 'rag_service_offline' when 1 then 'rag_timeout' when 2 then 'rag_exception_ValueError' else case when event_id % 5 = 0 then 'rag_status_503' when event_id % 5 = 1 then 'rag_status_404' when event_id % 4 = 0 then 'no_documents_indexed' end end as reason, case when event_id % 2 = 0 then 'http://host/v1/chat/completions' else 'http://host/x/v1/chat/completions' end as url from events",

@@ -13,6 +13,7 @@ from tessera.functions.text import count_tokens
 from tessera.operators.answers import budgeted, prompts, sources_of, stub_answers
 from tessera.operators.bm25 import bm25_top_k
 from tessera.operators.dense import dense_top_k
+from tessera.operators.dense_index import DenseIndex
 from tessera.operators.fusion import final_cut, reciprocal_rank_fusion, result_items
 from tessera.operators.posting_index import PostingIndex
 from tessera.operators.rerank import Scorer, rerank
@@ -25,8 +26,10 @@ def askable(queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return queries.where((F.trim(F.coalesce("query", F.lit(""))) != "") & (F.length("query") <= settings.max_query_chars))
 
 
-def ranked_list(kind: str, chunks: DataFrame, asked: DataFrame, allowed: DataFrame | None, settings: Settings, index: PostingIndex | None = None) -> DataFrame:
+def ranked_list(kind: str, chunks: DataFrame, asked: DataFrame, allowed: DataFrame | None, settings: Settings, index: PostingIndex | None = None, dense: DenseIndex | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the ``retrieve_k`` best of one kind, sparse or dense."""
+    if kind == "dense" and dense is not None and allowed is None:
+        return dense.search(asked, settings.retrieve_k, query_id="query_id", query_vector="v")
     if kind == "sparse" and index is not None:
         return index.top_k(asked, settings.retrieve_k, allowed=allowed)
     if kind == "sparse":
@@ -46,15 +49,16 @@ def kinds_of(mode: str) -> list[str]:
     return ["dense", "sparse"] if mode == "hybrid" else [mode]
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, *, mode: str = "hybrid", scorer: Scorer | None = None, allowed: DataFrame | None = None, index: PostingIndex | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, *, mode: str = "hybrid", scorer: Scorer | None = None, allowed: DataFrame | None = None, index: PostingIndex | None = None, dense: DenseIndex | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """Result items (query_id, chunk_id, text, source, page, scores, rank).
 
     Chunks have chunk_id, text, source, page and, for dense parts, v; queries have
     query_id, query and v. An unknown mode is dense; blank queries give nothing. With an
-    ``index`` of these chunks, sparse parts read its postings and not the texts.
+    ``index`` of these chunks, sparse parts read its postings and not the texts; with a
+    ``dense`` index, dense parts are approximate, unless ``allowed`` restricts them.
     """
     asked, mode = askable(queries, settings), MODES.get(mode, "dense")
-    lists = {kind: ranked_list(kind, chunks, asked, allowed, settings, index) for kind in kinds_of(mode)}
+    lists = {kind: ranked_list(kind, chunks, asked, allowed, settings, index, dense) for kind in kinds_of(mode)}
     found, by, digits = candidates(mode, lists, settings)
     if scorer is None:
         return result_items(final_cut(found, by, settings.final_k, digits), chunks)

@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.cases import ANSWER_CASES, UNANSWERABLE
-from tessera.config import DEFAULTS
+from tessera.config import DEFAULTS, REFUSAL
 from tessera.functions import pii, text
 from tessera.operators import answers, conversations, evaluation, router, store
 from tessera.operators.bm25 import bm25_top_k, corpus_stats, term_stats
 from tessera.operators.chunking import chunk_pages, register_chunkers
 from tessera.operators.dense import dense_top_k
+from tessera.operators.dense_index import DenseIndex
 from tessera.operators.posting_index import PostingIndex
 from tessera.operators.rerank import blended, lexical_overlap, partial_rerank, rerank
 from tessera.plans.retrieval import BENCHMARK, answer, respond, retrieve, sweep
@@ -28,7 +29,7 @@ from tessera.shared import shared_path
 from tessera.sources.readers import read_text_table
 from tessera.sources.sinks import exposition
 from tessera.streaming.limiter import rate_limit
-from tessera.streaming.live import request_counters, request_totals, windowed_counters
+from tessera.streaming.live import request_counters, request_totals, requests_in_flight, windowed_counters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,6 +126,23 @@ def dense_scoped(spark, sf_dir):
     return rounded(dense_top_k(v, v.where("vec_id % 50 = 0"), 5, allowed=allowed), "score")
 
 
+@query
+def dense_ivf_topk(spark, sf_dir):
+    """The approximate index, with its numbers fitted for the recall of 0.95; no SQL, as what it misses depends on them."""
+    v = load(spark, sf_dir, "embeddings")
+    return rounded(DenseIndex.build(v).search(v.where("vec_id % 50 = 0"), 20, skip_self=True), "score")
+
+
+@query
+def dense_ivf_recall(spark, sf_dir):
+    """One row: of the true neighbours of all queries, the share that the approximate index finds."""
+    v = load(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 50 = 0")
+    found = DenseIndex.build(v).search(asked, 20, skip_self=True).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    true = dense_top_k(v, asked, 20, skip_self=True).select("query_id", "chunk_id").join(found, ["query_id", "chunk_id"], "left")
+    return true.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("neighbours"), F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
+
+
 def _hybrid(spark, sf_dir, **changes):
     chunks, asked = shared(spark, sf_dir)
     found = retrieve(chunks, asked, mode="hybrid", settings=replace(DEFAULTS, final_k=20, **changes))
@@ -451,11 +469,11 @@ def chunk_semantic(spark, sf_dir):
 
 
 def _router(spark, sf_dir):
-    """The first vectors of every label are its exemplars; all others ask."""
-    order = Window.partitionBy("label").orderBy("vec_id")
-    rows = load(spark, sf_dir, "embeddings").withColumn("n", F.row_number().over(order))
-    bank = rows.where(F.col("n") <= EXEMPLARS).select(F.col("vec_id").alias("exemplar_id"), F.col("label").cast("string").alias("intent"), F.col("embedding").alias("v"))
-    asked = rows.where(F.col("n") > EXEMPLARS).select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("actual"), F.col("embedding").alias("v"))
+    """The first vectors of every label are its exemplars, kept task by task; all others ask."""
+    vectors = load(spark, sf_dir, "embeddings")
+    first = vectors.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where(F.col("n") <= EXEMPLARS)
+    bank = first.select(F.col("vec_id").alias("exemplar_id"), F.col("label").cast("string").alias("intent"), F.col("embedding").alias("v"))
+    asked = vectors.join(F.broadcast(first.select("vec_id")), "vec_id", "left_anti").select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("actual"), F.col("embedding").alias("v"))
     return router.intent_scores(asked, bank), asked.drop("v")
 
 
@@ -608,6 +626,12 @@ def request_metrics(spark, sf_dir):
     return rounded(request_counters(_requests(spark, sf_dir), status="code", sums=TOTALS), "duration_sum", digits=3)
 
 
+@query
+def requests_in_flight_by_minute(spark, sf_dir):
+    """Events as requests that take as many seconds as their value says."""
+    return requests_in_flight(load(spark, sf_dir, "events")).withColumn("unit_start", F.date_format("unit_start", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query
 def request_windows(spark, sf_dir):
     return windowed_counters(load(spark, sf_dir, "events")).select(F.col("start").cast("string").alias("start"), "intent", "requests")
@@ -677,6 +701,39 @@ def faithfulness_by_kind(spark, sf_dir):
     return evaluation.faithfulness_summary(marked, ["category"]).union(evaluation.faithfulness_summary(marked).select(F.lit("all").alias("category"), "*"))
 
 
+def _document_cases(spark, sf_dir):
+    """Cases of every benchmark item: its own lead sentence, that of a document it does not cite, and a refusal.
+
+    The contexts are the item and the document with the item's number, the foreign answer is of the next document.
+    """
+    docs = documents(spark, sf_dir).select("doc_id", F.col("text").alias("doc_text"))
+    items = load(spark, sf_dir, "benchmark").join(docs.withColumnRenamed("doc_id", "item_id"), "item_id", "left")
+    foreign = docs.select((F.col("doc_id") - 1).alias("item_id"), F.col("doc_text").alias("foreign"))
+    kinds = {"grounded": text.lead_answer(F.col("text")), "hallucination": text.lead_answer(F.col("foreign")), "refusal": F.lit(REFUSAL)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("category"), a.alias("answer")) for k, a in kinds.items()]))
+    cases = items.join(foreign, "item_id", "left").select("item_id", F.filter(F.array("text", "doc_text"), F.isnotnull).alias("contexts"), each.alias("x"))
+    return cases.select(F.concat_ws("-", "item_id", "x.category").alias("id"), "x.category", "contexts", "x.answer", (F.col("x.category") == "refusal").alias("expected_refusal"))
+
+
+@query
+def faithfulness_documents(spark, sf_dir):
+    return evaluation.faithfulness(_document_cases(spark, sf_dir))
+
+
+@query
+def faithfulness_documents_by_kind(spark, sf_dir):
+    marked = evaluation.faithfulness(_document_cases(spark, sf_dir))
+    return evaluation.faithfulness_summary(marked, ["category"]).union(evaluation.faithfulness_summary(marked).select(F.lit("all").alias("category"), "*"))
+
+
+@query
+def refusals_by_threshold(spark, sf_dir):
+    """The last thing that each user says, asked of the documents: refused where no retrieved text has 60 % of its words."""
+    asked = conversations.last_user_turn(load(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
+    found = answer(_plain_chunks(spark, sf_dir), asked, mode="sparse", scorer=lexical_overlap, threshold=0.6)
+    return found.where("status = 200").select("query_id", text.is_full_refusal(F.col("answer")).alias("refused"))
+
+
 @query
 def downgrade_reasons(spark, sf_dir):
     n = F.col("event_id")
