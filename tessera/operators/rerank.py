@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import sigmoid, tokenize
 
+#: Distinct query tokens that are broadcast at most.
+BROADCAST_TERMS = 500_000
 #: A scorer of (query, text); a pandas function over a model fits as well.
 Scorer = Callable[[Column, Column], Column]
 
@@ -19,6 +21,58 @@ def lexical_overlap(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, tokenize(text))).cast("double"), F.size(asked)), F.lit(0.0))
 
 
+def term_weights(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, asked): each query's tokens in order as (place, token, idf), with IDF over all ``chunks`` (text).
+
+    Only tokens of queries are counted; the chunks' tokens never leave their task but as
+    one row a distinct token and chunk of those.
+    """
+    words = queries.select("query_id", F.posexplode(tokenize(F.coalesce("query", F.lit("")))).alias("place", "token"))
+    wanted = words.select("token").distinct()
+    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else wanted
+    held = chunks.select(F.explode(F.array_distinct(tokenize(F.coalesce("text", F.lit(""))))).alias("token")).join(wanted, "token", "left_semi")
+    df = held.groupBy("token").agg(F.count("*").alias("df"))
+    total = chunks.agg(F.count("*").alias("n_chunks"))
+    idf = F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    known = words.join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))).crossJoin(F.broadcast(total))
+    return known.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "token", idf.alias("idf")))).alias("asked"))
+
+
+def interaction(asked: Column, text: Column) -> Column:
+    """Late interaction: how well each query token is met by its best place in the text, weighted by IDF; 0 to 1.
+
+    A place is as good as what it shares with the query's: half for the token, a quarter for
+    each neighbour that follows or precedes it there as in the query; a query's first
+    and last token have fewer neighbours to share. A query without tokens scores 0.
+    """
+    words = tokenize(F.coalesce(text, F.lit("")))
+    joined = lambda left, right: F.concat_ws(" ", left, right)
+    query = F.transform(asked, lambda a: a["token"])
+    pairs_of = lambda t: F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), joined)).otherwise(F.array().cast("array<string>"))
+    met, met_pairs = F.array_intersect(query, words), F.array_intersect(pairs_of(query), pairs_of(words))
+
+    def place(found: Column) -> Column:
+        last = F.size(asked) - 1
+        one = lambda there: there.cast("double")
+
+        def value(a: Column, i: Column) -> Column:
+            before, after = F.get(query, i - 1), F.get(query, i + 1)
+            shared = 2 * one(F.array_contains(found["met"], a["token"])) + F.when(i > 0, one(F.array_contains(found["pairs"], joined(before, a["token"])))).otherwise(0.0) + F.when(i < last, one(F.array_contains(found["pairs"], joined(a["token"], after)))).otherwise(0.0)
+            return a["idf"] * shared / (2 + (i > 0).cast("int") + (i < last).cast("int"))
+
+        return F.aggregate(F.transform(asked, value), F.lit(0.0), lambda s, x: s + x)
+
+    found = F.struct(F.coalesce(met, F.array().cast("array<string>")).alias("met"), F.coalesce(met_pairs, F.array().cast("array<string>")).alias("pairs"))
+    whole = F.aggregate(asked, F.lit(0.0), lambda s, a: s + a["idf"])
+    return F.coalesce(F.try_divide(F.transform(F.array(found), place)[0], whole), F.lit(0.0))
+
+
+def rerank_by_interaction(candidates: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """``rerank`` by ``interaction``; ``weights`` are of ``term_weights``."""
+    known = candidates.join(weights, "query_id", "left").withColumn("asked", F.coalesce("asked", F.array().cast(weights.schema["asked"].dataType)))
+    return rerank(known, k, lambda _, text: interaction(F.col("asked"), text)).drop("asked")
+
+
 def rerank(candidates: DataFrame, k: int, scorer: Scorer = lexical_overlap) -> DataFrame:
     """The k best by the scorer; a query's only candidate gets 1.0 without being scored."""
     alone = F.count("*").over(Window.partitionBy("query_id")) == 1

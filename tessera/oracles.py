@@ -257,6 +257,17 @@ ranks as (select alpha, query_id, min(case when chunk_id = query_id then new_ran
 select alpha, {METRICS.format(1)}, {METRICS.format(3)}, {RR} from ranks group by alpha""",
     "demotion_analysis": f"""with {POOL}, r as (select query_id, min(case when chunk_id = query_id then rank end) as pre, min(case when chunk_id = query_id then final_rank end) as post from pool group by query_id)
 select count(*) as queries, sum((pre is not null)::int)::bigint as in_pool, sum(coalesce((pre = 1 and coalesce(post, 99) > 1)::int, 0))::bigint as demoted, sum(coalesce((coalesce(pre, 99) > 1 and post = 1)::int, 0))::bigint as promoted from r""",
+    "rerank_comparison": f"""with {POOL},
+      qi as (select query_id, t, i, t[i] as token from (select query_id, {tokens('query')} as t from q), generate_series(1, len(t)) as g(i)),
+      wi as (select query_id, i, token, t[i - 1] || ' ' || token as before, token || ' ' || t[i + 1] as after, len(t) as m, ln((n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5) + 1) as idf from qi left join df on df.term = token cross join st),
+      ct as (select chunk_id, t, list_transform(range(1, len(t)), lambda j: t[j] || ' ' || t[j + 1]) as b from (select chunk_id, {tokens('text')} as t from c where chunk_id in (select chunk_id from fin))),
+      va as (select fin.query_id, fin.chunk_id, fin.rank, fin.many, sum(idf * (2 * list_contains(ct.t, token)::int + (i > 1 and list_contains(ct.b, before))::int + (i < m and list_contains(ct.b, after))::int) / (2 + (i > 1)::int + (i < m)::int)) / nullif(sum(idf), 0) as score
+        from fin left join wi on wi.query_id = fin.query_id left join ct on ct.chunk_id = fin.chunk_id group by all),
+      vr as (select query_id, chunk_id, rank, row_number() over (partition by query_id order by round(case when many = 1 then 1.0 else coalesce(score, 0) end, 4) desc, rank)::int as final_rank from va),
+      al as (select 'lexical' as scorer, query_id, chunk_id, rank, final_rank from pool union all select 'interaction', query_id, chunk_id, rank, final_rank from vr),
+      r as (select scorer, query_id, min(case when chunk_id = query_id then rank end) as pre, min(case when chunk_id = query_id then final_rank end) as gold_rank from al group by all)
+      select scorer, {METRICS.format(1)}, {METRICS.format(3)}, {RR}, count(*) as queries, sum((pre is not null)::int)::bigint as in_pool,
+        sum((coalesce(pre = 1, false) and coalesce(gold_rank, 99) > 1)::int)::bigint as demoted, sum((coalesce(pre, 99) > 1 and coalesce(gold_rank = 1, false))::int)::bigint as promoted from r group by scorer""",
     "demotion_causes": f"""with {POOL}, x as (select lower(gc.source) as g, lower(pc.source) as p, length(gc.text) as gl, length(pc.text) as pl
   from pool a join pool b using (query_id) join c gc on gc.chunk_id = a.chunk_id join c pc on pc.chunk_id = b.chunk_id where a.chunk_id = a.query_id and a.rank = 1 and a.final_rank > 1 and b.final_rank = 1)
 select count(*) as demotions, coalesce(sum((contains(g, p) or contains(p, g))::int), 0)::bigint as same_article, coalesce(round(sum((contains(g, p) or contains(p, g))::int) * 100.0::double / count(*), 1), 0) as same_article_percent,

@@ -23,7 +23,7 @@ from tessera.operators.chunking import chunk_pages, register_chunkers
 from tessera.operators.dense import dense_top_k
 from tessera.operators.dense_index import DenseIndex
 from tessera.operators.posting_index import PostingIndex
-from tessera.operators.rerank import blended, lexical_overlap, partial_rerank, rerank
+from tessera.operators.rerank import blended, lexical_overlap, partial_rerank, rerank, rerank_by_interaction, term_weights
 from tessera.plans.retrieval import BENCHMARK, answer, respond, retrieve, sweep
 from tessera.shared import shared_path
 from tessera.sources.readers import read_text_table
@@ -267,6 +267,23 @@ def demotion_analysis(spark, sf_dir):
     return evaluation.demotions(ranks)
 
 
+@query
+def rerank_comparison(spark, sf_dir):
+    """Both re-rankers over the same pools: hits of the gold document, and how often each moved it from or to the first place."""
+    chunks, asked = shared(spark, sf_dir)
+    items = retrieve(chunks, asked, mode="hybrid", settings=replace(DEFAULTS, final_k=20))
+    pool = items.join(asked.select("query_id", "query"), "query_id")
+    weights = term_weights(chunks.select("text"), asked.select("query_id", "query"))
+    both = {"lexical": rerank(pool, 20, lexical_overlap), "interaction": rerank_by_interaction(pool, weights, 20)}
+    out, gold = None, F.col("chunk_id") == F.col("query_id")
+    for name, ordered in both.items():
+        ranks = ordered.groupBy("query_id").agg(F.min(F.when(gold, F.col("rank"))).alias("pre_rank"), F.min(F.when(gold, F.col("final_rank"))).alias("post_rank"))
+        hits = evaluation.retrieval_metrics(ranks.select(F.lit(name).alias("scorer"), "query_id", F.col("post_rank").alias("gold_rank")), ["scorer"]).select("scorer", "hit_at_1", "hit_at_3", "mrr")
+        own = hits.crossJoin(F.broadcast(evaluation.demotions(ranks)))  # one row each
+        out = own if out is None else out.union(own)
+    return rounded(out, "hit_at_1", "hit_at_3", "mrr")
+
+
 @query
 def demotion_causes(spark, sf_dir):
     pool = _pool(spark, sf_dir)

@@ -14,13 +14,15 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import EXTENSIONS
 
 Pages = list[tuple[int, str]]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+#: Splits whose first line numbers are broadcast at most.
+SPLITS = 200_000
 
 
 def text_pages(data: bytes) -> Pages:
@@ -150,11 +152,36 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, *, tolerant: bool =
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_num, line): lines of text files with their numbers from 1, read split by split.
+
+    A split's lines are in its task in their order, so that a number within the split comes
+    from a counter; how many lines the splits before it have is a running sum over one row a
+    split. Lines end at line feeds; blank ones count.
+    """
+    parts = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    sizes = parts.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("before", before).drop("n")
+    sizes = F.broadcast(sizes) if sizes.limit(SPLITS + 1).count() <= SPLITS else sizes
+    return parts.join(sizes, ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_num"), "line")
+
+
+def parsed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line_num, malformed, r) of every line that is not blank; ``r`` has the schema's columns."""
+    lines = numbered_lines(spark, path).where(F.trim(F.regexp_replace("line", r"\r$", "")) != "")
+    parsed = lines.select("file", "line_num", F.from_json("line", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    return parsed.select("file", "line_num", F.col("r._corrupt").isNotNull().alias("malformed"), F.col("r").dropFields("_corrupt").alias("r"))
+
+
 def read_numbered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(line_num, the schema's columns) of small JSON line files: blank lines are skipped, malformed ones dropped, numbers count from 1."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line")).where(F.trim("line") != "")
-    parsed = lines.select((F.col("pos") + 1).alias("line_num"), F.from_json("line", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    return parsed.where("r._corrupt is null").select("line_num", "r.*").drop("_corrupt")
+    """(line_num, the schema's columns) of JSON line files of any size: blank lines are skipped, malformed ones dropped, numbers count from 1 in each file."""
+    return parsed_lines(spark, path, schema).where(~F.col("malformed")).select(F.col("line_num").cast("int").alias("line_num"), "r.*")
+
+
+def malformed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, lines, malformed): of each file, how many lines are not blank and how many of these no JSON of the schema."""
+    return parsed_lines(spark, path, schema).groupBy("file").agg(F.count("*").alias("lines"), F.sum(F.col("malformed").cast("long")).alias("malformed"))
 
 
 def read_exemplars(spark: SparkSession, intents: dict[str, list[str]]) -> DataFrame:

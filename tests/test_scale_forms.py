@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 from datetime import datetime, timedelta, timezone
@@ -11,6 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluation, router, store
+from tessera.operators.rerank import rerank_by_interaction, term_weights
+from tessera.sources import readers
 from tessera.streaming.live import requests_in_flight
 
 
@@ -94,3 +97,46 @@ def test_two_writers_of_the_store_lose_nothing(spark, tmp_path):
     assert held == {i: "old" for i in range(12) if i != 5} | {50: "two", 51: "two", 52: "two", 3: "one", 60: "one", 7: "one"}
     assert one.versions() == [1, 2, 3, 4]
     assert one.vacuum() and {r.doc_id for r in two.read().collect()} == set(held) and two.versions() == [4]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = ["" if i % 11 == 3 else "not json" if i % 17 == 5 else '{"a": %d, "b": "%s"}' % (i, "x" * (i % 40)) for i in range(900)]
+    (tmp_path / "one.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "two.jsonl").write_text('{"a": 1}\r\n\r\n{"a": "oops"}\r\n{"a": 4}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        path = f"file://{tmp_path}/*.jsonl"
+        assert spark.read.text(path).rdd.getNumPartitions() > 10
+        numbered = {(r.file.rsplit("/", 1)[1], r.line_num): r.line for r in readers.numbered_lines(spark, path).collect()}
+        assert numbered == {("one.jsonl", i + 1): x for i, x in enumerate(lines)} | {("two.jsonl", i + 1): x for i, x in enumerate(['{"a": 1}\r', "\r", '{"a": "oops"}\r', '{"a": 4}'])}
+        found = sorted((r.line_num, r.a) for r in readers.read_numbered_jsonl(spark, f"file://{tmp_path}/one.jsonl", "a long, b string").collect())
+        assert found == [(i + 1, i) for i, x in enumerate(lines) if x.startswith("{")]
+        counts = {r.file.rsplit("/", 1)[1]: (r.lines, r.malformed) for r in readers.malformed_lines(spark, path, "a long, b string").collect()}
+        assert counts == {"one.jsonl": (sum(x != "" for x in lines), lines.count("not json")), "two.jsonl": (3, 1)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_interaction_weighs_tokens_and_their_neighbours(spark):
+    texts = ["The red fox runs", "fox red the", "runs the red fox home", "", None, "nothing alike", "fox"]
+    asked = ["the red fox", "fox", "runs home fox", "", None, "zebra"]
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "chunk_id long, text string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    words = [(t or "").lower().split() for t in texts]
+
+    def plain(query: str | None, own: list[str]) -> float:
+        q = (query or "").lower().split()
+        idf = [math.log((len(texts) - (n := sum(t in w for w in words)) + 0.5) / (n + 0.5) + 1) for t in q]
+        pairs = set(zip(own, own[1:], strict=False))
+        got = 0.0
+        for i, t in enumerate(q):
+            around = [(q[i - 1], t)] * (i > 0) + ([(t, q[i + 1])] if i + 1 < len(q) else [])
+            got += idf[i] * (2 * (t in own) + sum(p in pairs for p in around)) / (2 + len(around))
+        return got / sum(idf) if q else 0.0
+
+    pool = chunks.crossJoin(queries).withColumn("rank", F.col("chunk_id") + 1)
+    found = rerank_by_interaction(pool, term_weights(chunks, queries), 99).collect()
+    assert len(found) == len(texts) * len(asked)
+    assert all(abs(r.rerank_score - plain(asked[r.query_id], words[r.chunk_id])) < 1e-9 for r in found)
+    assert {r.chunk_id for r in found if r.query_id == 0 and r.final_rank <= 2} == {0, 2}
