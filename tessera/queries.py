@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,11 +20,13 @@ from tessera.config import DEFAULTS, REFUSAL
 from tessera.functions import pii, text
 from tessera.operators import answers, conversations, evaluation, router, store
 from tessera.operators.bm25 import bm25_top_k, corpus_stats, term_stats
-from tessera.operators.chunking import chunk_pages, register_chunkers
+from tessera.operators.chunking import chunk_pages, hashed_embedder, register_chunkers
 from tessera.operators.dense import dense_top_k
 from tessera.operators.dense_index import DenseIndex
+from tessera.operators.embedder import DIM, fit_embedder
 from tessera.operators.posting_index import PostingIndex
 from tessera.operators.rerank import blended, lexical_overlap, partial_rerank, rerank, rerank_by_interaction, term_weights
+from tessera.plans.ingest import embedded
 from tessera.plans.retrieval import BENCHMARK, answer, respond, retrieve, sweep
 from tessera.shared import shared_path
 from tessera.sources.readers import read_text_table
@@ -143,6 +146,21 @@ def dense_ivf_recall(spark, sf_dir):
     return true.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("neighbours"), F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
 
 
+@query
+def embedder_gold_ranks(spark, sf_dir):
+    """Items asked of the documents' vectors, by the learned embedder and by as many components of hashed trigrams: hits of a document that contains the item."""
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
+    items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    golds, out = evaluation.containment_pairs(docs, items), None
+    for name, embed in {"learned": fit_embedder(docs), "trigrams": partial(hashed_embedder, dim=DIM)}.items():
+        vectors, asked = embedded(docs, embed=embed), embedded(items, embed=embed)
+        found = dense_top_k(vectors, asked, 10, id_col="chunk_id", vector_col="v", query_id="query_id", query_vector="v")
+        ranks = evaluation.gold_ranks(found, golds).select(F.lit(name).alias("embedder"), "query_id", "gold_rank")
+        hits = evaluation.retrieval_metrics(ranks, ["embedder"])
+        out = hits if out is None else out.union(hits)
+    return rounded(out, "hit_at_1", "hit_at_3", "hit_at_10", "mrr", "ndcg_at_10")
+
+
 def _hybrid(spark, sf_dir, **changes):
     chunks, asked = shared(spark, sf_dir)
     found = retrieve(chunks, asked, mode="hybrid", settings=replace(DEFAULTS, final_k=20, **changes))
