@@ -5,8 +5,8 @@ A shard is
 
     b"TSZD\\x01"
     frames          one zstandard frame a document, made with the shared dictionary
-    index           doc id (int64, with a null flag in the high bit of the length),
-                    offset (uint64), frame length (uint32), ids (uint32) of each document
+    index           of each document: doc id (int64), offset (uint64), frame length (uint32),
+                    ids (uint32), and a byte that is 1 where the document id is null
     header (JSON)   the dictionary's SHA-256, bytes an id, documents, ids, tokenizer
     index offset (uint64), header length (uint32), b"TSZD\\x01"
 
