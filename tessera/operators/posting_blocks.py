@@ -103,7 +103,7 @@ def shard_of(ids: np.ndarray, tokens: pa.ListArray, terms: pa.Array | None) -> t
     key, tf = np.unique(number[number >= 0] * len(lengths) + row[number >= 0], return_counts=True)
     term, row = np.divmod(key, max(1, len(lengths)))
     cuts = np.flatnonzero(np.diff(term, prepend=-1))
-    ends = np.append(cuts[1:], len(term))
+    ends = np.append(cuts[1:], len(term))[: len(cuts)]  # a shard without any of the terms has no cuts
     found = {int(term[a]): ordered(row[a:b], tf[a:b], lengths) for a, b in zip(cuts, ends, strict=True)}
     return Shard(ids, lengths, found), terms
 

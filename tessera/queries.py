@@ -26,6 +26,7 @@ from tessera.operators.dense_index import DenseIndex
 from tessera.operators.embedder import DIM, fit_embedder
 from tessera.operators.posting_index import PostingIndex
 from tessera.operators.rerank import blended, lexical_overlap, partial_rerank, rerank, rerank_by_interaction, term_weights
+from tessera.plans.chat import chat
 from tessera.plans.ingest import embedded
 from tessera.plans.retrieval import BENCHMARK, answer, respond, retrieve, sweep
 from tessera.shared import shared_path
@@ -761,6 +762,20 @@ def faithfulness_documents_by_kind(spark, sf_dir):
     return evaluation.faithfulness_summary(marked, ["category"]).union(evaluation.faithfulness_summary(marked).select(F.lit("all").alias("category"), "*"))
 
 
+@query
+def chat_counters(spark, sf_dir):
+    """All conversations through the chat path over all documents, counted as requests: (intent, route, status, requests, redactions, tokens, answered).
+
+    Exemplars are the first lines of the first documents, which ask for documents, and the first things that assistants said.
+    """
+    docs, turns = _plain_chunks(spark, sf_dir), load(spark, sf_dir, "conversations")
+    line = lambda c: F.substring(F.get(F.split(c, "\n"), 0), 1, 200)
+    rag = docs.orderBy("chunk_id").limit(EXEMPLARS).select(F.col("chunk_id").alias("exemplar_id"), F.lit("rag").alias("intent"), line("text").alias("text"))
+    general = turns.where("role = 'assistant'").orderBy("conv_id", "turn").limit(EXEMPLARS).select((-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("exemplar_id"), F.lit("general").alias("intent"), line("text").alias("text"))
+    found = chat(turns, embedded(rag.unionByName(general)), embedded(docs), intents=["general", "rag"])
+    return found.groupBy("intent", "route", "status").agg(F.count("*").alias("requests"), F.sum("redactions").alias("redactions"), F.sum("tokens").alias("tokens"), F.count("answer").alias("answered"))
+
+
 @query
 def refusals_by_threshold(spark, sf_dir):
     """The last thing that each user says, asked of the documents: refused where no retrieved text has 60 % of its words."""

@@ -64,6 +64,16 @@ def test_blocks_give_the_same_best_and_skip_what_cannot_matter(seed, monkeypatch
     assert best.read < 0.8 * best.blocks  # a share of all blocks is never read
 
 
+def test_shards_without_terms_or_chunks_are_empty():
+    for tokens in ([["x", "y"], []], [[], None], []):
+        shard, _ = shard_of(np.arange(len(tokens)), pa.array(tokens, pa.list_(pa.string())), pa.array(["a"]))
+        assert shard.postings == {} and len(shard.lengths) == len(tokens)
+        best = Best(asked_of([["a"]]), 3)
+        best.q.weigh(np.array([1.0]), 5, 9)
+        best.add(shard)
+        assert best.rows is None
+
+
 def test_combined_shards_hold_the_living_chunks():
     texts = zipf_texts(3, 60)
     parts = []
