@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tokens import encoder
+from tessera.llm.tokens import encoder, trim
 
 TOKENS = 4096
 SEGMENTS = 512
@@ -175,6 +175,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, style: str = "word", end_
             place_whole(packer.sequence())
         if rows:
             yield _batch(rows)
+        rows.clear()
+        trim()
 
     bears = F.lit(None) if loss_from_col is None else F.coalesce(F.col(loss_from_col), F.lit(0))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), bears.cast("long").alias("loss_from")).mapInArrow(pack, FIELDS)

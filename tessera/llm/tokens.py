@@ -117,15 +117,21 @@ def encoder(path: str, style: str) -> Encoder:
 
 def release() -> None:
     """Give back what this Python worker holds but does not use: encoders of other operators, and freed memory."""
-    import ctypes
     import gc
 
-    import pyarrow
-
     if _ENCODERS:
         _ENCODERS.clear()
         gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the machine, so that a worker that waits for its next task holds little."""
+    import ctypes
+
+    import pyarrow
+
     pyarrow.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:  # only this C library keeps freed memory until told
-        trim(0)
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:  # only this C library keeps freed memory until told
+        give_back(0)
