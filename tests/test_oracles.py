@@ -48,4 +48,19 @@ def test_agrees_with_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
-    assert set(QUERIES) - set(ORACLES) == {"chunk_structure", "chunk_semantic", "chunk_table_function", "bootstrap_ci"}
+    learned = {"dense_ivf_topk", "dense_ivf_recall", "embedder_gold_ranks", "chat_counters"}
+    assert set(QUERIES) - set(ORACLES) == {"chunk_structure", "chunk_semantic", "chunk_table_function", "bootstrap_ci"} | learned
+
+
+def test_queries_that_learn_or_embed(spark):
+    """The approximate index against the exact query, the embedders against each other, chat against the number of conversations."""
+    exact = {(r.query_id, r.chunk_id): r.score for r in QUERIES["dense_topk"](spark, SF).collect()}
+    found = {(r.query_id, r.chunk_id): r.score for r in QUERIES["dense_ivf_topk"](spark, SF).collect()}
+    assert len(found) == len(exact) and len(set(found) & set(exact)) >= 0.9 * len(exact)
+    assert all(found[p] == exact[p] for p in set(found) & set(exact))
+    report = QUERIES["dense_ivf_recall"](spark, SF).first()
+    assert report.neighbours == len(exact) and report.recall >= 0.9
+    hits = {r.embedder: r.mrr for r in QUERIES["embedder_gold_ranks"](spark, SF).collect()}
+    assert hits["learned"] >= hits["trigrams"]
+    requests = sum(r.requests for r in QUERIES["chat_counters"](spark, SF).collect())
+    assert requests == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
