@@ -27,12 +27,15 @@ _MARKS = re.compile(r"\w+|[^\w\s]")
 
 def trimmed_to(block_head: str, text: str, room: int) -> str:
     """The longest prefix of words and spaces whose block, with the trim marker, fits."""
-    kept = ""
-    for piece in re.findall(r"\S+|\s+", text.strip()):
-        if max(1, len(_MARKS.findall(f"{block_head}{kept}{piece}{TRIM_MARKER}"))) > room:
+    whole, end = text.strip(), 0
+    glued = len(block_head) - len(block_head.rstrip()) == 0  # a head without white space at its end grows into the first piece
+    used = len(_MARKS.findall(TRIM_MARKER)) + (0 if glued else len(_MARKS.findall(block_head)))
+    for piece in re.finditer(r"\S+|\s+", whole):  # white space parts tokens, so those of pieces add up
+        used += len(_MARKS.findall(block_head + piece[0] if glued and not end else piece[0]))
+        if max(1, used) > room:
             break
-        kept += piece
-    return kept + TRIM_MARKER
+        end = piece.end()
+    return whole[:end] + TRIM_MARKER
 
 
 def budgeted(items: DataFrame, *, budget: int, scaffold: Column, settings: Settings = DEFAULTS, trim: bool = True) -> DataFrame:

@@ -11,25 +11,26 @@ from tessera.operators.conversations import check_limits, last_user_turn, redact
 from tessera.operators.router import intent_scores, route
 from tessera.plans.ingest import embedded
 from tessera.plans.retrieval import Generator, answer
+from tessera.shared import written
 
 
-def chat(turns: DataFrame, exemplars: DataFrame, chunks: DataFrame | None, *, intents: list[str], service: tuple[int, str | None] = (200, None), generator: Generator | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+def chat(turns: DataFrame, exemplars: DataFrame, chunks: DataFrame | None, *, intents: list[str], service: tuple[int, str | None] = (200, None), generator: Generator | None = None, vectors: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """(conv_id, status, intent, confidence, route, warning, answer, redactions, tokens).
 
     Requests over a limit have status 400 and nothing else. The last user message is
     routed; a request for documents that cannot be served downgrades to the local route
     with the reason as its warning: ``service`` is the document service's status and its
     error (offline, timeout or an exception's name). The local route has no model here
-    and gives no answer.
+    and gives no answer. ``vectors`` (chunk_id, v) are those of the chunks, if not in them.
     """
     limits = check_limits(turns, settings)
-    clean = redact_turns(turns)
-    asked = embedded(last_user_turn(clean).select(F.col("conv_id").alias("query_id"), F.col("text").alias("query")), "query")
-    routed = route(intent_scores(asked, exemplars, settings), intents, settings)
+    clean = written(redact_turns(turns), "turns")
+    asked = written(embedded(last_user_turn(clean).select(F.col("conv_id").alias("query_id"), F.col("text").alias("query")), "query"), "asked")
+    routed = written(route(intent_scores(asked, exemplars, settings), intents, settings), "routed")
     status, error = service
     empty = chunks is None or chunks.isEmpty() or status != 200 or error is not None
     reason = downgrade_reason(F.lit(status), F.lit(0 if chunks is None or chunks.isEmpty() else 1), F.lit(error).cast("string"))
-    found = None if empty else answer(chunks, asked.join(routed.where("route = 'rag'").select("query_id"), "query_id", "left_semi"), generator=generator, settings=settings).select("query_id", "answer")
+    found = None if empty else answer(chunks, asked.join(routed.where("route = 'rag'").select("query_id"), "query_id", "left_semi"), generator=generator, vectors=vectors, settings=settings).select("query_id", "answer")
     sums = clean.groupBy(F.col("conv_id").alias("query_id")).agg(F.sum("redactions").alias("redactions"), F.sum(count_tokens(F.col("text"))).alias("tokens"))
     out = limits.withColumnRenamed("conv_id", "query_id").join(routed, "query_id", "left").join(sums, "query_id", "left")
     out = out.withColumn("answer", F.lit(None).cast("string")) if found is None else out.join(found, "query_id", "left")
