@@ -87,6 +87,24 @@ def test_large_groups_of_near_copies(spark):
     assert run(spark, rows, N.Join(4, 85)) == brute_components(rows, N.Join(4, 85))
 
 
+def test_edges_of_a_group_do_not_grow_with_its_lists(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = []
+    for i in range(200):
+        own = [f"b{i}" for i in range(90)]
+        own[rng.randrange(90)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    made, plain = [], N.connected_components
+
+    def counted(edges):
+        made.append(edges.count())
+        return plain(edges)
+
+    monkeypatch.setattr(N, "connected_components", counted)
+    assert {c for _, _, c in run(spark, rows, N.Join(4, 85))} == {0}
+    assert len(made) == 3 and max(made) <= 2 * len(rows)  # each set with each of its tokens made ten times as many
+
+
 def test_join_edge_cases(spark):
     join = N.Join(4, 85)
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (9, "ONE  two"), (5, "one two three"), (6, "a b c d e f"), (6, "a b c d e f"), (None, "a b c d e f"), (7, "é É"), (8, "é É")]
