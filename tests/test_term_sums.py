@@ -40,6 +40,22 @@ def test_sums_give_the_same_best_and_leave_terms_out(seed, monkeypatch):
     assert best.added < 0.7 * best.held
 
 
+def test_frequent_terms_are_read_and_not_searched(monkeypatch):
+    texts, asked, k = zipf_texts(3, 4000), [w for w in zipf_texts(53, 30, 8) if w], 5
+    q = asked_of(asked)
+    q.weigh(np.array([sum(w in t for t in map(set, texts)) for w in q.terms], float), len(texts), sum(map(len, texts)))
+    want = plain(texts, asked, k)
+    known = np.array([-p[k - 1][0] if len(p) == k else -np.inf for p in want])
+    searches, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **b: (searches.append(1), search(*a, **b))[1])
+    best = term_sums.Sums(q, k, known)
+    best.take(pa.array(range(len(texts))), pa.array(texts))
+    best.finish()
+    assert len(searches) == 1 and best.added < 0.7 * best.held  # the starts of the shard's terms, and no search a term left out
+    found = {(int(a), int(b)) for a, b, _ in zip(*best.rows, strict=True)}
+    assert found == {(i, c) for i, p in enumerate(want) for _, c in p}
+
+
 def test_a_pilot_part_changes_no_result(spark, monkeypatch):
     monkeypatch.setattr(bm25, "PILOT_QUERIES", 1)
     monkeypatch.setattr(bm25, "PILOT_PART", 3)
