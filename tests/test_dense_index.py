@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +58,16 @@ def test_all_cells_and_candidates_are_exact(spark):
     assert rows(index.search(v, 3, probes=index.cells, candidates=200)) == rows(dense_top_k(v, v, 3))
 
 
+def test_tasks_are_handed_queries_and_no_tables(spark, monkeypatch):
+    v = table(spark, clustered(6, 2000))
+    index, sent = DenseIndex.build(v, cells=20), []
+    plain = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: (sent.append(len(pickle.dumps(x))), plain(x))[1])
+    assert index.search(v, 5, probes=4, candidates=20).count() == 10_000
+    asked, quantiser = 2000 * index.dim * 8, len(pickle.dumps(index.quantiser))
+    assert max(sent) < 2 * asked + quantiser + 2000 * 20 * 8  # a query's tables took 2 KB a part
+
+
 def test_odd_rows(spark):
     odd = [(1, None, "", ""), (2, [], "", ""), (3, [0.0, 0.0], "", ""), (4, [float("nan"), 1.0], "", ""), (None, [1.0, 0.0], "", ""), (5, [1.0], "", "")]
     assert DenseIndex.build(spark.createDataFrame(odd[:4], SCHEMA)).search(spark.createDataFrame(odd, SCHEMA), 3).count() == 0
