@@ -110,3 +110,33 @@ def test_tokens_cut_in_tasks_are_those_of_the_column(spark):
     plain_score = F.coalesce(F.try_divide(F.size(F.array_intersect(asked, functions.tokenize(F.col("text")))).cast("double"), F.size(asked)), F.lit(0.0))
     for r in rows.select(lexical_overlap(F.col("query"), F.col("text")).alias("a"), plain_score.alias("b")).collect():
         assert r.a == r.b
+
+
+def test_queries_of_the_same_terms_are_asked_once(spark, monkeypatch):
+    texts = [" ".join(t) for t in zipf_texts(13, 200)]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(["w1 w2 w9", "W9, w2 w1", "w1 w2 w9 w9", "w40", "w40", "none", "", None])], "query_id long, query string")
+    scored, weighed = [], bm25.weighed
+    monkeypatch.setattr(bm25, "weighed", lambda rows, questions: scored.append(questions.ids.tolist()) or weighed(rows, questions))
+    rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in df.collect())
+    assert rows(bm25_top_k(chunks, asked, 4)) == rows(top_k(bm25_scores(chunks, asked), 4))
+    assert scored == [[0, 2, 3, 5]]
+
+
+def test_tokens_by_bytes_are_those_of_the_pattern():
+    def plainly(texts: list[str]) -> list[list[str]]:
+        parts = pa.compute.split_pattern_regex(pa.array(texts, pa.string()), pattern=r"[^\p{L}\p{N}_]+").to_pylist()
+        return [[w for w in p if w] for p in parts]
+
+    rng = random.Random(8)
+    some = lambda: chr(rng.choice([rng.randrange(128), rng.randrange(0x80, 0x800), rng.randrange(0x800, 0xD800), rng.randrange(0xE000, 0x110000)]))
+    texts = ["".join(some() for _ in range(rng.randrange(12))) for _ in range(3000)] + ["", "a", "b", "", "é", "-"]
+    assert split_tokens(pa.array(texts, pa.string())).to_pylist() == plainly(texts)
+    assert split_tokens(pa.array(texts, pa.string()).slice(7, 50)).to_pylist() == plainly(texts[7:57])
+    assert split_tokens(pa.array([], pa.string())).to_pylist() == []
+    long, took = pa.array(["some words, été " * 20_000] * 8), []
+    for cut in (split_tokens, lambda t: pa.compute.split_pattern_regex(t, pattern=r"[^\p{L}\p{N}_]+")):
+        begin = time.perf_counter()
+        cut(long)
+        took.append(time.perf_counter() - begin)
+    assert took[0] < took[1]
