@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokenize
+from tessera.operators.bm25 import split_tokens
 from tessera.shared import written
 
 #: Words that get learned vectors at most, components of a vector, places between two that count, and further random vectors.
@@ -40,6 +40,8 @@ POWER = 2
 #: How fast the weight of a word falls with its share of all words.
 FADE = 1e-4
 SEED = 5
+#: Words whose vectors are made at once: few enough for a core's own memory.
+HASHED = 128
 _WORD = re.compile(r"\w+").findall
 
 
@@ -68,19 +70,41 @@ class LearnedEmbedder:
 def hashed_vectors(words: list[str], dim: int, seed: int) -> np.ndarray:
     """A pseudo-random vector of length 1 for each word: signs from the bits of mixed hashes."""
     base = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
-    x = base[:, None] + np.arange(1, dim + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.where(x >> np.uint64(63), 1.0, -1.0) / np.sqrt(dim)
+    steps, side = np.arange(1, dim + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1 / np.sqrt(dim)
+    out = np.empty((len(words), dim))
+    for low in range(0, len(words), HASHED):
+        x = base[low : low + HASHED, None] + steps
+        spare = x >> np.uint64(31)
+        x ^= spare
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        np.right_shift(x, np.uint64(32), out=spare)
+        x ^= spare
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        own = out[low : low + HASHED]
+        np.multiply(x.view(np.int64) < 0, 2 * side, out=own)
+        own -= side
+    return out
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n) of lower-cased texts (text); each batch adds up what it has."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n = pc.value_counts(split_tokens(batch.column(0)).flatten()).flatten()
+            yield pa.RecordBatch.from_arrays([words, n], names=["word", "n"])
+
+    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(tokens: DataFrame, words: list[str], reach: int) -> DataFrame:
-    """(i, j, n): how often words i and j stand at most ``reach`` places apart, both ways; places of other words count too."""
+def pair_counts(texts: DataFrame, words: list[str], reach: int) -> DataFrame:
+    """(i, j, n) of one column, lower-cased texts or their tokens: how often words i and j stand at most ``reach`` places apart, both ways; places of other words count too."""
     known, size = pa.array(words, pa.string()), len(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)
+            column = column if pa.types.is_list(column.type) else split_tokens(column)
             at = pc.index_in(column.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             keys = []
@@ -91,7 +115,7 @@ def pair_counts(tokens: DataFrame, words: list[str], reach: int) -> DataFrame:
             key, n = np.unique(np.concatenate(keys), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key // size), pa.array(key % size), pa.array(n.astype(np.int64))], names=["i", "j", "n"])
 
-    return tokens.mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
 
 
 def times(matrix: DataFrame, dense: np.ndarray) -> np.ndarray:
@@ -126,14 +150,14 @@ def leading(matrix: DataFrame, size: int, rank: int, seed: int = SEED) -> np.nda
 
 def fit_embedder(texts: DataFrame, *, text_col: str = "text", dim: int = DIM, vocabulary: int = VOCABULARY, reach: int = REACH, seed: int = SEED) -> LearnedEmbedder:
     """An embedder of ``dim`` components from all texts."""
-    tokens = texts.select(tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    counts = written(tokens.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+    low = texts.select(F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    counts = written(word_counts(low), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     words = [r.word for r in top]
     if not words:
         return LearnedEmbedder({}, np.zeros((0, dim)), np.zeros(0), 1.0, seed)
-    pairs = written(pair_counts(tokens, words, reach), "pairs")
+    pairs = written(pair_counts(low, words, reach), "pairs")
     sums = pairs.groupBy("i").agg(F.sum("n").alias("own"))
     whole = float(sums.agg(F.sum("own")).first()[0] or 1)
     given = pairs.join(F.broadcast(sums), "i").join(F.broadcast(sums.select(F.col("i").alias("j"), F.col("own").alias("other"))), "j")  # one row a word of the vocabulary
